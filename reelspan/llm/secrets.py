@@ -116,7 +116,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 def _placed_sql(regex: str, group: int, kind: str, rank: int, least: int) -> str:
     quoted = "'" + regex.replace("'", "''") + "'"
     return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank,
-      list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0) AS s, length(hits[i]) AS n, parts[i] AS part
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s, length(hits[i]) AS n, parts[i] AS part
     FROM (SELECT doc_id, regexp_split_to_array(t, {quoted}) AS gaps, regexp_extract_all(t, {quoted}, 0) AS hits, regexp_extract_all(t, {quoted}, {group}) AS parts FROM d),
       unnest(range(1, len(hits) + 1)) AS r(i) WHERE length(parts[i]) >= {least}"""
 
