@@ -2,23 +2,47 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, urlfilter
-from .common import table
+from . import secrets, tokenfiles, urlfilter, warc
+from .common import table, written
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.build_archives(warc.plan_records(table(spark, sf_dir, "pages"))), "warc")
+    return warc.read_archives(archives, payloads=False).drop("url")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc": op3_warc,
     "op7_url_filter": op7_url_filter,
+    "op10_token_files": op10_token_files,
 }
+#: How SQL puts op3: the archive's round trip must give back what the pages say.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS n, t, max(page_id) OVER (PARTITION BY t) AS kept FROM p)
+SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN kept END AS refers_to
+FROM q
+"""
+
 SQL = {
     "op2_secret_scan": secrets.SQL,
+    "op3_warc": WARC_SQL,
     "op7_url_filter": urlfilter.SQL,
 }
