@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, tokenfiles, urlfilter, warc
+from . import secrets, spm, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -19,6 +19,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spm.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity.rate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +40,8 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
     "op7_url_filter": op7_url_filter,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 #: How SQL puts op3: the archive's round trip must give back what the pages say.
