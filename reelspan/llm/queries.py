@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, spm, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, secrets, spm, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -15,6 +15,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).drop("url")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "position", "same_values")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -39,6 +48,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
