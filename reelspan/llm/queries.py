@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, secrets, spm, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, jaccard, secrets, spm, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -24,6 +24,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
@@ -68,5 +73,6 @@ FROM q
 SQL = {
     "op2_secret_scan": secrets.SQL,
     "op3_warc": WARC_SQL,
+    "op6_ngram_jaccard_join": jaccard.SQL,
     "op7_url_filter": urlfilter.SQL,
 }
