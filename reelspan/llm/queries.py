@@ -2,10 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, jaccard, secrets, spm, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, jaccard, secrets, spm, suffixes, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
