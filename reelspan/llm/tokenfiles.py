@@ -15,18 +15,20 @@ MAX_BITS = 18
 #: Tokens after which a block is closed (at the end of a document), and between two checkpoints.
 BLOCK_TOKENS, STRIDE = 1 << 19, 256
 #: Distinct pieces of text whose ids a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Id that ends every document.
 END_ID = 2
 
-_INSIDE = re.compile(r"(?<=\S)(?= \S)")
+_INSIDE = re.compile(r"(?<=\S) (?=\S)")
+#: A word with marks behind it, and the same again on the next line: the vocabulary's pattern splits it at these places.
+_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]*)(?:(\n)([^\W\d_]+)([.,;:!?]*))?")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the ids of the pieces between single spaces.
 
-    The vocabulary's pattern never joins text across a space that stands between two characters that aren't spaces, so
-    that encoding the pieces apart gives the same ids.
+    The vocabulary's pattern never joins text across a space that stands between two characters that aren't spaces, nor
+    letters with the marks behind them, so that encoding the pieces apart gives the same ids.
     """
 
     def __init__(self, path: str):
@@ -34,24 +36,51 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
-        self.kind, self.known = ("<u2" if size <= 1 << 16 else "<u4"), {}
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.after, self.parts = {}, {}  # ids of a piece with a space before it; of a string without one
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters, each with a space before it, go to the library as one text."""
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            found = self.library.encode(" " + " ".join(part), add_special_tokens=False)
+            ids, at = np.array(found.ids, self.kind), np.array(found.word_ids, "i8")
+            if at[-1] != len(part) - 1:  # the library splits one of these words
+                self.after.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(part, self.library.encode_batch_fast([" " + x for x in part], add_special_tokens=False)))
+                continue
+            raw, ends = ids.tobytes(), (np.flatnonzero(np.diff(at, append=len(part))) + 1) * ids.itemsize
+            ends = ends.tolist()
+            self.after.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = list(parts.difference(self.parts))
+        self.parts.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if "  " in t or t[-1:] == " ":
-                split.append(_INSIDE.split(t))
+        split = [_INSIDE.split(t) if "  " in t or t[-1:] == " " or t[:1] == " " else t.split(" ") for t in texts]
+        if len(self.after) > REMEMBERED:
+            self.after = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        after, parts = self.after, self.parts
+        bare, tails, joined, other = [], {s[0] for s in split}, [], []
+        for w in set().union(*(s[1:] for s in split)).difference(after):
+            if w.isalpha():
+                bare.append(w)
+            elif m := _SIMPLE.fullmatch(w):
+                word, *rest = m.groups("")
+                joined.append((w, word, rest))
+                tails.update(rest)
             else:
-                first, *rest = t.split(" ")
-                split.append([first, *map(" ".__add__, rest)])
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            self.known.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        end = np.array([END_ID], self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) + end for x in split]
+                other.append(w)
+        self._learn_words(bare)
+        self._learn_words(list({word for _, word, _ in joined if word not in after}))
+        self._learn_parts(tails)
+        after.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(other, self.library.encode_batch_fast([" " + w for w in other], add_special_tokens=False)))
+        for w, word, (marks, line, next_word, more) in joined:
+            after[w] = after[word] + parts[marks] + (parts[line] + parts[next_word] + parts[more] if line else b"")
+        end, get = np.array([END_ID], self.kind).tobytes(), after.__getitem__
+        return [parts[s[0]] + b"".join(map(get, s[1:])) + end for s in split]
 
 
 _encoders: dict[str, Encoder] = {}
