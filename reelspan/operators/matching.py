@@ -15,11 +15,11 @@ def buckets(start: Column, end: Column, size: float = BUCKET) -> Column:
 
 def match_instant(moments: DataFrame, sentences: DataFrame, max_gap: float = 2.5, key: tuple = ("video_id", "slot")) -> DataFrame:
     """moments (video_id, slot, ts_s) with the sentence that contains the instant, the first of several; else the nearest by its
-    edges within max_gap seconds; else null. Intervals are closed."""
+    edges within max_gap seconds; else null. Intervals are closed; gaps that agree to a microsecond are ties."""
     spans = sentences.select("video_id", "sent_id", "text", "start_s", "end_s", F.explode(buckets(F.col("start_s") - max_gap, F.col("end_s") + max_gap)).alias("_b"))
     at = moments.withColumn("_b", F.floor(F.col("ts_s") / BUCKET))
     near = at.join(spans, ["video_id", "_b"]).where((F.col("start_s") - max_gap <= F.col("ts_s")) & (F.col("ts_s") <= F.col("end_s") + max_gap))
-    distance = F.greatest(F.col("start_s") - F.col("ts_s"), F.col("ts_s") - F.col("end_s"), F.lit(0.0))
+    distance = F.round(F.greatest(F.col("start_s") - F.col("ts_s"), F.col("ts_s") - F.col("end_s"), F.lit(0.0)), 6)
     best = near.groupBy(*key).agg(F.min_by(F.struct("sent_id", "text", distance.alias("gap_s")), F.struct(distance, "sent_id")).alias("m"))
     return moments.join(best.select(*key, "m.*"), list(key), "left")
 

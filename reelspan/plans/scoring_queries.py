@@ -25,9 +25,9 @@ f AS (SELECT *, focus >= greatest(60, 0.45 * med) AND motion >= 0.2 AND contrast
   WHERE focus >= greatest(25, 0.22 * med) AND motion >= 0.08 AND contrast >= 6)"""
 SLICED = """w AS (SELECT *, CASE WHEN max(ts_s) OVER (PARTITION BY video_id) > 0 THEN max(ts_s) OVER (PARTITION BY video_id) / 12 ELSE 1.0 END AS width FROM f),
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id, slice ORDER BY score DESC, ts_s, path) AS r FROM (SELECT *, CAST(least(11, floor(ts_s / width)) AS INT) AS slice FROM w) WHERE sharp)"""
-MATCH = """(SELECT m.video_id, m.slot, arg_min(s.sent_id, (greatest(start_s - ts_s, ts_s - end_s, 0), sent_id)) AS sent_id, arg_min(s.text, (greatest(start_s - ts_s, ts_s - end_s, 0), sent_id)) AS text
+MATCH = """(SELECT m.video_id, m.slot, arg_min(s.sent_id, (round(greatest(start_s - ts_s, ts_s - end_s, 0), 6), sent_id)) AS sent_id, arg_min(s.text, (round(greatest(start_s - ts_s, ts_s - end_s, 0), 6), sent_id)) AS text
   FROM {m} m JOIN sentences s ON m.video_id = s.video_id AND ts_s BETWEEN start_s - 2.5 AND end_s + 2.5 GROUP BY m.video_id, m.slot)"""
-TIMECODE = "printf('%02dm%02ds%02d', CAST(floor(ts_s) // 60 AS INT), CAST(floor(ts_s) AS INT) % 60, CAST(round_even((ts_s - floor(ts_s)) * 100, 0) AS INT) % 100)"
+TIMECODE = "printf('%02dm%02ds%02d', CAST(floor(floor(ts_s) / 60) AS INT), CAST(floor(ts_s) AS INT) % 60, CAST(round_even((ts_s - floor(ts_s)) * 100, 0) AS INT) % 100)"
 
 
 def _capture(spark, d):
@@ -37,7 +37,7 @@ def _capture(spark, d):
 
 
 query("capture_selection", _capture, ctes("grabs", "sentences") + f", {FLOORED}, {SLICED}, g AS (SELECT video_id, path AS slot, ts_s, score, path FROM b WHERE r = 1), m AS " + MATCH.replace("{m}", "g") + f"""
-SELECT g.video_id, row_number() OVER (PARTITION BY g.video_id ORDER BY ts_s, path) - 1 AS frame_id, path, round(score, 4) AS score, round(ts_s, 3) AS timestamp,
+SELECT g.video_id, row_number() OVER (PARTITION BY g.video_id ORDER BY ts_s, path) - 1 AS frame_id, path, round(score + 1e-9, 4) AS score, round(ts_s, 3) AS timestamp,
   {TIMECODE} AS timecode, coalesce(m.text, '') AS caption FROM g LEFT JOIN m ON g.video_id = m.video_id AND g.slot = m.slot""")
 query("agg1_quality_floors", lambda s, d: selection.quality_floors(scored_grabs(s, d)).select("video_id", "event_id", F.round("score", 6).alias("score"), F.round("median_focus", 6).alias("median_focus"), "sharp"),
       ctes("grabs") + f", {FLOORED} SELECT video_id, event_id, round(score, 6) AS score, round(med, 6) AS median_focus, sharp FROM f")
@@ -78,8 +78,8 @@ EYE_SQL = """CASE WHEN w / (h * 1.0) < 0.6 THEN false ELSE abs((x % 40 + (20 + f
   AND abs((y % 12 + 7.5) - (x % 14 + 7.0)) / floor(h * 0.55) <= 0.2 END"""
 open_eyes = lambda: scoring.eyes_plausible(c("w"), c("h"), EYES, F.floor(c("h") * 0.55))
 query("exp14_eyes_plausible", lambda s, d: faces(s, d).select(*ID, open_eyes().alias("plausible")), ctes("faces") + f" SELECT video_id, seq, face_id, {EYE_SQL} AS plausible FROM faces")
-query("exp15_eye_state", lambda s, d: faces(s, d).withColumn("state", scoring.eye_state(F.lit(True), open_eyes())).groupBy("video_id", "seq").agg(F.max_by("state", F.struct(c("w") * c("h"), -c("face_id"))).alias("state")),
-      ctes("faces") + f" SELECT video_id, seq, arg_max(CASE WHEN {EYE_SQL} THEN 'open' ELSE 'shut' END, w * h * 100 - face_id) AS state FROM faces GROUP BY video_id, seq")
+query("exp15_eye_state", lambda s, d: selection.top_faces(faces(s, d), 1).select("video_id", "seq", scoring.eye_state(F.lit(True), open_eyes()).alias("state")),
+      ctes("faces") + f" SELECT video_id, seq, CASE WHEN {EYE_SQL} THEN 'open' ELSE 'shut' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seq ORDER BY w * h DESC, face_id, x, y) AS r FROM faces) WHERE r = 1")
 query("exp18_box_expand", lambda s, d: faces(s, d).select(*ID, *scoring.box_expand(1.5, 100)),
       ctes("faces") + "".join([" SELECT video_id, seq, face_id, "] + [f"CAST(greatest(0, round_even({a} + {b} / 2.0 - greatest({b} * 1.5, 100) / 2, 0)) AS INT) AS {a}1, CAST(least({f}, round_even({a} + {b} / 2.0 + greatest({b} * 1.5, 100) / 2, 0)) AS INT) AS {a}2{e} " for a, b, f, e in (("x", "w", "frame_w", ","), ("y", "h", "frame_h", ""))]) + "FROM faces")
 query("exp18_box_scale", lambda s, d: faces(s, d).select(*ID, *scoring.box_scale(0.37)), ctes("faces") + " SELECT video_id, seq, face_id, " + ", ".join(f"CAST(round_even({k} * 0.37::DOUBLE, 0) AS INT) AS {k}" for k in "xywh") + " FROM faces")

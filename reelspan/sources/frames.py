@@ -104,7 +104,7 @@ def frame_grid(selected: DataFrame) -> DataFrame:
     from reelspan.functions.text import timecode
 
     place = F.row_number().over(W.partitionBy("video_id").orderBy("ts_s", "path")) - 1
-    return selected.select("video_id", place.alias("frame_id"), "path", F.round("score", 4).alias("score"), F.round("ts_s", 3).alias("timestamp"), timecode(F.col("ts_s")).alias("timecode"), F.coalesce("caption", F.lit("")).alias("caption"))
+    return selected.select("video_id", place.alias("frame_id"), "path", F.round(F.col("score") + 1e-9, 4).alias("score"), F.round("ts_s", 3).alias("timestamp"), timecode(F.col("ts_s")).alias("timecode"), F.coalesce("caption", F.lit("")).alias("caption"))
 
 
 def write_frame_grid(grid: DataFrame, path: str) -> None:
