@@ -1 +1,57 @@
-"""Queries."""
+"""Queries over candidates and vectors: deduplication, coverage, clusters, tiers and scene repair."""
+
+from pyspark.sql import functions as F
+
+from reelspan.operators import matching, selection as sel
+from reelspan.plans.fixtures import ctes, table
+from reelspan.plans.registry import query
+
+c = F.col
+near = lambda v, n: F.round(v + 1e-8, n)
+cand = lambda s, d: table(s, d, "candidates")
+VID = ["video_id", "face"]
+query("vec1_cosine_l2", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").alias("b"), c("b.vec_id") == c("a.vec_id") + 1).select(c("a.vec_id").alias("vec_id"), near(sel.cosine(c("a.embedding"), c("b.embedding")), 5).alias("cosine"), near(sel.l2_distance(c("a.embedding"), c("b.embedding")), 5).alias("l2"), near(sel.l2_normalise(c("a.embedding"))[0], 5).alias("first")),
+      "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_cosine_similarity(x, y) + 1e-8, 5) AS cosine, round(list_distance(x, y) + 1e-8, 5) AS l2, round(x[1] / sqrt(list_inner_product(x, x)) + 1e-8, 5) AS first FROM p")
+query("vec4_cluster_count", lambda s, d: table(s, d, "documents").select("doc_id", sel.cluster_count(c("doc_id") % 300).alias("k")), "SELECT doc_id, CAST(greatest(2, least(8, CASE WHEN (doc_id % 300) // 25 = 0 THEN 2 ELSE (doc_id % 300) // 25 END, (doc_id % 300) // 2)) AS INT) AS k FROM documents")
+query("vec2_5_cluster_characters", lambda s, d: sel.cluster_characters(cand(s, d)))
+centres = lambda s, d: cand(s, d).where("face < 20 and descriptor is not null").select("video_id", c("face").alias("centre_id"), "descriptor")
+query("vec3_assign_nearest", lambda s, d: sel.assign_nearest(cand(s, d).where("descriptor is not null"), centres(s, d)),
+      ctes("candidates") + ", k AS (SELECT a.video_id, a.face, b.face AS centre_id, round(list_cosine_similarity(a.descriptor::DOUBLE[], b.descriptor::DOUBLE[]), 9) AS s FROM candidates a JOIN candidates b ON a.video_id = b.video_id AND b.face < 20 AND b.descriptor IS NOT NULL AND a.descriptor IS NOT NULL) SELECT video_id, face, centre_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, face ORDER BY s DESC, centre_id) AS r FROM k) WHERE r = 1")
+query("sel2_3_deduplicate", lambda s, d: sel.deduplicate(cand(s, d), ["video_id", "character_id"], 20, 4, "expression", 0.25).select(*VID))
+edges = lambda s, d: cand(s, d).alias("a").join(cand(s, d).alias("b"), (c("a.video_id") == c("b.video_id")) & (c("a.path") != c("b.path")) & ((c("a.score") > c("b.score")) | ((c("a.score") == c("b.score")) & (c("a.face") < c("b.face"))))).where(sel.cosine(c("a.descriptor"), c("b.descriptor")) > 0.25).select(c("a.face").alias("a"), c("b.face").alias("b"))
+query("sel2_deduplicate_large", lambda s, d: sel.deduplicate_large(cand(s, d), edges(s, d)).select(*VID))
+query("sel4_set1_build_pool", lambda s, d: sel.build_pool(cand(s, d), "expression", 0.25).select(*VID, "character_id"))
+query("sel5_select_with_coverage", lambda s, d: sel.select_with_coverage(cand(s, d)).select(*VID, "place"),
+      ctes("candidates") + """, h AS (SELECT *, max(score) OVER (PARTITION BY video_id, character_id) AS head FROM candidates), n AS (SELECT video_id, greatest(20, 2 * count(DISTINCT character_id)) AS target FROM candidates GROUP BY 1),
+      r AS (SELECT *, row_number() OVER (PARTITION BY video_id, character_id ORDER BY score DESC, face) AS rk FROM h WHERE valid), p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rk, head DESC, character_id) AS place FROM r)
+      SELECT video_id, face, place FROM p JOIN n USING (video_id) WHERE place <= target""")
+query("set1_pool_union", lambda s, d: (lambda a, b: a.unionByName(b.join(a, VID, "left_anti")))(cand(s, d).where("sharpness >= 60").select(*VID), cand(s, d).where("score > 0.5").select(*VID)), ctes("candidates") + " SELECT video_id, face FROM candidates WHERE sharpness >= 60 OR score > 0.5")
+grabs = lambda s, d: table(s, d, "grabs")
+signed = lambda s, d: grabs(s, d).join(table(s, d, "embeddings").select((c("vec_id")).alias("_k"), c("embedding").alias("signature")), c("event_id") % 500 == c("_k")).drop("_k")
+SIGNED = "sg AS (SELECT g.*, e.embedding::DOUBLE[] AS sig FROM grabs g JOIN embeddings e ON e.vec_id = g.event_id % 500)"
+CORR = "(SELECT corr(p, q) FROM (SELECT unnest({a}) AS p, unnest({b}) AS q))"
+query("win1_scene_changes", lambda s, d: sel.scene_changes(signed(s, d), 0.10).select("video_id", "seq", near(c("likeness"), 5).alias("likeness"), "scene"),
+      ctes("grabs") + f", {SIGNED}, l AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY seq) AS b FROM sg), u AS (SELECT video_id, seq, unnest(sig) AS p, unnest(b) AS q FROM l WHERE b IS NOT NULL), k AS (SELECT video_id, seq, corr(p, q) AS r FROM u GROUP BY 1, 2) SELECT l.video_id, l.seq, round(r + 1e-8, 5) AS likeness, sum(CASE WHEN r < 0.10 THEN 1 ELSE 0 END) OVER (PARTITION BY l.video_id ORDER BY l.seq) AS scene FROM l LEFT JOIN k USING (video_id, seq)")
+slots = lambda s, d: signed(s, d).where("seq % 12 = 0").withColumn("slot", (c("seq") / 12).cast("int"))
+opened = lambda s, d: signed(s, d).withColumn("open", c("event_id") % 3 == 0)
+query("join2_nearest_same_scene", lambda s, d: matching.nearest_same_scene(slots(s, d), opened(s, d), sel.pearson, 40000.0, 8, 0.10).select("video_id", "slot", "path"),
+      ctes("grabs") + f""", {SIGNED}, sl AS (SELECT *, CAST(seq // 12 AS INT) AS slot FROM sg WHERE seq % 12 = 0), pr AS (SELECT s.video_id, s.slot, c.path, c.event_id, abs(c.ts_s - s.ts_s) AS away, unnest(s.sig) AS p, unnest(c.sig) AS q FROM sl s JOIN sg c ON s.video_id = c.video_id AND c.seq % 12 <> 0 AND abs(c.ts_s - s.ts_s) <= 40000),
+      k AS (SELECT video_id, slot, path, event_id, away FROM pr GROUP BY ALL HAVING corr(p, q) >= 0.10), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY away, path) AS r FROM k) SELECT video_id, slot, arg_min(path, r) AS path FROM r WHERE r <= 8 AND event_id % 3 = 0 GROUP BY 1, 2""")
+query("join3_next_different_scene", lambda s, d: matching.next_different_scene(slots(s, d), signed(s, d), sel.pearson, 0.10),
+      ctes("grabs") + f""", {SIGNED}, sl AS (SELECT *, CAST(seq // 12 AS INT) AS slot FROM sg WHERE seq % 12 = 0), ar AS (SELECT video_id, slot, ts_s, sig, lag(sig) OVER w AS bf, lead(sig) OVER w AS af, lead(ts_s) OVER w AS lim FROM sl WINDOW w AS (PARTITION BY video_id ORDER BY slot)),
+      a1 AS (SELECT video_id, slot, unnest(sig) AS p, unnest(bf) AS q FROM ar WHERE bf IS NOT NULL), stuck AS (SELECT video_id, slot FROM a1 GROUP BY 1, 2 HAVING corr(p, q) >= 0.10),
+      fr AS (SELECT ar.video_id, ar.slot, g.path, g.ts_s AS at_s, g.sig, bf, af FROM ar JOIN stuck USING (video_id, slot) JOIN sg g ON g.video_id = ar.video_id AND g.seq % 12 <> 0 AND g.ts_s > ar.ts_s AND (lim IS NULL OR g.ts_s < lim)),
+      u1 AS (SELECT video_id, slot, path, at_s, unnest(sig) AS p, unnest(bf) AS q FROM fr), k1 AS (SELECT video_id, slot, path, at_s FROM u1 GROUP BY ALL HAVING corr(p, q) < 0.10),
+      u2 AS (SELECT video_id, slot, path, unnest(sig) AS p, unnest(af) AS q FROM fr WHERE af IS NOT NULL), k2 AS (SELECT video_id, slot, path FROM u2 GROUP BY ALL HAVING corr(p, q) >= 0.10)
+      SELECT video_id, slot, arg_min(path, at_s) AS path FROM k1 WHERE NOT EXISTS (SELECT 1 FROM k2 WHERE k2.video_id = k1.video_id AND k2.slot = k1.slot AND k2.path = k1.path) GROUP BY 1, 2""")
+floored = lambda s, d: sel.quality_floors(signed(s, d).withColumn("score", c("focus") / 100))
+query("sel6_to_8_select_spread", lambda s, d: sel.select_spread(floored(s, d), 12, 0.10).select("video_id", "slot", "path", F.round("ts_s", 3).alias("ts_s")))
+query("sel10_by_distinctness", lambda s, d: sel.by_distinctness(table(s, d, "embeddings").select(F.floor(c("vec_id") / 8).alias("origin"), c("vec_id").alias("path"), c("embedding").alias("signature"), F.slice("embedding", 1, 16).alias("outfit"))))
+FLAGS = "path % 3 = 0 AS used, path % 4 = 0 AS recent, face % 2 = 0 AS on_shot"
+flagged = lambda s, d: matching.flag_used(cand(s, d).drop("used"), cand(s, d).where("path % 3 = 0"), cand(s, d).where("path % 4 = 0")).withColumn("on_shot", c("face") % 2 == 0)
+query("join4_flag_used", lambda s, d: flagged(s, d).select(*VID, "used", "recent"), ctes("candidates") + f" SELECT video_id, face, used, recent FROM (SELECT *, {FLAGS} FROM candidates) WHERE true".replace("path % 3 = 0 AS used", "(video_id, path) IN (SELECT (video_id, path) FROM candidates WHERE path % 3 = 0) AS used"))
+query("join11_variation_tiers", lambda s, d: matching.variation_tiers(flagged(s, d)).select("video_id", "path", "tier"),
+      ctes("candidates") + f", q AS (SELECT *, {FLAGS} FROM candidates), t AS (SELECT *, CASE WHEN on_shot AND NOT used AND NOT recent THEN 1 WHEN NOT used AND NOT recent THEN 2 WHEN NOT used THEN 3 ELSE 4 END AS tier FROM q) SELECT video_id, path, tier FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tier, score DESC, path) AS r FROM t) WHERE r = 1")
+moved = lambda s, d: grabs(s, d).select("video_id", (c("seq") % 10).alias("slot"), "path", "focus", F.lit(60.0).alias("origin_focus"), c("motion").alias("moved"), (c("event_id") % 2 == 0).alias("open"), (c("event_id") % 3 == 0).alias("used"))
+query("join12_capture_variation_tiers", lambda s, d: matching.capture_variation_tiers(moved(s, d)),
+      ctes("grabs") + ", q AS (SELECT video_id, seq % 10 AS slot, path, motion, event_id, max(motion) OVER (PARTITION BY video_id, seq % 10) AS most FROM grabs WHERE focus >= 0.75 * 60), t AS (SELECT *, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 3 END AS tier FROM q WHERE motion >= 0.5 * most) SELECT video_id, CAST(slot AS INT) AS slot, path, tier FROM (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY tier, motion DESC, path) AS r FROM t) WHERE r = 1")
