@@ -40,7 +40,8 @@ class Shingles:
         self.known[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Hashes of the words of all texts, of the shingle from each word (texts run on), and words of each text."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         # bytes.lower() and bytes.split() know ASCII only: A-Z, and \\x20 and \\x09-\\x0D
@@ -51,7 +52,10 @@ class Shingles:
         token = np.zeros(max(len(code) - WORDS + 1, 0), "u8")
         for j in range(WORDS):
             token += code[j : j + len(token)] * _SALT[j]
-        token = _mix(token)
+        return code, _mix(token), sizes
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        code, token, sizes = self.tokens(texts)
         out, at = [], 0
         for n in sizes:
             if n >= WORDS:
@@ -77,17 +81,18 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def slack(n: int) -> int:
     """Tokens that two prefixes must share at least; a set's prefix is that much longer."""
-    return 1 + n // 20
+    return 1 + n // 10
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
-    """Documents by slot of their tokens, over the whole corpus; the table's size doesn't depend on it."""
+    """Shingles by slot of their tokens, over the whole corpus; the table's size doesn't depend on it. Shingles across the ends of two
+    texts in a batch count too, which changes the order but not what is found."""
 
     def run(batches):
         shingles, total = Shingles(), np.zeros(1 << SLOT_BITS, "i8")
         for part in _batches(batches):
-            sets = shingles.sets(part.column(0).to_pylist())
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype("i8"), minlength=len(total))
+            _, token, _ = shingles.tokens(part.column(0).to_pylist())
+            total += np.bincount((token >> np.uint64(64 - SLOT_BITS)).astype("i8"), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["slot", "n"])
 
@@ -103,43 +108,33 @@ def _ordered(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, key, text) -> (doc_id, key, n, k1, k2, prefix): size, digest and prefix of each document's set."""
+    """(doc_id, key, text) -> (doc_id, key, n, k1, k2, prefix, packed): size, digest and prefix of each document's set, and its text."""
 
     def run(batches):
-        shingles = Shingles()
+        shingles, press = Shingles(), zstandard.ZstdCompressor(level=3)
         for part in _batches(batches):
-            sets = shingles.sets(part.column(2).to_pylist())
+            texts = part.column(2).to_pylist()
+            sets = shingles.sets(texts)
+            packed = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None for t, s in zip(texts, sets)], pa.binary())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             prefix = [_ordered(s, rank)[: len(s) - (-(-SIMILAR * len(s) // 100)) + slack(len(s))].view("i8") for s in sets]
-            columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "k1", "k2", "prefix"])
+            columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(prefix, pa.list_(pa.int64())), packed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "k1", "k2", "prefix", "packed"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, k1 long, k2 long, prefix array<long>, packed binary")
 
 
-def group_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+def group_links(rows: DataFrame) -> DataFrame:
     """Links (a, b) of documents to leaders of their groups; a group shares one of its members' LEADS first tokens.
 
-    Members come sorted and are dropped once compared, so that a task holds a group's leaders only.
+    rows: signatures. Members come sorted and are dropped once compared, so that a task holds a group's leaders only.
     """
 
-    def lead(batches):
-        shingles, press = Shingles(), zstandard.ZstdCompressor(level=1)
-        for part in _batches(batches):
-            texts = part.column(1).to_pylist()
-            rows = []
-            for i, (s, doc, t) in enumerate(zip(shingles.sets(texts), part.column(0).to_pylist(), texts)):
-                if len(s):
-                    packed, k = press.compress(t.encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
-                    rows += [(int(g), len(s), k, doc, packed) for g in _ordered(s, rank)[:LEADS].view("i8")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["g", "n", "k", "doc_id", "packed"])
-
     def follow(batches):
         shingles, press = Shingles(), zstandard.ZstdDecompressor()
         group, leaders, last, waiting, links = None, [], None, None, []
-        tokens = lambda packed: shingles.sets([press.decompress(packed).decode("utf-8", "surrogatepass")])[0]
+        tokens = lambda packed: shingles.sets([_open(press, packed)])[0]
         for batch in batches:
             for g, n, k, doc, packed in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
                 if g != group:
@@ -165,8 +160,12 @@ def group_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
                 links = []
 
-    rows = docs.select("doc_id", "text").mapInArrow(lead, "g long, n long, k long, doc_id long, packed binary")
-    return rows.repartition("g").sortWithinPartitions("g", "n", "k", "doc_id").mapInArrow(follow, "a long, b long")
+    led = rows.select(F.explode(F.slice("prefix", 1, LEADS)).alias("g"), "n", F.col("k1").alias("k"), "doc_id", "packed")
+    return led.repartition("g").sortWithinPartitions("g", "n", "k", "doc_id").mapInArrow(follow, "a long, b long")
+
+
+def _open(press: zstandard.ZstdDecompressor, packed: bytes) -> str:
+    return press.decompress(packed).decode("utf-8", "surrogatepass")
 
 
 def _shared(batches):
@@ -193,34 +192,48 @@ def _several(table: pa.Table):
     yield from table.filter(pa.array(np.repeat(mixed, np.diff(starts, append=len(token))))).combine_chunks().to_batches()
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of keys, with ids da and db, whose sets are similar: (a, b) as ids."""
+def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of keys, with ids da and db, whose sets are similar: (a, b) as ids. rows: signatures."""
 
     def run(batches):
-        shingles = Shingles()
+        shingles, press = Shingles(), zstandard.ZstdDecompressor()
         for part in _batches(batches, 200):
-            x, y = shingles.sets(part.column(2).to_pylist()), shingles.sets(part.column(3).to_pylist())
+            x, y = (shingles.sets([_open(press, p) for p in part.column(k).to_pylist()]) for k in (2, 3))
             kept = pa.array([similar(p, q) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(kept)
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = written(docs.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    texts = written(rows.select("key", "packed").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed")), "texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("right")), "b")
     return both.select("da", "db", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _rest(n: str) -> str:
+    """SQL: tokens of a set of n that its prefix leaves out."""
+    return f"(({SIMILAR} * {n} + 99) div 100 - 1 - {n} div 10)"
+
+
+def _may_reach(n: str, m: str, spare: int = 0) -> str:
+    """SQL: whether sets of n and m whose prefixes share `both` tokens can be similar. Shared tokens are in both prefixes or come after
+    the end of the prefix that ends first, where that set has no more than its rest."""
+    need = f"({SIMILAR} * ({n} + {m}) + {99 + SIMILAR}) div {100 + SIMILAR}"
+    return f"(both + {spare} >= 1 + least({n}, {m}) div 10 and both + {spare} + greatest({_rest(n)}, {_rest(m)}) >= {need})"
+
+
 def _candidates(shared: DataFrame) -> DataFrame:
-    """Pairs of documents of different groups whose prefixes overlap enough: (a, b, da, db, na.., label_b, both)."""
+    """Pairs of documents of different groups whose prefixes overlap enough: (a, b, da, db, label, both)."""
     union = shared.groupBy("token", F.col("label").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    need = "1 + least(n, {}) div 20"
     matrix = shared.join(union, "token").where(f"label <> other and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
-    bound = matrix.groupBy("key", "n", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"))
-    opened = bound.where("both >= " + need.format("low")).select("key", "other")
+    bound = matrix.groupBy("key", "n", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # what a member needs falls on either side of n (but for rounding, hence the spare tokens), so that the smallest and the largest
+    # possible member decide
+    bound = bound.withColumns({"low": F.expr(f"greatest(low, ({SIMILAR} * n + 99) div 100)"), "high": F.expr(f"least(high, 100 * n div {SIMILAR})")})
+    opened = bound.where(f"{_may_reach('n', 'low', 2)} or {_may_reach('n', 'high', 2)}").select("key", "other")
     asked = shared.join(opened, "key").select("token", F.col("other").alias("label"), F.col("key").alias("a"), F.col("doc_id").alias("da"), "n")
     members = shared.select("token", "label", F.col("key").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("m"))
     pairs = asked.join(members, ["token", "label"]).where(f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)")
     counted = pairs.groupBy("a", "b", "da", "db", "label", "n", "m").agg(F.count("*").alias("both"))
-    return counted.where("both >= " + need.format("m")).select("a", "b", "da", "db", "label", "both")
+    return counted.where(_may_reach("n", "m")).select("a", "b", "da", "db", "label", "both")
 
 
 def _relabel(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -243,10 +256,9 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = own.withColumn("key", F.xxhash64("doc_id", "text"))
     rank = token_counts(own)
     table = written(signatures(keyed, rank), "signatures")
-    sound = keyed.where("doc_id is not null and text is not null")
-    links = written(group_links(sound, rank), "links")
-    # equal sets: the smallest id stands for all
     rows = table.where("doc_id is not null and n > 0")
+    links = written(group_links(rows), "links")
+    # equal sets: the smallest id stands for all
     first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     copies = rows.select("k1", "k2", F.col("doc_id").alias("a")).join(first, ["k1", "k2"]).select("a", F.col("first.doc_id").alias("b")).where("a <> b")
     links = written(links.union(copies), "links")
@@ -261,12 +273,12 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = written(_candidates(shared), "pairs")
     best = F.row_number().over(_best_first())
     tried = pairs.withColumn("r", best).where(f"r <= {FIRST}").select("a", "b", "da", "db").where("da <> db")
-    more = written(links.union(verify(tried, keyed)), "links")
+    more = written(links.union(verify(tried, rows)), "links")
     parts = components(more)
     rest = _relabel(pairs, parts).where("a < b").select("a", "b", "da", "db").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if rest.limit(1).count():
-        parts = components(more.union(verify(rest, keyed)))
+        parts = components(more.union(verify(rest, rows)))
     named = table.select("doc_id", F.col("n").alias("n_shingles")).join(parts, table["doc_id"] == parts["id"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
