@@ -1,0 +1,109 @@
+"""Secret scans, URL filters, SentencePiece and toxicity on small cases; components; the pipeline's decisions."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import sentencepiece
+
+from reelspan.llm import common, secrets, spm, toxicity, urlfilter
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+RANDOM = "q7Zx0Lm3Vb9Kc5Ty2Wd8Hf4J"
+
+
+def plain_scan(text):
+    found = []
+    for rank, (kind, regex, group, least) in enumerate(secrets.BASE):
+        for m in re.finditer(regex.replace("(?i:(", "(?ai:("), text):
+            if len(m.group(group)) >= least:
+                found.append((m.start(), rank, m.end(), kind))
+    base = sorted(found)
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        part = m.group(2)
+        if m.group(1) or re.match(secrets.ALLOWED, part) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
+            continue
+        for i, (kind, regex, _, bits) in enumerate(secrets.CLASSES):
+            if re.match(regex, part):
+                windows = (Counter(part[k : k + 24]) for k in range(len(part) - 23))
+                if max(-sum(c / 24 * math.log2(c / 24) for c in w.values()) for w in windows) >= bits:
+                    more.append((m.start(), 3 + i, m.end(), kind))
+                break
+    text_of = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+    return text_of(base), text_of(base + more)
+
+
+def test_secret_scan(spark):
+    texts = [None, "", "plain words only", f'é😀 token = "{HEX}" x', "password: short", "token=token:abcdefghij", "API_KEY='0123456789'", "AKIA" + "A1" * 6 + " AKIA1", f"{HEX} {HEX}", f"key {RANDOM} end",
+             f"sha256:{RANDOM}", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "123e4567-e89b-12d3-a456-426614174000", "x " * 50_000 + RANDOM, "secret" * 3 + "=" + RANDOM, "01234567890123456789012345678901"]
+    rnd = random.Random(2)
+    texts += ["".join(rnd.choice(["token", "=", ":", " ", '"', HEX[:20], RANDOM[:9], "AKIA", "é", "Ab3"]) for _ in range(30)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as _base", "cast(length(text) as bigint) as n_chars")
+    got = {r["doc_id"]: r for r in secrets.scan(docs.drop("_base")).select("doc_id", secrets.spans_text("_base").alias("b"), secrets.spans_text("_spans").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["b"], got[i]["s"]) == plain_scan(t or ""), t
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs.drop("_base")).collect()}
+    assert clean[3] == "é😀 [SECRET]\" x" and clean[0] is None and clean[2] == texts[2] and len(clean) == len(texts)
+    assert secrets.digests(docs.limit(0)).count() == 0
+
+
+def test_url_filter(spark):
+    cases = [
+        ("http://a.example.org/en/12?x", "example.org/en/1", "block"), ("http://EXAMPLE.org/es/", "example.org/es/", "block"), ("http://x.org", None, "allow"), ("http://x.org/", "org/", "allow"),
+        ("https://notexample.org/es/a", "org/", "allow"), ("http://x.com/de/", "com/de/", "block"), ("http://x.com/fr/a?utm_source=1", "com/fr/", "allow"), ("http://x.com/en?utm_source=f", None, "block"),
+        ("no scheme", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("http://a.net/track/me", None, "block"), ("http://x.net/login?a&session=1", None, "block"), ("x" * 100_000, None, "allow"),
+    ]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(0, cases[0][0])], "page_id long, url string").selectExpr("*", "'z' as host", "'t' as token")
+    got = urlfilter.filter_urls(frame).collect()
+    assert len(got) == len(cases) + 1 and all(r["token"] == "t" for r in got)
+    assert all((r["rule"], r["verdict"]) == cases[r["page_id"]][1:] for r in got)
+    assert urlfilter.filter_urls(frame.limit(0)).count() == 0
+
+
+def test_sentencepiece_gives_the_librarys_ids(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), spm.Transducer.load(path)
+    rnd = random.Random(1)
+    texts = ["", " ", "  two  gaps ", "\n\t x", "日本語 😀", "word " * 5000, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 20] + ["".join(rnd.choice("  \nabcdeéthing.,01(='中国😀") for _ in range(rnd.randrange(20))) for _ in range(3000)]
+    for t in texts:
+        ids = own.encode(t).tolist()
+        assert ids == library.encode(t) and own.decode(ids) == t
+    docs = spark.createDataFrame([(1, "Hello  world"), (2, None), (None, "x"), (1, "Hello  world")], "doc_id long, text string")
+    encoded = spm.encode_documents(docs, path)
+    assert all(r["round_trip"] for r in encoded.collect())
+    assert sorted((r["text"] for r in spm.decode_ids(encoded, path).collect())) == ["", "Hello  world", "Hello  world", "x"]
+    assert spm.encode_documents(docs.limit(0), path).count() == 0
+
+
+def test_unigram_paths_are_the_lightest():
+    t = spm.Transducer(["<unk>", "▁a", "▁", "a", "ab", "b", "▁ab"], [0, -1.0, -2.0, -1.5, -2.2, -1.2, -2.1], [2, 1, 1, 1, 1, 1, 1], bpe=False)
+    assert t.lightest_path("▁ab") == ["▁ab"] and t.lightest_path("▁aab") == ["▁a", "ab"]
+    assert t.encode("z").tolist() == [2, 0]
+
+
+def test_toxicity_learns_insults_and_their_gapped_forms(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice(["ta", "re", "mi", "so", "len", "dor", "vi"]) for _ in range(rnd.randrange(1, 4)))
+    rows = []
+    for i in range(300):
+        w = [word() for _ in range(60)]
+        if i % 4 == 0:
+            for _ in range(3):
+                w.insert(rnd.randrange(60), rnd.choice(["wretch", "blockhead", "scoundrel"]))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    more = [(1000, "so you blockhead go"), (1001, "so you bloxckhead go"), (1002, "w r e t c h indeed"), (1003, "mi so len tare"), (1004, None), (1005, ""), (1006, "mita " * 20000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + more, "doc_id long, text string").selectExpr("*", "'k' as score")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.rate(docs, labels).collect()}
+    held = [(got[i], y) for i, _, y in rows]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert [got[i] for i in range(1000, 1007)] == [1, 1, 1, 0, 0, 0, 0]
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (None, 3), (200, 100)]
+    got = {tuple(r) for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(51)} | {(100, 100), (101, 100), (200, 100)}
