@@ -55,3 +55,6 @@ query("join11_variation_tiers", lambda s, d: matching.variation_tiers(flagged(s,
 moved = lambda s, d: grabs(s, d).select("video_id", (c("seq") % 10).alias("slot"), "path", "focus", F.lit(60.0).alias("origin_focus"), c("motion").alias("moved"), (c("event_id") % 2 == 0).alias("open"), (c("event_id") % 3 == 0).alias("used"))
 query("join12_capture_variation_tiers", lambda s, d: matching.capture_variation_tiers(moved(s, d)),
       ctes("grabs") + ", q AS (SELECT video_id, seq % 10 AS slot, path, motion, event_id, max(motion) OVER (PARTITION BY video_id, seq % 10) AS most FROM grabs WHERE focus >= 0.75 * 60), t AS (SELECT *, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 3 END AS tier FROM q WHERE motion >= 0.5 * most) SELECT video_id, CAST(slot AS INT) AS slot, path, tier FROM (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY tier, motion DESC, path) AS r FROM t) WHERE r = 1")
+frames = lambda s, d: signed(s, d).select("video_id", c("seq").cast("long").alias("position"), (c("event_id") % 3 > 0).alias("usable"), "signature", F.slice("signature", 1, 8).alias("identity"))
+query("join7_alternate_targets", lambda s, d: sel.alternate_targets(frames(s, d), frames(s, d).groupBy("video_id").agg(F.floor(F.max("position") / 2).alias("position")), same=0.10))
+query("sel9_open_eyes", lambda s, d: sel.open_eyes(slots(s, d).withColumn("open", c("event_id") % 2 == 0), opened(s, d).where("event_id % 4 = 1"), opened(s, d), same=0.10, radius=40000.0).select("video_id", "slot", "path", "new_path"))
