@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reelspan.operators import matching, pixels as px, scoring, selection
+from reelspan.operators import grading, matching, pixels as px, selection
 from reelspan.plans.fixtures import ctes, table
 from reelspan.plans.registry import query
 
@@ -77,3 +77,12 @@ query("agg12_iou", lambda s, d: pairs(s, d).select("video_id", "seq", "face_id",
 query("agg12_group_overlays", lambda s, d: px.group_overlays(table(s, d, "embeddings").where("vec_id < 2000").select((c("vec_id") % 40).alias("video_id"), F.floor(c("vec_id") / 40).cast("int").alias("segment"), (c("label") * 10.0).alias("x"), (c("label") * 5.0).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"), c("embedding").alias("patch"))))
 query("join6_overlays_present", lambda s, d: matching.overlays_present(pixel(s, d), px.static_pixels(pixel(s, d).withColumn("segment", F.lit(0))).select("video_id", F.lit(1).alias("overlay_id"), "y", "x", c("median").alias("reference")), 0.4).select("video_id", "seq", near(c("r"), 5).alias("r")),
       ctes("pixel") + ", o AS (SELECT video_id, y, x, median(gray) AS ref FROM pixel GROUP BY ALL), j AS (SELECT p.video_id, p.seq, corr(gray, ref) AS r, stddev_pop(gray) AS a, stddev_pop(ref) AS b FROM pixel p JOIN o USING (video_id, y, x) GROUP BY 1, 2) SELECT video_id, seq, round(r + 1e-8, 5) AS r FROM j WHERE a >= 1e-6 AND b >= 1e-6 AND r >= 0.4")
+GRADED = ["black_push", "white_point", "shadow_lift", "flatten", "contrast", "brightness", "saturation_factor", "clarity", "sharpen"]
+stats = lambda s, d: px.tone_stats(pixel(s, d)).select("video_id", "seq", "p1", "p99", "deviation", c("weighted").alias("subject"), (c("seq") % 90 / 100).alias("saturation"), (c("seq") % 40).cast("double").alias("detail"), (c("seq") % 25).cast("double").alias("lap_var"))
+query("exp22_grade_parameters", lambda s, d: grading.at_intensity(grading.grade_parameters(stats(s, d)), 1.5).select("video_id", "seq", *[near(c(k), 4).alias(k) for k in GRADED]),
+      ctes("pixel") + """, t AS (SELECT video_id, seq, quantile_cont(gray, 0.01) AS p1, quantile_cont(gray, 0.99) AS p99, stddev_pop(gray) AS dev, avg(gray) AS sub, (seq % 90) / 100.0 AS sat, seq % 40 AS det, seq % 25 AS lap FROM pixel GROUP BY 1, 2),
+      g AS (SELECT *, least(4, p1 * 0.8) AS b, greatest(0, 14 - 15 * (sub - 128) / 128) AS w, 22 * greatest(0, least(1, (40 - p1) / 36)) AS l, 30 * greatest(0, least(1, (p99 - 150) / 80)) AS f,
+        CASE WHEN dev < 1e-3 THEN 1.6 ELSE greatest(1, least(1.6, 1 + 0.15 * 47.2 / dev)) END AS k, CASE WHEN sub < 1e-3 THEN 0 ELSE greatest(-76.5, least(0, -7.65 * sub / 83.4)) END AS br, CASE WHEN sat < 1e-3 THEN 2.0 ELSE greatest(1, least(2, 1 + 0.1 * 0.332 / sat)) END AS sf FROM t)
+      SELECT video_id, seq, round(CASE WHEN b >= 0 THEN least(b * 1.5, 45) ELSE greatest(b * 1.5, -45) END + 1e-8, 4) AS black_push, round(least(w * 1.5, 60) + 1e-8, 4) AS white_point, round(least(l * 1.5, 60) + 1e-8, 4) AS shadow_lift, round(least(f * 1.5, 60) + 1e-8, 4) AS flatten,
+        round(least(1 + (k - 1) * 1.5, 1.6) + 1e-8, 4) AS contrast, round(greatest(br * 1.5, -76.5) + 1e-8, 4) AS brightness, round(least(1 + (sf - 1) * 1.5, 2) + 1e-8, 4) AS saturation_factor,
+        round(CASE WHEN det < 1e-3 THEN 0.4 ELSE greatest(0.05, least(0.4, 0.18 * 12.14 / det)) END + 1e-8, 4) AS clarity, round(CASE WHEN lap < 1e-3 THEN 0.55 ELSE greatest(0.1, least(0.55, 0.275 * 10.8 / lap)) END + 1e-8, 4) AS sharpen FROM g""")
