@@ -73,10 +73,10 @@ query("exp4_to_11_composite_score", lambda s, d: scoring.add_score(faces(s, d)).
       ctes("faces") + f", {FRAMED}, {PARTS} SELECT video_id, seq, face_id, round((face_size * 0.10 + sharp_part * 0.28 + motion_blur * 0.12 + exposure * 0.15 + left_space * 0.22 + reframability * 0.13) * penalty + 1e-8, 6) AS score, round(sharp_part + 1e-8, 3) AS sharpness, {', '.join(f'round({k} + 1e-8, 3) AS {k}' for k in BREAKDOWN)} FROM p")
 query("exp12_13_sharp_partition", lambda s, d: faces(s, d).withColumn("label", scoring.sharp_label(c("sharpness"))).where("label is not null").select(*ID, "label"),
       ctes("faces") + " SELECT video_id, seq, face_id, CASE WHEN sharpness >= 20 THEN 'strict' ELSE 'relaxed' END AS label FROM faces WHERE sharpness >= 8")
-EYES = F.expr("array(named_struct('x', x % 40, 'y', y % 12, 'w', 20 + face_id, 'h', 15), named_struct('x', 30 + y % 50, 'y', x % 14, 'w', 18 + face_id * 2, 'h', 14), named_struct('x', 5, 'y', 5, 'w', 4, 'h', 4))")
+EYES = lambda: F.expr("array(named_struct('x', x % 40, 'y', y % 12, 'w', 20 + face_id, 'h', 15), named_struct('x', 30 + y % 50, 'y', x % 14, 'w', 18 + face_id * 2, 'h', 14), named_struct('x', 5, 'y', 5, 'w', 4, 'h', 4))")
 EYE_SQL = """CASE WHEN w / (h * 1.0) < 0.6 THEN false ELSE abs((x % 40 + (20 + face_id) / 2.0) - (30 + y % 50 + (18 + face_id * 2) / 2.0)) / w >= 0.25
   AND abs((y % 12 + 7.5) - (x % 14 + 7.0)) / floor(h * 0.55) <= 0.2 END"""
-open_eyes = lambda: scoring.eyes_plausible(c("w"), c("h"), EYES, F.floor(c("h") * 0.55))
+open_eyes = lambda: scoring.eyes_plausible(c("w"), c("h"), EYES(), F.floor(c("h") * 0.55))
 query("exp14_eyes_plausible", lambda s, d: faces(s, d).select(*ID, open_eyes().alias("plausible")), ctes("faces") + f" SELECT video_id, seq, face_id, {EYE_SQL} AS plausible FROM faces")
 query("exp15_eye_state", lambda s, d: selection.top_faces(faces(s, d), 1).select("video_id", "seq", scoring.eye_state(F.lit(True), open_eyes()).alias("state")),
       ctes("faces") + f" SELECT video_id, seq, CASE WHEN {EYE_SQL} THEN 'open' ELSE 'shut' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seq ORDER BY w * h DESC, face_id, x, y) AS r FROM faces) WHERE r = 1")
