@@ -1,6 +1,8 @@
 """Helpers that the corpus operators share: tables, the shared folder, written tables and link components."""
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -27,9 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor costs one stage, not the lineage."""
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files of finished steps when the driver collects its garbage, which a short job on a small driver may
+    never do; two collections between steps (the first lets go of the plans, the second of their shuffles) keep the disk to one
+    step's files."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def written(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so that a lost executor costs one stage, not the lineage.
+    tidy: first let Spark delete the shuffle files of the steps before."""
     spark = df.sparkSession
+    if tidy:
+        release(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -101,7 +116,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("r")).where("v is not null and r is not null and v <> r")
-    stars = written(links.mapInArrow(_contract, "v long, r long").distinct(), "stars")
+    stars = written(links.mapInArrow(_contract, "v long, r long").distinct(), "stars", tidy=False)
     seen = None
     while True:
         both = stars.select(F.col("v").alias("u"), F.col("r").alias("w")).union(stars.select(F.col("r").alias("u"), F.col("v").alias("w")))
@@ -109,7 +124,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("m").alias("r")).distinct()
         low = large.groupBy("v").agg(F.min("r").alias("m"))
         small = large.join(low, "v").where("r <> m").select(F.col("r").alias("v"), F.col("m").alias("r"))
-        stars = written(small.union(low.select("v", F.col("m").alias("r"))).distinct(), "stars")
+        stars = written(small.union(low.select("v", F.col("m").alias("r"))).distinct(), "stars", tidy=False)
         now = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, r))")).first()
         if now == seen:
             break

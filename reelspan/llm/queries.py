@@ -76,6 +76,8 @@ FROM q
 """
 
 SQL = {
+    "op1_suffix_array_dedup": suffixes.SQL,
+    "op5_embedding_near_dedup": embeddings.SQL,
     "op2_secret_scan": secrets.SQL,
     "op3_warc": WARC_SQL,
     "op6_ngram_jaccard_join": jaccard.SQL,
