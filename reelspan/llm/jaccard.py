@@ -221,9 +221,10 @@ def _may_reach(n: str, m: str, spare: int = 0) -> str:
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
-    """Pairs of documents of different groups whose prefixes overlap enough: (a, b, da, db, label, both)."""
+    """Pairs of documents of different groups whose prefixes overlap enough: (a, b, da, db, label, both). Groups ask those of larger
+    labels, so that each pair comes once."""
     union = shared.groupBy("token", F.col("label").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = shared.join(union, "token").where(f"label <> other and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
+    matrix = shared.join(union, "token").where(f"label < other and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
     bound = matrix.groupBy("key", "n", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
     # what a member needs falls on either side of n (but for rounding, hence the spare tokens), so that the smallest and the largest
     # possible member decide
@@ -275,7 +276,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tried = pairs.withColumn("r", best).where(f"r <= {FIRST}").select("a", "b", "da", "db").where("da <> db")
     more = written(links.union(verify(tried, rows)), "links")
     parts = components(more)
-    rest = _relabel(pairs, parts).where("a < b").select("a", "b", "da", "db").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _relabel(pairs, parts).select("a", "b", "da", "db").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if rest.limit(1).count():
         parts = components(more.union(verify(rest, rows)))
