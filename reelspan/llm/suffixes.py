@@ -15,12 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, offsets_of, width, written
+from .common import flat, offsets_of, width
 
 #: Bytes of a repeated string; bytes of the strings whose smallest hash places a window; windows in a run at most.
 DEPTH, GRAM, RUN = 50, 8, 200
-#: Bytes of text that a task sorts before it sends; windows that are sorted at a time after that.
-CHUNK, SORTED = 6_000_000, 4_000_000
+#: Bytes of text that a task sorts before it sends.
+CHUNK = 5_000_000
 #: Cells into which a partition's windows are dealt, so that one cell at a time is held.
 CELLS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +117,7 @@ def _places(eights: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in (np.array([len(a) for a in arrays], "<i8"), *arrays)))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(a.tobytes() for a in (np.array([len(a) for a in arrays], "<i8"), *arrays)))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -137,18 +137,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], ["kind", "part", "cell", "packed"])
 
 
-def _settled(key: np.ndarray, begin: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
+def _key(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Number of a row: its doc_id and 16 bits of its text's hash, which tell rows of one doc_id apart."""
+    return (doc.astype("i8").view("u8") * _ODD + check.astype("u8")).view("i8")
+
+
+def _settled(doc: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
     """Rows of kind 1: stretches of repeated windows, by the partition of their document."""
-    part = (key.view("u8") % np.uint64(parts)).astype("i8")
+    key, part = _key(doc, check), np.mod(doc ^ (doc >> 7), parts)
     by = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=parts + 1))
     return [(1, int(part[by[a]]), 0, _pack(key[by[a:b]], begin[by[a:b]], size[by[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])] if len(by) else []
 
 
 def _send(parts: int):
-    """(key, doc_id, text) -> settled stretches (kind 1) and runs of windows that are left to compare (kind 0)."""
+    """(check, doc_id, text) -> settled stretches (kind 1) and runs of windows that are left to compare (kind 0)."""
 
-    def chunk(raw, bounds, key, doc):
+    def chunk(raw, bounds, check, doc):
         eights, size = _eights(raw), np.diff(bounds)
         windows = np.maximum(size - DEPTH + 1, 0)
         start = flat(bounds[:-1], windows)
@@ -157,30 +162,30 @@ def _send(parts: int):
             return []
         known = repeated(eights, start, doc[of])
         first, n = _runs(known, start, 0, of)
-        rows = _settled(key[of[first]], (start[first] - bounds[of[first]]).astype("<i8"), n.astype("<i8"), parts)
+        rows = _settled(doc[of[first]], check[of[first]], (start[first] - bounds[of[first]]).astype("<i8"), n.astype("<i8"), parts)
         place = _places(eights, start)
         first, n = _runs(~known, start, RUN, of, place)
         cell = (place[first].astype("u8") * _ODD >> np.uint64(20)) % np.uint64(parts * CELLS)
-        by = np.argsort(cell, kind="stable")
+        by = np.lexsort((of[first], place[first], cell))
         first, n, cell = first[by], n[by], cell[by].astype("i8")
         cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             f, m = first[a:b], n[a:b]
             text = raw[flat(start[f], m + DEPTH - 1)]
             at = start[f] - bounds[of[f]]
-            rows.append((0, int(cell[a]) // CELLS, int(cell[a]) % CELLS, _pack(text, m.astype("<i4"), doc[of[f]], key[of[f]], at.astype("<i8"))))
+            rows.append((0, int(cell[a]) // CELLS, int(cell[a]) % CELLS, _pack(text, m.astype("u1"), doc[of[f]], check[of[f]].astype("<u2"), at.astype("<i4"))))
         return rows
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
             raw, ends = offsets_of(batch.column(2))
-            key, doc = (batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
+            check, doc = (batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
             a = 0
-            while a < len(key):
+            while a < len(doc):
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK - total, "right")) - 1)
-                b = min(b, len(key))
-                held.append((raw[ends[a] : ends[b]], np.diff(ends[a : b + 1]), key[a:b], doc[a:b]))
+                b = min(b, len(doc))
+                held.append((raw[ends[a] : ends[b]], np.diff(ends[a : b + 1]), check[a:b], doc[a:b]))
                 total += int(ends[b] - ends[a])
                 a = b
                 if total >= CHUNK:
@@ -194,26 +199,30 @@ def _send(parts: int):
 
 
 def _joined(held):
-    raw, size, key, doc = (np.concatenate(x) for x in zip(*held))
-    return raw, np.concatenate([[0], np.cumsum(size)]), key, doc
+    raw, size, check, doc = (np.concatenate(x) for x in zip(*held))
+    return raw, np.concatenate([[0], np.cumsum(size)]), check, doc
 
 
 def _compare(parts: int):
-    """Kind 0 rows sorted by cell -> stretches that a smaller document holds (kind 1)."""
+    """Rows sorted by kind and cell: those of kind 0 -> stretches that a smaller document holds (kind 1); the others go on."""
 
     def cell(packed):
-        text, n, doc, key, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "<i4", "<i8", "<i8", "<i8") for p in packed)))
-        begin = np.cumsum(n.astype("i8") + DEPTH - 1) - (n + DEPTH - 1)
-        start = flat(begin, n.astype("i8"))
+        text, n, doc, check, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "u1", "<i8", "<u2", "<i4") for p in packed)))
+        n, at = n.astype("i8"), at.astype("i8")
+        begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
+        start = flat(begin, n)
         of = np.repeat(np.arange(len(n)), n)
         found = repeated(_eights(text), start, doc[of])
         first, size = _runs(found, start, 0, of)
-        return _settled(key[of[first]], (at[of[first]] + start[first] - begin[of[first]]).astype("<i8"), size.astype("<i8"), parts)
+        return _settled(doc[of[first]], check[of[first]], (at[of[first]] + start[first] - begin[of[first]]).astype("<i8"), size.astype("<i8"), parts)
 
     def run(batches):
         at, held = None, []
         for batch in batches:
-            for c, packed in zip(batch.column(2).to_pylist(), batch.column(3)):
+            for kind, part, c, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if kind:
+                    yield _batch([(kind, part, c, packed.as_py())])
+                    continue
                 if c != at:
                     if held and (rows := cell(held)):
                         yield _batch(rows)
@@ -225,44 +234,67 @@ def _compare(parts: int):
     return run
 
 
+def _ship(parts: int):
+    """(check, doc_id, text) of all documents -> rows of kind 2: the documents of each partition, packed together."""
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = offsets_of(batch.column(2))
+            check = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<u2")
+            named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+            size = np.diff(ends)
+            part = np.where(named, np.mod(doc ^ (doc >> 7), parts), check % parts)
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                i = by[a:b]
+                yield _batch([(2, int(part[i[0]]), 0, _pack(raw[flat(ends[i], size[i])], size[i].astype("<i8"), doc[i], check[i], named[i].astype("u1")))])
+
+    return run
+
+
 def _cut(rest: bool):
     """Settled stretches of a partition's documents first, then the documents: what is left of each."""
 
     def run(batches):
         held, by = [], None
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                kind = part.column(0).to_numpy(zero_copy_only=False)
-                held += [_unpack(x.as_py(), "<i8", "<i8", "<i8") for x in part.column(3).filter(pa.array(kind == 1))]
-                docs = part.filter(pa.array(kind == 2))
-                if not docs.num_rows:
+            for kind, packed in zip(batch.column(0).to_pylist(), batch.column(3)):
+                if kind == 1:
+                    held.append(_unpack(packed.as_py(), "<i8", "<i8", "<i8"))
                     continue
                 if by is None:
                     key, begin, size = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, "i8"),) * 3
                     order = np.lexsort((begin, key))
                     by, held = (key[order], begin[order], size[order]), []
-                yield from _documents(docs, *by, rest)
+                docs = _unpack(packed.as_py(), "u1", "<i8", "<i8", "<u2", "u1")
+                for k in range(0, len(docs[1]), 500):
+                    yield _documents(docs, k, k + 500, *by, rest)
 
     return run
 
 
-def _documents(docs, key, begin, size, rest):
-    raw, ends = offsets_of(docs.column(6))
+def _documents(docs, a, b, key, begin, size, rest):
+    raw, sizes, names, check, named = docs
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = _key(names[a:b], check[a:b])
+    first, last = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
     out = []
-    for i, (own, doc) in enumerate(zip(docs.column(4).to_pylist(), docs.column(5).to_pylist())):
-        text = raw[ends[i] : ends[i + 1]]
-        a, b = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+    for i, (doc, known) in enumerate(zip(names[a:b].tolist(), named[a:b].tolist())):
+        text = raw[ends[a + i] : ends[a + i + 1]]
         steps = np.zeros(len(text) + 1, "i4")
-        np.add.at(steps, begin[a:b], 1)
-        np.add.at(steps, begin[a:b] + size[a:b] + DEPTH - 1, -1)
+        if known and last[i] > first[i]:
+            at = slice(first[i], last[i])
+            np.add.at(steps, begin[at], 1)
+            np.add.at(steps, begin[at] + size[at] + DEPTH - 1, -1)
         gone = np.cumsum(steps[:-1]) > 0
         left = text[~gone].tobytes()
         spans = int((np.diff(gone.astype("i1"), prepend=0) == 1).sum())
-        out.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if rest else [])))
+        out.append((doc if known else None, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if rest else [])))
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if rest else []))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if rest else [])]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if rest else [])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rest: bool = False) -> DataFrame:
@@ -273,21 +305,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     aren't smaller than each other, so repeated rows lose the same bytes. Rows without doc_id lose nothing and prove nothing.
     kept (with rest): the bytes that are left. Other columns are not read; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    parts = width(spark)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    sound = own.where("doc_id is not null and octet_length(text) >= 50").select("key", "doc_id", "text")
-    sent = written(sound.mapInArrow(_send(parts), PACKED), "windows")
-    dealt = sent.where("kind = 0").repartition(parts, "part").sortWithinPartitions("part", "cell")
-    found = dealt.mapInArrow(_compare(parts), PACKED)
-    settled = found.union(sent.where("kind = 1")).select("kind", "part", "cell", "packed", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("text"))
-    rows = own.select(F.lit(2).alias("kind"), _part_of("key", parts), F.lit(0).alias("cell"), F.lit(None).cast("binary").alias("packed"), "key", "doc_id", "text")
+    parts = width(docs.sparkSession)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+    sound = own.where("doc_id is not null and octet_length(text) >= 50").select("check", "doc_id", "text")
+    dealt = sound.mapInArrow(_send(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part", "kind", "cell")
+    settled = dealt.mapInArrow(_compare(parts), PACKED)
+    rows = own.select("check", "doc_id", "text").mapInArrow(_ship(parts), PACKED)
     both = settled.union(rows).repartition(parts, "part").sortWithinPartitions("kind")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * rest
     return both.mapInArrow(_cut(rest), schema)
 
 
-def _part_of(key: str, parts: int):
-    """key as an unsigned number modulo parts."""
-    high = (F.shiftrightunsigned(key, 1) % F.lit(parts)) * 2
-    return ((high + F.col(key).bitwiseAND(F.lit(1))) % F.lit(parts)).cast("int").alias("part")
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(greatest(0, length(h) // 2 - 49))) AS r(i)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE doc_id > low),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
