@@ -15,7 +15,7 @@ MAX_BITS = 18
 #: Tokens after which a block is closed (at the end of a document), and between two checkpoints.
 BLOCK_TOKENS, STRIDE = 1 << 19, 256
 #: Distinct pieces of text whose ids a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 #: Id that ends every document.
 END_ID = 2
 
