@@ -40,7 +40,7 @@ STAGES = [
     ("secret_scans", redact_secrets),
     ("sentencepiece", encode_pieces),
 ]
-#: SQL can't express the first and the last stage; the tests hold each stage against a brute-force version.
+#: SQL can't express the first and the last stage; the tests hold each stage's operator against a brute-force version or held-out rows.
 ORACLE_SQL = None
 
 
