@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, forest, written
 
 #: Least cosine of a link.
 COSINE = 0.95
@@ -63,7 +63,7 @@ def _compare(table: int, left: list[dict], right: list[dict] | None):
     ids, jds = np.array([r["rep"] for r in left]), np.array([r["rep"] for r in right])
     many, more = np.array([r["n"] for r in left]), np.array([r["n"] for r in right])
     count, gain = np.zeros(len(x), "i8"), np.zeros(len(y), "i8")
-    edges = []
+    nodes, roots = [], []
     for a in range(0, len(x), 256):
         near = x[a : a + 256] @ y.T >= COSINE
         if own:
@@ -75,12 +75,12 @@ def _compare(table: int, left: list[dict], right: list[dict] | None):
         count += np.bincount(a + i, more[j], len(x)).astype("i8")
         gain += np.bincount(j, many[a + i], len(y)).astype("i8")
         # a spanning forest is enough for components; the counts above hold every link
-        lead, at = np.unique(i, return_index=True)
-        edges += list(zip(ids[a + lead].tolist(), jds[j[at]].tolist()))
-        last, at = np.unique(j, return_index=True)
-        edges += list(zip(ids[a + i[at]].tolist(), jds[last].tolist()))
+        node, root = forest(ids[a + i], jds[j])
+        nodes.append(node[node != root])
+        roots.append(root[node != root])
+    node, root = forest(np.concatenate(nodes), np.concatenate(roots))
     found = [(int(i), None, int(n)) for i, n in zip(ids, count) if n] + [(int(i), None, int(n)) for i, n in zip(jds, gain) if n]
-    return found + [(a, b, 0) for a, b in set(edges)]
+    return found + [(int(a), int(b), 0) for a, b in zip(node, root) if a != b]
 
 
 def _rows(found):

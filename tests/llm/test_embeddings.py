@@ -46,3 +46,24 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert [m[2] for m in mine] == [w[2] for w in want]
     assert {r[0]: r[1:] for r in got if r[0] in (900, 901, 902, 903, 904)} == {i: (0, i, True) for i in range(900, 905)}
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_a_chain_in_one_block_stays_whole():
+    turn = np.radians(17) * np.array([0, 2, 3, 1])  # links (0, 3), (1, 2) and their bridge (1, 3)
+    rows = [{"v": [np.cos(t), np.sin(t)], "buckets": [0], "rep": i, "n": 1} for i, t in enumerate(turn)]
+    found = embeddings._compare(0, rows, None)
+    assert {a: b for a, b, _ in found if b is not None} == {1: 0, 2: 0, 3: 0}
+    assert {a: sum(n for x, b, n in found if x == a and b is None) for a in range(4)} == {0: 1, 1: 2, 2: 1, 3: 2}
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_chains_of_drifting_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows, ids = [], rng.permutation(240)
+    for chain in range(6):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        rows += [(int(ids[chain * 40 + k]), (np.cos(0.21 * k) * a + np.sin(0.21 * k) * b).tolist()) for k in range(14)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect())
+    assert got == [(i, label) for i, _, label in brute(rows)]
