@@ -61,111 +61,201 @@ class Templates:
         first, value = slot(word, True)
         inner, inner_value = slot(word, False)
         code = lambda t: xxhash.xxh64_intdigest(t) if t else 0
-        self.found.append((code(first), code(inner), value, inner_value, word[-1] in ".!?:"))
+        self.found.append((code(first), code(inner), value, inner_value, word[-1] in ".!?:", code("=" + _EDGE.sub("", word).lower())))
         self.place[word] = len(self.found) - 1
         return self.place[word]
 
     def read(self, texts: list[str | None]):
-        """Of all texts: text number, code, number of the spelling, and whether it opens a sentence, one row per template word."""
+        """Of all texts: text number, code, code if the word did (not) open a sentence after all, code of the bare word, number of the
+        spelling, and whether it opens a sentence, one row per template word."""
         if len(self.place) > REMEMBERED:
             self.clear()
         split = [(t or "").split() for t in texts]
         sizes = np.array([len(s) for s in split], "i8")
         get = self.place.get
         index = np.fromiter((i if (i := get(w)) is not None else self._learn(w) for s in split for w in s), "i8", int(sizes.sum()))
-        opens, inner, ends = (np.array([x[k] for x in self.found] or [0], d) for k, d in ((0, "u8"), (1, "u8"), (4, bool)))
+        opens, inner, ends, bare = (np.array([x[k] for x in self.found] or [0], d) for k, d in ((0, "u8"), (1, "u8"), (4, bool), (5, "u8")))
         first = np.ones(len(index), bool)
         first[1:] = ends[index[:-1]]
         first[(np.cumsum(sizes) - sizes)[(sizes > 0)]] = True
-        code = np.where(first, opens[index], inner[index])
+        code, other = np.where(first, opens[index], inner[index]), np.where(first, inner[index], opens[index])
         of = np.repeat(np.arange(len(texts)), sizes)
         kept = code != 0
-        return of[kept], code[kept], index[kept], first[kept]
+        return of[kept], code[kept], other[kept], bare[index[kept]], index[kept], first[kept]
 
     def value(self, index: int, first: bool) -> str:
         return self.found[index][2 if first else 3]
 
 
-def _windows(of: np.ndarray, code: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every window within one text that holds enough literal words. literal: 1 for words without a slot."""
-    n = len(code) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, "i8"), np.zeros(0, "u8")
-    total = np.zeros(n, "u8")
-    for j in range(WINDOW):
+def _sums(code: np.ndarray, width: int) -> np.ndarray:
+    """Of every window of so many words, a sum that the order of its words changes."""
+    n = max(len(code) - width + 1, 0)
+    total = np.full(n, _SALT[width - 1])
+    for j in range(width):
         total += code[j : j + n] * _SALT[j]
-    total ^= total >> np.uint64(31)
-    total *= np.uint64(0x9E3779B97F4A7C15)
-    total ^= total >> np.uint64(29)
+    return total
+
+
+def _mixed(total: np.ndarray) -> np.ndarray:
+    total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return total ^ (total >> np.uint64(29))
+
+
+def _windows(of: np.ndarray, literal: np.ndarray, either: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every window within one text, and whether it holds enough literal words. literal: 1 for words without a slot; either:
+    in one reading at least, which counts for a window's first word, because the word before it may differ in a copy."""
+    n = max(len(of) - width + 1, 0)
     words = np.concatenate([[0], np.cumsum(literal)])
-    start = np.flatnonzero((of[:n] == of[WINDOW - 1 :]) & (words[WINDOW:] - words[:-WINDOW] >= LITERALS))
-    return start, total[start]
+    start = np.flatnonzero(of[:n] == of[width - 1 :])
+    return start, words[start + width] - words[start + 1] + either[start] >= LITERALS
 
 
-SCHEMA = "key long, id long, position int, size int, hash long, slots array<struct<at: int, value: string>>"
+SCHEMA = "key long, id long, position int, size int, width int, before int, after int, own boolean, bare boolean, hash long, slots array<struct<at: int, value: string>>"
+_NAMES = "key id position size width before after own bare hash slots".split()
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
+_SLOT_CODES = np.array([xxhash.xxh64_intdigest(x) for x in ("<number>", "<quantity>", "<unit>", "<name>")], "u8")
+_BARE = np.uint64(xxhash.xxh64_intdigest("bare"))
 
 
-def _scan(passes: np.ndarray | None):
-    """Windows of (key, id, text) rows; with passes (bits of the filter) only those that it lets through."""
-    slot_codes = np.array([xxhash.xxh64_intdigest(x) for x in ("<number>", "<quantity>", "<unit>", "<name>")], "u8")
+def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
+    """Windows of (key, id, text) rows. Of items (passes None) all: as wide as the item where that is short, in both readings of the
+    first word, and, of items that have no window with enough literal words, by the bare words. Of documents those widths and
+    sorts (by bare words or not) that items have, and of them what the filter's bits let through."""
 
     def run(batches):
         templates = Templates()
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                of, code, index, first = templates.read(part.column(2).to_pylist())
-                literal = ~np.isin(code, slot_codes)
-                start, hashed = _windows(of, code, literal)
-                if passes is not None and len(start):
-                    bit = hashed & np.uint64((1 << FILTER_BITS) - 1)
-                    chosen = passes[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
-                    start, hashed = start[chosen], hashed[chosen]
-                if not len(start):
-                    continue
+                of, code, other, bare, index, first = templates.read(part.column(2).to_pylist())
+                slotted, maybe = np.isin(code, _SLOT_CODES), np.isin(other, _SLOT_CODES)
                 sizes = np.bincount(of, minlength=part.num_rows)
                 begin = np.cumsum(sizes) - sizes
-                row = of[start]
-                filled = [[{"at": int(i - begin[r]), "value": templates.value(index[i], first[i])} for i in range(s, s + WINDOW) if not literal[i]] for s, r in zip(start, row)]
-                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((start - begin[row]).astype("i4")), pa.array(sizes[row].astype("i4")), pa.array(hashed.view("i8")), pa.array(filled, pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "position", "size", "hash", "slots"])
+
+                def rows(start, width, hashed, own, by_word, before, after):
+                    row, filled = of[start], []
+                    for s in start:
+                        held = [] if by_word else [(i, first[i]) for i in range(s + 1, s + width) if slotted[i]]
+                        if not by_word and (slotted if own else maybe)[s]:
+                            held.insert(0, (s, first[s] == own))
+                        filled.append([{"at": int(i - begin[of[s]]), "value": templates.value(index[i], f)} for i, f in held])
+                    many = lambda v, t: pa.array(np.broadcast_to(v, len(start)), t)
+                    columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), many(start - begin[row], pa.int32()), many(sizes[row], pa.int32()), many(width, pa.int32()), many(before, pa.int32()), many(after, pa.int32()), many(own, pa.bool_()), many(by_word, pa.bool_()), pa.array(hashed.view("i8")), pa.array(filled, _SLOTS)]
+                    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+                if passes is not None:
+                    for width in sorted({w for w, _ in sorts}):
+                        every, rich = _windows(of, ~slotted, ~(slotted & maybe), width)
+                        for by_word in (b for w, b in sorts if w == width):
+                            start = every[rich != by_word]
+                            hashed = _mixed((_sums(bare, width) + _BARE if by_word else _sums(code, width))[start])
+                            bit = hashed & np.uint64((1 << FILTER_BITS) - 1)
+                            chosen = passes[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
+                            if chosen.any():
+                                yield rows(start[chosen], width, hashed[chosen], True, by_word, 0, 0)
+                    continue
+                for width in range(1, WINDOW + 1):
+                    every, rich = _windows(of, ~slotted, ~(slotted & maybe), width)
+                    fits = np.minimum(sizes, WINDOW)[of[every]] == width
+                    every, rich = every[fits], rich[fits]
+                    poor = np.bincount(of[every], rich, part.num_rows)[of[every]] == 0
+                    if poor.any():
+                        yield rows(every[poor], width, _mixed((_sums(bare, width) + _BARE)[every[poor]]), True, True, 0, 0)
+                    start = every[rich]
+                    if not len(start):
+                        continue
+                    # windows without enough literal words right before and after each one
+                    row, place, edge = of[start], start - begin[of[start]], np.ones(1, bool)
+                    new = np.concatenate([edge, row[1:] != row[:-1]])
+                    before = place - np.where(new, -1, np.concatenate([[-1], place[:-1]])) - 1
+                    after = np.where(np.concatenate([new[1:], edge]), sizes[row] - width + 1, np.concatenate([place[1:], [0]])) - place - 1
+                    sums = _sums(code, width)[start]
+                    yield rows(start, width, _mixed(sums), True, False, before, after)
+                    two = code[start] != other[start]
+                    if two.any():
+                        turned = start[two]
+                        yield rows(turned, width, _mixed(sums[two] + (other[turned] - code[turned]) * _SALT[0]), False, False, before[two], after[two])
 
     return run
 
 
+def _consistent(pairs: set) -> bool:
+    return len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+
+
+def _enough(windows: list[dict], width: int, size: int) -> bool:
+    """Whether windows, by position in the item, are as many as cover the stretch, or some in a row are, if those count that no text can show."""
+    need = min(STRETCH, size) - width + 1
+    if len(windows) >= need:
+        return True
+    begin = last = None
+    for w in windows:
+        if last is None or w["at"] - w["before"] - 1 != last:
+            begin = w["at"] - w["before"]
+        last = w["at"]
+        if last + w["after"] - begin + 1 >= need:
+            return True
+    return False
+
+
+def _stretch(windows: list[dict], width: int, size: int):
+    """Windows that make an alignment a leak, or None: all, or those in the item's own reading."""
+    for some in (windows, [w for w in windows if w["own"]]):
+        if some and _enough(some, width, size) and _consistent({p for w in some for p in w["pairs"]}):
+            return some
+    return None
+
+
+KEPT = "key long, doc_id long, item_id long, n int, position int, same boolean"
+
+
+def _decide(batches):
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            windows = sorted(r["windows"], key=lambda w: w["at"])
+            for w in windows:
+                w["pairs"] = {(p["theirs"], p["ours"]) for p in w["pairs"]}
+            if some := _stretch(windows, r["width"], r["item_size"]):
+                same = all(x == y for w in some for x, y in w["pairs"])
+                out.append((r["key"], r["id"], r["item_id"], len(some) + r["width"] - 1, some[0]["at"] + r["shift"], same))
+        if out:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in KEPT.split(", ")])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, key, n_words, position, same_values): documents that hold a stretch of a benchmark item.
 
     docs (doc_id, text), benchmark (item_id, text); key is xxhash64 of doc_id and text, for documents without an id. A stretch is aligned windows
     of equal templates that together cover 13 words, or all windows of a shorter item; each value of the item's slots must
-    stand for one value of the document's and the reverse. n_words: words of the longest stretch's windows; position: its first
-    word in the document; same_values: the slots hold the item's own values. Null and empty texts and items of fewer than 8
-    words match nothing; repeated rows give one row; other columns are not read; empty tables give none.
+    stand for one value of the document's and the reverse. Windows with fewer than three literal words are not looked up, and
+    those next to matching ones count as matching; an item that has no others is looked up word by word as it stands. An item of
+    fewer than 8 words is one window. n_words: words of the longest stretch's windows; position: its first
+    word in the document; same_values: the slots hold the item's own values. Null and empty texts match nothing; repeated rows
+    give one row; other columns are not read; empty tables give none.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.xxhash64("text").alias("key"), F.col("item_id").cast("long").alias("id"), "text").where("text is not null")
     windows = items.mapInArrow(_scan(None), SCHEMA)
-    windows = windows.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), F.col("size").alias("item_size"), "hash", F.col("slots").alias("item_slots"))
+    windows = windows.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), F.col("size").alias("item_size"), "width", "before", "after", "own", "bare", "hash", F.col("slots").alias("item_slots"))
     windows = windows.distinct().cache()
     bits = windows.select((F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
     words = bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).collect()  # at most 2 ** (FILTER_BITS - 6) rows
     passes = np.zeros(1 << (FILTER_BITS - 6), "i8")
     for w in words:
         passes[w["word"]] = w["bits"]
+    sorts = [(r["width"], r["bare"]) for r in windows.select("width", "bare").distinct().collect()]  # at most 2 * WINDOW rows
     index = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
     found = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    found = found.mapInArrow(_scan(passes.view("u8")), SCHEMA).join(index, "hash")
-    pairs = F.expr("zip_with(slots, item_slots, (a, b) -> struct(b.at as at, b.value as theirs, a.value as ours))")
-    aligned = found.groupBy("key", "id", "item_id", "item_size", (F.col("position") - F.col("item_position")).alias("shift")).agg(
-        F.countDistinct("item_position").alias("n"), F.min("position").alias("position"), F.flatten(F.collect_set(pairs)).alias("pairs")
+    found = found.mapInArrow(_scan(passes.view("u8"), sorts), SCHEMA).select("key", "id", "position", "hash", "slots").join(index, "hash")
+    pairs = F.expr("zip_with(slots, item_slots, (a, b) -> struct(b.value as theirs, a.value as ours))").alias("pairs")
+    aligned = found.groupBy("key", "id", "item_id", "item_size", "width", (F.col("position") - F.col("item_position")).alias("shift")).agg(
+        F.collect_set(F.struct(F.col("item_position").alias("at"), "before", "after", "own", pairs)).alias("windows")
     )
-    kinds = "array_distinct(transform(pairs, p -> {}))"
-    consistent = f"""size({kinds.format('struct(p.theirs, p.ours)')}) = size({kinds.format('p.theirs')})
-                     and size({kinds.format('struct(p.theirs, p.ours)')}) = size({kinds.format('p.ours')})"""
-    whole = F.col("n") >= F.least(F.lit(STRETCH), F.col("item_size")) - WINDOW + 1
-    kept = aligned.where(whole).where(consistent)
-    best = F.max_by(F.struct("position", F.expr("not exists(pairs, p -> p.theirs <> p.ours)").alias("same")), F.struct(F.col("n"), -F.col("position")))
-    return kept.groupBy("key", F.col("id").alias("doc_id"), "item_id").agg((F.max("n") + WINDOW - 1).cast("int").alias("n_words"), best.alias("best")).select(
+    kept = aligned.mapInArrow(_decide, KEPT)
+    best = F.max_by(F.struct("position", "same"), F.struct(F.col("n"), -F.col("position")))
+    return kept.groupBy("key", "doc_id", "item_id").agg(F.max("n").alias("n_words"), best.alias("best")).select(
         "doc_id", "item_id", "key", "n_words", "best.position", F.col("best.same").alias("same_values")
     )
 

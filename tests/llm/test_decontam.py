@@ -35,3 +35,28 @@ def test_part_of_an_item_needs_thirteen_words(spark):
     words = ITEMS[0][1].split()
     _, _, got = found(spark, [(1, " ".join(words[2:15])), (2, " ".join(words[2:14]))])
     assert set(got) == {(1, 1)}
+
+
+def test_short_and_slot_heavy_items(spark):
+    items = [
+        (1, "Name the largest moon of Saturn."),
+        (2, "1, 1, 2, 3, 5, 8, 13, 21: what comes next?"),
+        (3, "Which river flows through the old town of this province?"),
+        (4, "12 31 45 7 8 9 10 11 14 99"),
+        (5, "What is 17?"),
+    ]
+    docs = [
+        (1, "Quiz. " + items[0][1]), (2, "a 7 " + items[1][1]), (3, "Question 7\n" + items[2][1] + " Answer"), (4, "table 1 " + items[3][1] + " 5"), (5, "say what is 17 then"),
+        (6, "name the largest moon of mars"), (7, "1, 1, 2, 3, 5, 8, 13, 21: what went next?"), (8, "the river flows through the old town of this province"), (9, "12 31 45 7 8 9 10 11 14 98"), (10, "what is 18"),
+        (11, "We ask: " + items[2][1]),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # doc 8 lacks only the item's first word
+    assert got == {(i, i): True for i in range(1, 6)} | {(11, 3): True}
+
+
+def test_a_stretch_that_begins_with_a_name(spark):
+    words = ITEMS[0][1].split()
+    _, _, got = found(spark, [(1, " ".join(words[3:16])), (2, "so said " + " ".join(words[3:16]))])
+    assert set(got) == {(1, 1), (2, 1)}
