@@ -2,6 +2,7 @@
 slots of an aligned stretch must be filled consistently, so that re-parameterised questions are found too."""
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,17 @@ def slot(word: str, first: bool) -> tuple[str, str]:
     return low, ""
 
 
+class _Places(dict):
+    """Number of each spelling; one that is not there is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
+
+
 class Templates:
     """Template words by number; each spelling is looked at once."""
 
@@ -54,37 +66,48 @@ class Templates:
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
+        self.place = _Places(self._learn)
         self.found: list[tuple] = []
+        self.known = [np.zeros(0, d) for d in ("u8", "u8", bool, bool, bool, "u8")]
 
     def _learn(self, word: str) -> int:
         first, value = slot(word, True)
         inner, inner_value = slot(word, False)
         code = lambda t: xxhash.xxh64_intdigest(t) if t else 0
-        self.found.append((code(first), code(inner), value, inner_value, word[-1] in ".!?:", code("=" + _EDGE.sub("", word).lower())))
+        self.found.append((code(first), code(inner), value != "", inner_value != "", word[-1] in ".!?:", code("=" + _EDGE.sub("", word).lower()), value, inner_value))
         self.place[word] = len(self.found) - 1
         return self.place[word]
 
     def read(self, texts: list[str | None]):
-        """Of all texts: text number, code, code if the word did (not) open a sentence after all, code of the bare word, number of the
-        spelling, and whether it opens a sentence, one row per template word."""
+        """Of all texts: text number, code, whether it is a slot, whether it is one in both readings, number of the spelling, and
+        whether it opens a sentence, one row per template word."""
         if len(self.place) > REMEMBERED:
             self.clear()
         split = [(t or "").split() for t in texts]
         sizes = np.array([len(s) for s in split], "i8")
-        get = self.place.get
-        index = np.fromiter((i if (i := get(w)) is not None else self._learn(w) for s in split for w in s), "i8", int(sizes.sum()))
-        opens, inner, ends, bare = (np.array([x[k] for x in self.found] or [0], d) for k, d in ((0, "u8"), (1, "u8"), (4, bool), (5, "u8")))
+        index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), "i8", int(sizes.sum()))
+        if more := self.found[len(self.known[0]) :]:
+            self.known = [np.concatenate([x, np.array([f[k] for f in more], x.dtype)]) for k, x in enumerate(self.known)]
+        opens, inner, opens_slot, inner_slot, ends, _ = self.known
         first = np.ones(len(index), bool)
         first[1:] = ends[index[:-1]]
         first[(np.cumsum(sizes) - sizes)[(sizes > 0)]] = True
-        code, other = np.where(first, opens[index], inner[index]), np.where(first, inner[index], opens[index])
+        code = np.where(first, opens[index], inner[index])
         of = np.repeat(np.arange(len(texts)), sizes)
         kept = code != 0
-        return of[kept], code[kept], other[kept], bare[index[kept]], index[kept], first[kept]
+        of, code, index, first = of[kept], code[kept], index[kept], first[kept]
+        return of, code, np.where(first, opens_slot[index], inner_slot[index]), opens_slot[index], index, first  # an opening word's slot is one inside too
+
+    def other(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Codes if these words did (not) open a sentence after all."""
+        return np.where(first, self.known[1][index], self.known[0][index])
+
+    def bare(self, index: np.ndarray) -> np.ndarray:
+        """Codes of these words as they stand."""
+        return self.known[5][index]
 
     def value(self, index: int, first: bool) -> str:
-        return self.found[index][2 if first else 3]
+        return self.found[index][6 if first else 7]
 
 
 def _sums(code: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +136,6 @@ def _windows(of: np.ndarray, literal: np.ndarray, either: np.ndarray, width: int
 SCHEMA = "key long, id long, position int, size int, width int, before int, after int, own boolean, bare boolean, hash long, slots array<struct<at: int, value: string>>"
 _NAMES = "key id position size width before after own bare hash slots".split()
 _SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
-_SLOT_CODES = np.array([xxhash.xxh64_intdigest(x) for x in ("<number>", "<quantity>", "<unit>", "<name>")], "u8")
 _BARE = np.uint64(xxhash.xxh64_intdigest("bare"))
 
 
@@ -127,8 +149,7 @@ def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                of, code, other, bare, index, first = templates.read(part.column(2).to_pylist())
-                slotted, maybe = np.isin(code, _SLOT_CODES), np.isin(other, _SLOT_CODES)
+                of, code, slotted, both, index, first = templates.read(part.column(2).to_pylist())
                 sizes = np.bincount(of, minlength=part.num_rows)
                 begin = np.cumsum(sizes) - sizes
 
@@ -136,7 +157,7 @@ def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
                     row, filled = of[start], []
                     for s in start:
                         held = [] if by_word else [(i, first[i]) for i in range(s + 1, s + width) if slotted[i]]
-                        if not by_word and (slotted if own else maybe)[s]:
+                        if not by_word and templates.value(index[s], first[s] == own):
                             held.insert(0, (s, first[s] == own))
                         filled.append([{"at": int(i - begin[of[s]]), "value": templates.value(index[i], f)} for i, f in held])
                     many = lambda v, t: pa.array(np.broadcast_to(v, len(start)), t)
@@ -145,17 +166,18 @@ def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
 
                 if passes is not None:
                     for width in sorted({w for w, _ in sorts}):
-                        every, rich = _windows(of, ~slotted, ~(slotted & maybe), width)
+                        every, rich = _windows(of, ~slotted, ~both, width)
                         for by_word in (b for w, b in sorts if w == width):
                             start = every[rich != by_word]
-                            hashed = _mixed((_sums(bare, width) + _BARE if by_word else _sums(code, width))[start])
+                            hashed = _mixed((_sums(templates.bare(index), width) + _BARE if by_word else _sums(code, width))[start])
                             bit = hashed & np.uint64((1 << FILTER_BITS) - 1)
                             chosen = passes[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
                             if chosen.any():
                                 yield rows(start[chosen], width, hashed[chosen], True, by_word, 0, 0)
                     continue
+                other, bare = templates.other(index, first), templates.bare(index)
                 for width in range(1, WINDOW + 1):
-                    every, rich = _windows(of, ~slotted, ~(slotted & maybe), width)
+                    every, rich = _windows(of, ~slotted, ~both, width)
                     fits = np.minimum(sizes, WINDOW)[of[every]] == width
                     every, rich = every[fits], rich[fits]
                     poor = np.bincount(of[every], rich, part.num_rows)[of[every]] == 0
@@ -198,12 +220,26 @@ def _enough(windows: list[dict], width: int, size: int) -> bool:
     return False
 
 
+def _unchanged(windows: list[dict], width: int, size: int) -> list[dict]:
+    """The longest run of windows in a row that holds the item's own words over the length of a stretch, or none."""
+    best, begin = (0, 0), 0
+    for k, w in enumerate(windows):
+        if any(x != y for x, y in w["pairs"]):
+            begin = k + 1
+            continue
+        if k > begin and w["at"] - windows[k - 1]["at"] > min(w["before"] + 1, width):
+            begin = k
+        if w["at"] - windows[begin]["at"] + width >= min(STRETCH, size) and k + 1 - begin > best[1] - best[0]:
+            best = (begin, k + 1)
+    return windows[slice(*best)]
+
+
 def _stretch(windows: list[dict], width: int, size: int):
-    """Windows that make an alignment a leak, or None: all, or those in the item's own reading."""
+    """Windows that make an alignment a leak, or none: all, those in the item's own reading, or an unchanged run."""
     for some in (windows, [w for w in windows if w["own"]]):
         if some and _enough(some, width, size) and _consistent({p for w in some for p in w["pairs"]}):
             return some
-    return None
+    return _unchanged(windows, width, size)
 
 
 KEPT = "key long, doc_id long, item_id long, n int, position int, same boolean"
@@ -231,7 +267,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of equal templates that together cover 13 words, or all windows of a shorter item; each value of the item's slots must
     stand for one value of the document's and the reverse. Windows with fewer than three literal words are not looked up, and
     those next to matching ones count as matching; an item that has no others is looked up word by word as it stands. An item of
-    fewer than 8 words is one window. n_words: words of the longest stretch's windows; position: its first
+    fewer than 8 words is one window. A run of windows that holds 13 of the item's words unchanged is a stretch whatever the slots
+    beside it hold. n_words: words of the longest stretch's windows; position: its first
     word in the document; same_values: the slots hold the item's own values. Null and empty texts match nothing; repeated rows
     give one row; other columns are not read; empty tables give none.
     """

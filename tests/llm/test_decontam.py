@@ -60,3 +60,12 @@ def test_a_stretch_that_begins_with_a_name(spark):
     words = ITEMS[0][1].split()
     _, _, got = found(spark, [(1, " ".join(words[3:16])), (2, "so said " + " ".join(words[3:16]))])
     assert set(got) == {(1, 1), (2, 1)}
+
+
+def test_a_changed_slot_does_not_hide_an_unchanged_stretch(spark):
+    start = "At dawn Anna opens the small bakery near the river and sells bread to every neighbour who walks past before the school bell rings"
+    item = start + " while the old clock of the tower counts slowly through a long and quiet morning until at last the baker closes the shop and thanks Anna for all her help."
+    docs = spark.createDataFrame([(1, "Text. " + item[::-1].replace("annA", "atreB", 1)[::-1]), (2, item.replace("Anna", "Berta")), (3, item)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["same_values"], r["n_words"]) for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    words = len(item.split())
+    assert got == {1: (True, words - 5), 2: (False, words), 3: (True, words)}
