@@ -21,6 +21,8 @@ HINT = {
 CANDIDATE = r"((?:sha(?:1|256|384|512)|md5|commit|rev)[:= -]|)([A-Za-z0-9+/_-]{24,})"
 #: Candidates of these shapes are suppressed: UUIDs, digits only, no digit, no letter, documented example keys.
 ALLOWED = r"^([0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[^A-Za-z]*|[^0-9]*|.*EXAMPLE.*|.*(0123456789|abcdefghijkl).*)$"
+#: Words of the allow-list, which suppress a candidate that holds them.
+WORDS = ("EXAMPLE", "0123456789", "abcdefghijkl")
 WINDOW = 24
 #: Character classes: kind, regular expression of the whole candidate, alphabet, bits a symbol from which a window counts.
 CLASSES = (
@@ -63,12 +65,35 @@ def _most_entropy(value: str, alphabet: str) -> str:
         a -> a.best)"""
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def _pieces(value: str, start: str, v: str) -> str:
+    """SQL: array of (s, e, part) of the runs without a space in value that fill a window; value begins at start, v names variables."""
+    return f"""filter(aggregate(split({value}, ' ', -1), struct({start} as pos, cast(array() as array<struct<s: int, e: int, part: string>>) as got),
+        ({v}, {v}w) -> struct({v}.pos + length({v}w) + 1 as pos, array_append({v}.got, struct({v}.pos as s, {v}.pos + length({v}w) as e, {v}w as part)) as got),
+        {v} -> {v}.got), {v}p -> length({v}p.part) >= {WINDOW})"""
+
+
+def _rest() -> str:
+    """SQL: the parts of candidates that a base span or the allow-list drops whole: base spans are cut out, and from runs that are
+    longer than one key, allow-list words."""
+    bare = f"""aggregate(filter(_base, b -> b.s < m.e and m.s < b.e), m.part, (p, b) -> concat(substr(p, 1, greatest(b.s - m.s, 0)),
+        repeat(' ', least(b.e, m.e) - greatest(b.s, m.s)), substr(p, least(b.e, m.e) - m.s + 1)))"""
+    worded = "x.part"
+    for word in WORDS:
+        worded = f"replace({worded}, '{word}', '{' ' * len(word)}')"
+    worded = f"if(length(x.part) >= {2 * WINDOW}, {worded}, x.part)"
+    parts = f"flatten(transform({_pieces(bare, 'm.s', 'k')}, x -> {_pieces(worded, 'x.s', 'l')}))"
+    dropped = f"""filter({_placed("coalesce(_text, '')", CANDIDATE, 2)}, m -> length(m.part) = m.e - m.s
+                and (m.part rlike {_sql(ALLOWED)} or exists(_base, b -> b.s < m.e and m.s < b.e)))"""
+    return f"filter(flatten(transform({dropped}, m -> {parts})), y -> not y.part rlike {_sql(ALLOWED)})"
+
+
+def scan(docs: DataFrame, text: str = "text", rest: bool = False) -> DataFrame:
     """docs plus _base and _spans: arrays of (kind, rank, s, e), by start, then kind as listed in KINDS.
 
     Base spans are the leftmost matches of each kind whose measured group is long enough. The entropy scan adds candidate
     strings in which some window of 24 symbols reaches the bits of their character class, unless the allow-list suppresses
-    them or a base span overlaps them. Positions count code points, ends are exclusive. Null and empty texts have no span;
+    them or a base span overlaps them. With rest, the parts of such candidates are judged by themselves: what base spans leave of
+    them and, in runs of two windows or more, what stands beside allow-list words. Positions count code points, ends are exclusive. Null and empty texts have no span;
     repeated rows, null ids and extra columns stay; very long texts are scanned whole.
     """
     t = "coalesce(_text, '')"
@@ -81,6 +106,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_base", F.expr("array_sort(concat(_assign, _access, _hex), (x, y) -> case when x.s <> y.s then x.s - y.s else x.rank - y.rank end)"))
     found = f"""filter({_placed(t, CANDIDATE, 2)}, m -> not m.part rlike {_sql(ALLOWED)} and length(m.part) = m.e - m.s
                 and not exists(_base, b -> b.s < m.e and m.s < b.e))"""
+    found = f"concat({found}, {_rest()})" if rest else found
     out = out.withColumn("_found", F.expr(f"case when {t} rlike '[A-Za-z0-9+/_-]{{24}}' then {found} else array() end"))
     rated = "case " + " ".join(
         f"when m.part rlike {_sql(regex)} then if({_most_entropy('m.part', alphabet)} >= {bits}D, {len(BASE) + i}, -1)" for i, (_, regex, alphabet, bits) in enumerate(CLASSES)
@@ -103,11 +129,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mark (overlapping spans by one); n_chars follows. No row is dropped; null texts stay null."""
+    """docs with every span of text, those in the rest of a candidate too, replaced by mark (overlapping spans by one); n_chars follows. No row is dropped; null texts stay null."""
     cut = f"""aggregate(_spans, struct(0 as pos, '' as out),
         (a, m) -> struct(greatest(a.pos, m.e) as pos, if(m.s >= a.pos, concat(a.out, substr(coalesce({text}, ''), a.pos + 1, m.s - a.pos), '{mark}'), a.out) as out),
         a -> concat(a.out, substr(coalesce({text}, ''), a.pos + 1)))"""
-    out = scan(docs, text).withColumn(text, F.expr(f"case when size(_spans) = 0 then {text} else {cut} end"))
+    out = scan(docs, text, rest=True).withColumn(text, F.expr(f"case when size(_spans) = 0 then {text} else {cut} end"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr(f"case when size(_spans) = 0 then n_chars else cast(length({text}) as bigint) end"))
     return out.select(*docs.columns)
