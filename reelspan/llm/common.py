@@ -1,15 +1,18 @@
 """Helpers that the corpus operators share: tables, the shared folder, written tables and link components."""
 
-import gc
 import tempfile
-import time
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting by which Spark deletes the shuffle files of a query as soon as the query ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_places: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,33 +24,41 @@ def width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
+    """Folder that driver and executors share: spark.checkpoint.dir, or the folder that SparkContext.setCheckpointDir was given.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that would be a folder of one machine, so
+    that a ValueError says what to set.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="reelspan-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="reelspan-"))
+        where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Spark deletes shuffle files of finished steps when the driver collects its garbage, which a short job on a small driver may
-    never do; two collections between steps (the first lets go of the plans, the second of their shuffles) keep the disk to one
-    step's files."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def written(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that a lost executor costs one stage, not the lineage.
-    tidy: first let Spark delete the shuffle files of the steps before."""
+    The query's shuffle files go when it ends."""
     spark = df.sparkSession
-    if tidy:
-        release(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that `written` gave and that nothing reads any more."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def offsets_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +127,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("r")).where("v is not null and r is not null and v <> r")
-    stars = written(links.mapInArrow(_contract, "v long, r long").distinct(), "stars", tidy=False)
+    stars = written(links.mapInArrow(_contract, "v long, r long").distinct(), "stars")
     seen = None
     while True:
         both = stars.select(F.col("v").alias("u"), F.col("r").alias("w")).union(stars.select(F.col("r").alias("u"), F.col("v").alias("w")))
@@ -124,7 +135,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("m").alias("r")).distinct()
         low = large.groupBy("v").agg(F.min("r").alias("m"))
         small = large.join(low, "v").where("r <> m").select(F.col("r").alias("v"), F.col("m").alias("r"))
-        stars = written(small.union(low.select("v", F.col("m").alias("r"))).distinct(), "stars", tidy=False)
+        done, stars = stars, written(small.union(low.select("v", F.col("m").alias("r"))).distinct(), "stars")
+        discard(done)
         now = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, r))")).first()
         if now == seen:
             break

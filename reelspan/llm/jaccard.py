@@ -4,25 +4,32 @@ tokens, a query's overlap with that union is bounded, and only groups that can h
 A token is the hash of a word shingle. Tokens have one order over the corpus, rare ones first (by a table of counts of fixed
 size, then by hash). Two sets with Jaccard similarity 0.8 or more that differ in their first quarter of that order could not
 share enough of the rest, so that only these prefixes enter the matrix.
+
+Equal sets are one set: a task first keeps one of those it reads, then one is left over all tasks. Groups grow around centres,
+the sets of the commonest tokens among those that share a min-hash: sets similar to a centre are linked with it, sets at least
+half like it belong to its group. The matrix then holds (token, group); the sets that its bound leaves are compared on their
+whole tokens, block by block, within the groups that they open.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, flat, written
 
 WORDS, SIMILAR = 5, 80
-#: Slots of the table of counts that orders tokens; leading tokens by which groups are formed; leaders that a group tries
-#: (documents beyond that are left to the matrix, which is exact); partners that a query tries first in an opened group.
-SLOT_BITS, LEADS, LEADERS, FIRST = 16, 2, 50, 3
-REMEMBERED = 400_000
-#: Group labels up to which their table is sent to every executor.
-BROADCAST_LABELS = 2_000_000
+#: Slots of the table of counts that orders tokens; min-hashes of a set, and how many two sets must share to be tried as centre
+#: and member; leaders that a batch keeps for one min-hash (what these leave apart falls to the matrix, which is exact);
+#: similarity from which a set belongs to a centre's group.
+SLOT_BITS, HASHES, AGREE, LEADERS, NEAR = 16, 6, 2, 3, 50
+#: Parts into which the members of a centre are dealt; tokens of a block of sets that are compared at once.
+SALTS, BLOCK = 64, 1_000_000
+REMEMBERED = 300_000
 _SALT = np.array([int(xxhash.xxh64_intdigest(f"word {j}")) | 1 for j in range(WORDS)], "u8")
+_HASH = np.array([int(xxhash.xxh64_intdigest(f"hash {j}")) | 1 for j in range(HASHES)], "u8")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,9 +81,15 @@ def _batches(batches, rows: int = 500):
             yield batch.slice(a, rows)
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= SIMILAR * (len(x) + len(y) - both) and both > 0
+def shared_tokens(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens that two sorted sets share."""
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR) -> bool:
+    both = shared_tokens(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
 
 
 def slack(n: int) -> int:
@@ -102,110 +115,134 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _ordered(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Tokens in the order of the corpus; tokens come sorted, and the sort is stable."""
-    return tokens[np.argsort(rank[(tokens >> np.uint64(64 - SLOT_BITS)).astype("i8")], kind="stable")]
-
+def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """HASHES min-hashes of each set, -1 for empty ones."""
+    size = np.array([len(x) for x in sets], "i8")
+    out = np.full((len(sets), HASHES), -1, "i4")
+    if size.any():
+        token, begin = np.concatenate(sets), (np.cumsum(size) - size)[size > 0]
+        for j in range(HASHES):
+            out[size > 0, j] = np.minimum.reduceat((_mix(token ^ _HASH[j]) >> np.uint64(33)).astype("i4"), begin)
+    return out
 
-def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, key, text) -> (doc_id, key, n, k1, k2, prefix, packed): size, digest and prefix of each document's set, and its text."""
 
-    def run(batches):
-        shingles, press = Shingles(), zstandard.ZstdCompressor(level=3)
-        for part in _batches(batches):
-            texts = part.column(2).to_pylist()
-            sets = shingles.sets(texts)
-            packed = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None for t, s in zip(texts, sets)], pa.binary())
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            k = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            prefix = [_ordered(s, rank)[: len(s) - (-(-SIMILAR * len(s) // 100)) + slack(len(s))].view("i8") for s in sets]
-            columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(prefix, pa.list_(pa.int64())), packed]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "k1", "k2", "prefix", "packed"])
+def _leaders(sets: list[np.ndarray], hashes: np.ndarray, common: np.ndarray, own: list[int]) -> list[int]:
+    """For each set of a batch a similar one of the same batch, which leads it, or itself; sets of commoner tokens lead."""
+    lead, tables = list(range(len(sets))), [{} for _ in range(HASHES)]
+    rows = hashes.tolist()
+    for i in sorted(own, key=lambda i: -common[i]):
+        row, tried = rows[i], set()
+        for table, h in zip(tables, row):
+            for k in table.get(h, ()):
+                if k not in tried and lead[i] == i:
+                    tried.add(k)
+                    if sum(a == b for a, b in zip(row, rows[k])) >= AGREE and reaches(sets[i], sets[k]):
+                        lead[i] = k
+        if lead[i] == i:
+            for table, h in zip(tables, row):
+                if len(known := table.setdefault(h, [])) < LEADERS:
+                    known.append(i)
+    return lead
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, k1 long, k2 long, prefix array<long>, packed binary")
 
+SIGNATURE = "doc_id long, n long, sid long, home long, lead long, common float, hashes array<int>, prefix array<long>, packed binary"
 
-def group_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of documents to leaders of their groups; a group shares one of its members' LEADS first tokens.
 
-    rows: signatures. Members come sorted and are dropped once compared, so that a task holds a group's leaders only.
+def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """(doc_id, text) -> one row per document: n, size of its set; sid, name of its set (64 bits of its digest; a set of its own
+    where it is empty); home, the smallest doc_id of the equal sets of this batch. The row of that doc_id also has lead, the sid of a
+    similar set of the batch or its own; common, how common its tokens are; hashes; prefix; and packed, its text.
     """
+    weight = np.log1p(rank).astype("f4")
 
-    def follow(batches):
-        shingles, press = Shingles(), zstandard.ZstdDecompressor()
-        group, leaders, last, waiting, links = None, [], None, None, []
-        tokens = lambda packed: shingles.sets([_open(press, packed)])[0]
+    def run(batches):
+        shingles, press = Shingles(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for g, n, k, doc, packed in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
-                if g != group:
-                    group, leaders, last, waiting = g, [], (k, doc), (n, doc, packed.as_py())
-                    continue
-                if k == last[0]:
-                    if doc != last[1]:
-                        links.append((doc, last[1]))
-                    continue
-                last = (k, doc)
-                if waiting:
-                    leaders, waiting = [(waiting[0], waiting[1], tokens(waiting[2]))], None
-                near = [x for x in leaders if 100 * min(n, x[0]) >= SIMILAR * max(n, x[0])]
-                if not near and len(leaders) >= LEADERS:
-                    continue
-                own = tokens(packed.as_py())
-                found = next((x[1] for x in near if similar(own, x[2])), None)
-                if found is not None:
-                    links.append((doc, found))
-                elif len(leaders) < LEADERS:
-                    leaders.append((n, doc, own))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
-                links = []
-
-    led = rows.select(F.explode(F.slice("prefix", 1, LEADS)).alias("g"), "n", F.col("k1").alias("k"), "doc_id", "packed")
-    return led.repartition("g").sortWithinPartitions("g", "n", "k", "doc_id").mapInArrow(follow, "a long, b long")
+            doc = batch.column(0).to_pylist()
+            texts = batch.column(1).to_pylist()
+            sets = [x for a in range(0, len(texts), 500) for x in shingles.sets(texts[a : a + 500])]
+            sid = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes() if len(x) else b"empty %d" % (d or 0))[:8], "little", signed=True) for d, x in zip(doc, sets)]
+            first: dict[int, int] = {}
+            for i, s in enumerate(sid):
+                if doc[i] is not None and ((k := first.get(s)) is None or doc[i] < doc[k]):
+                    first[s] = i
+            home = [doc[first[s]] if d is not None else None for d, s in zip(doc, sid)]
+            carries = [d is not None and first[s] == i for i, (d, s) in enumerate(zip(doc, sid))]
+            slots = [(x >> np.uint64(64 - SLOT_BITS)).astype("i8") for x in sets]
+            common = np.array([weight[x].mean() if len(x) else 0 for x in slots], "f4")
+            hashes = min_hashes(sets)
+            own = [i for i, c in enumerate(carries) if c and len(sets[i])]
+            lead = _leaders(sets, hashes, common, own)
+            prefix = [x[np.argsort(rank[t], kind="stable")[: prefix_size(len(x))]].view("i8") if c else None for c, x, t in zip(carries, sets, slots)]
+            packed = [press.compress(t.encode("utf-8", "surrogatepass")) if c and len(x) else None for c, t, x in zip(carries, texts, sets)]
+            columns = [
+                batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(home, pa.int64()),
+                pa.array([sid[k] if c else None for c, k in zip(carries, lead)], pa.int64()), pa.array(common),
+                pa.array([h if c and n else None for c, h, n in zip(carries, hashes.tolist(), map(len, sets))], pa.list_(pa.int32())),
+                pa.array(prefix, pa.list_(pa.int64())), pa.array(packed, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "home", "lead", "common", "hashes", "prefix", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+
+
+def prefix_size(n: int) -> int:
+    return n - (-(-SIMILAR * n // 100)) + slack(n) if n else 0
 
 
 def _open(press: zstandard.ZstdDecompressor, packed: bytes) -> str:
     return press.decompress(packed).decode("utf-8", "surrogatepass")
 
 
-def _shared(batches):
-    """Rows (token, ...) sorted by token, label last: those of tokens that more than one label has."""
-    held: list = []
-    for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        token = table.column(0).to_numpy()
-        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-        if cut:
-            yield from _several(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-    if held:
-        yield from _several(pa.Table.from_batches(held))
-
-
-def _several(table: pa.Table):
-    token, label = table.column(0).to_numpy(), table.column(3).to_numpy()
-    if not len(token):
-        return
-    starts = np.flatnonzero(np.diff(token, prepend=~token[0]))
-    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-    yield from table.filter(pa.array(np.repeat(mixed, np.diff(starts, append=len(token))))).combine_chunks().to_batches()
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, packed) of the wanted sids, one row each. rows: signatures."""
+    found = rows.where("packed is not null").select("sid", "packed").join(wanted, "sid", "left_semi")
+    return found.dropDuplicates(["sid"])
+
+
+def centres(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) to try: of the sets that share a min-hash, b and the one of the commonest tokens, a. One pair at most for each set
+    and min-hash, whatever the size of the bucket."""
+    one = F.struct("common", "sid", "n", "hashes")
+    dealt = sets.select(F.posexplode("hashes").alias("j", "h"), one.alias("own"))
+    best = dealt.groupBy("j", "h").agg(F.max("own").alias("best"), F.count("*").alias("held")).where("held > 1").drop("held")
+    agree = F.aggregate(F.zip_with("own.hashes", "best.hashes", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = dealt.join(best, ["j", "h"]).where("own.sid <> best.sid").where(f"100 * least(own.n, best.n) >= {NEAR} * greatest(own.n, best.n)")
+    return near.where(agree >= AGREE).select(F.col("best.sid").alias("a"), F.col("own.sid").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of keys, with ids da and db, whose sets are similar: (a, b) as ids. rows: signatures."""
+    """(a, b) -> (a, b, percent) of the pairs whose sets are NEAR or nearer: percent is the Jaccard similarity rounded down.
+
+    The members of a centre are dealt into SALTS parts; each part gets the centre's text once and streams the members'.
+    """
 
     def run(batches):
         shingles, press = Shingles(), zstandard.ZstdDecompressor()
-        for part in _batches(batches, 200):
-            x, y = (shingles.sets([_open(press, p) for p in part.column(k).to_pylist()]) for k in (2, 3))
-            kept = pa.array([similar(p, q) for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(kept)
-
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = written(rows.select("key", "packed").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed")), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("right")), "b")
-    return both.select("da", "db", "left", "right").mapInArrow(run, "a long, b long")
+        head, centre = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 300):
+                part, found = batch.slice(at, 300), []
+                sets = shingles.sets([_open(press, p) for p in part.column(3).to_pylist()])
+                for a, b, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets):
+                    if b is None:
+                        head, centre = a, own
+                    elif a == head:
+                        both = shared_tokens(centre, own)
+                        if (percent := 100 * both // (len(centre) + len(own) - both)) >= NEAR:
+                            found.append((a, b, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b", "percent"])
+
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = written(_texts(rows, wanted), "texts")
+    heads = salted.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
+    members = salted.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "part", "b", "packed")
+    dealt = heads.union(members).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    done = written(dealt.mapInArrow(run, "a long, b long, percent long"), "verified")
+    discard(texts)
+    return done
 
 
 def _rest(n: str) -> str:
@@ -220,28 +257,92 @@ def _may_reach(n: str, m: str, spare: int = 0) -> str:
     return f"(both + {spare} >= 1 + least({n}, {m}) div 10 and both + {spare} + greatest({_rest(n)}, {_rest(m)}) >= {need})"
 
 
-def _candidates(shared: DataFrame) -> DataFrame:
-    """Pairs of documents of different groups whose prefixes overlap enough: (a, b, da, db, label, both). Groups ask those of larger
-    labels, so that each pair comes once."""
-    union = shared.groupBy("token", F.col("label").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = shared.join(union, "token").where(f"label < other and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
-    bound = matrix.groupBy("key", "n", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
+def opened(prefixes: DataFrame) -> DataFrame:
+    """(sid, n, label, grp, prefix) -> (sid, n, label, grp, other): groups that can hold a partner of another label for each set.
+
+    The matrix has a row for each token and group, with the smallest and largest set and label that hold the token there. Tokens
+    of one label only are no rows of it. A hot token is rare in prefixes, which start with the rarest.
+    """
+    held = prefixes.select(F.explode("prefix").alias("token"), "sid", "n", "label", "grp").repartition("token")
+    union = held.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("least"), F.max("label").alias("most"))
+    by = Window.partitionBy("token")
+    matrix = union.withColumns({"l": F.min("least").over(by), "m": F.max("most").over(by)}).where("l <> m").drop("l", "m")
+    # in its own group a set looks for holders of another label
+    asked = held.join(matrix, "token").where(f"(grp <> other or label <> least or label <> most) and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
+    bound = asked.groupBy("sid", "n", "label", "grp", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
     # what a member needs falls on either side of n (but for rounding, hence the spare tokens), so that the smallest and the largest
     # possible member decide
     bound = bound.withColumns({"low": F.expr(f"greatest(low, ({SIMILAR} * n + 99) div 100)"), "high": F.expr(f"least(high, 100 * n div {SIMILAR})")})
-    opened = bound.where(f"{_may_reach('n', 'low', 2)} or {_may_reach('n', 'high', 2)}").select("key", "other")
-    asked = shared.join(opened, "key").select("token", F.col("other").alias("label"), F.col("key").alias("a"), F.col("doc_id").alias("da"), "n")
-    members = shared.select("token", "label", F.col("key").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("m"))
-    pairs = asked.join(members, ["token", "label"]).where(f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)")
-    counted = pairs.groupBy("a", "b", "da", "db", "label", "n", "m").agg(F.count("*").alias("both"))
-    return counted.where(_may_reach("n", "m")).select("a", "b", "da", "db", "label", "both")
+    return bound.where(f"{_may_reach('n', 'low', 2)} or {_may_reach('n', 'high', 2)}").select("sid", "n", "label", "grp", "other")
+
 
+def compare(asking: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between similar sets of different labels in the groups that they open. asking: what `opened` returns.
 
-def _relabel(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose documents are in different components."""
-    of = lambda c: parts.select(F.col("id").alias(f"d{c}"), F.col("component_id").alias(f"l{c}"))
-    named = pairs.join(of("a"), "da", "left").join(of("b"), "db", "left")
-    return named.where(F.coalesce("la", "da") != F.coalesce("lb", "db")).select(*pairs.columns)
+    Of two groups, the sets that open each other's group meet; within a group, the sets outside the label that gave the group its
+    name meet all. Each side is dealt into blocks of about BLOCK tokens and each pair of blocks is one task's share: the first
+    block is indexed by token, the second is streamed past it.
+    """
+
+    def index(sets, labels):
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        by = np.argsort(token, kind="stable")
+        token, start = np.unique(token[by], return_index=True)
+        return token, start, np.diff(start, append=len(by)), owner[by], np.array([len(x) for x in sets]), np.array(labels)
+
+    def look(held, names, known, sets, labels, members):
+        token, start, count, owner, size, label = held
+        for own, mark, name in zip(sets, labels, members):
+            at = np.minimum(np.searchsorted(token, own), len(token) - 1)
+            at = at[token[at] == own]
+            both = np.bincount(owner[flat(start[at], count[at])], minlength=len(size))
+            for k in np.flatnonzero((100 * both >= SIMILAR * (size + len(own) - both)) & (both > 0) & (label != mark)):
+                pair = (int(label[k]), mark)
+                if pair not in known:  # one link joins two labels
+                    known.add(pair)
+                    yield names[k], name
+
+    def run(batches):
+        shingles, press = Shingles(), zstandard.ZstdDecompressor()
+        at, first, held, known = None, [], None, set()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 300):
+                part, links = batch.slice(a, 300), []
+                sets = shingles.sets([_open(press, p) for p in part.column(7).to_pylist()])
+                names, labels, sides = (part.column(k).to_pylist() for k in (5, 6, 4))
+                cells = list(zip(*(part.column(k).to_pylist() for k in range(4))))
+                for cell, side, name, mark, own in zip(cells, sides, names, labels, sets):
+                    if cell != at:
+                        at, first, held, known = cell, [], None, set()
+                    if side == 0:
+                        first.append((own, mark, name))
+                    elif first:
+                        held = held or index([x[0] for x in first], [x[1] for x in first])
+                        links += look(held, [x[2] for x in first], known, [own], [mark], [name])
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    pair = [F.least("grp", "other").alias("g"), F.greatest("grp", "other").alias("h")]
+    across = asking.where("grp <> other").select(*pair, (F.col("grp") > F.col("other")).cast("int").alias("side"), "sid", "n", "label")
+    within = asking.where("grp = other").select(*pair, F.lit(1).alias("side"), "sid", "n", "label")
+    sides = across.union(within).union(asking.where("grp = other and label <> grp").select(*pair, F.lit(0), "sid", "n", "label"))
+    cells = sides.groupBy("g", "h").agg(*(F.sum(F.when(F.col("side") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
+    blocks = cells.where("n0 is not null and n1 is not null").select("g", "h", *(F.expr(f"1 + n{k} div {BLOCK}").cast("int").alias(f"b{k}") for k in (0, 1)))
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    across = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1)
+    met = written(sides.join(blocks, ["g", "h"]).select("g", "h", "side", "sid", "label", own.alias("own"), across.alias("meets")), "met")
+    texts = _texts(rows, met.select("sid").distinct())
+    dealt = met.join(texts, "sid").withColumn("meets", F.explode("meets"))
+    dealt = dealt.select("g", "h", *(F.when(F.col("side") == k, F.col("own")).otherwise(F.col("meets")).alias(f"i{k}") for k in (0, 1)), "side", "sid", "label", "packed")
+    found = dealt.repartition("g", "h", "i0", "i1").sortWithinPartitions("g", "h", "i0", "i1", "side", "sid").mapInArrow(run, "a long, b long")
+    done = written(found, "compared")
+    discard(met)
+    return done
+
+
+def _labels(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    return sets.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("component_id", "sid")).drop("component_id")
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,45 +352,37 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Fewer than five words are one shingle; null texts and texts without words have none and link with nothing. Rows without a
     doc_id link with nothing and have no component. Repeated rows, and rows that share a doc_id, are one document and get
     the same component. Other columns are not read; an empty table gives an empty one. No similar pair of different
-    components is left: every pair that the matrix can't rule out is verified on its whole sets.
+    components is left: every pair that the matrix can't rule out is compared on its whole sets.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = own.withColumn("key", F.xxhash64("doc_id", "text"))
-    rank = token_counts(own)
-    table = written(signatures(keyed, rank), "signatures")
-    rows = table.where("doc_id is not null and n > 0")
-    links = written(group_links(rows), "links")
-    # equal sets: the smallest id stands for all
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    copies = rows.select("k1", "k2", F.col("doc_id").alias("a")).join(first, ["k1", "k2"]).select("a", F.col("first.doc_id").alias("b")).where("a <> b")
-    links = written(links.union(copies), "links")
+    table = written(signatures(own, token_counts(own)), "signatures")
+    rows = table.where("lead is not null")  # one for each set and batch
+    size = rows.groupBy("sid").agg(F.min("home").alias("node"), F.first("n").alias("n"), F.max("common").alias("common"), F.first("hashes").alias("hashes"), F.bool_or(F.col("lead") != F.col("sid")).alias("led"))
+    sets = written(size, "sets")
+    tried = verify(centres(sets.where("n > 0 and not led")), rows)
+    # rows of one doc_id are one document, whatever their texts
+    several = table.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("doc_id is not null and a <> z").select("doc_id", "a")
+    links = rows.select(F.col("sid").alias("a"), F.col("lead").alias("b")).union(tried.where(f"percent >= {SIMILAR}").select("a", "b"))
+    links = written(links.union(table.join(several, "doc_id").select("a", F.col("sid").alias("b"))).where("a <> b"), "links")
     parts = written(components(links), "parts")
-    few = parts.count() <= BROADCAST_LABELS
-    stands = first.select(F.col("first.key").alias("key"))
-    labels = parts.select(F.col("id").alias("doc_id"), F.col("component_id").alias("label"))
-    held = rows.join(stands, "key", "left_semi").join(F.broadcast(labels) if few else labels, "doc_id", "left")
-    tokens = held.select(F.explode("prefix").alias("token"), "key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n").select("token", "key", "doc_id", "label", "n")
-    tokens = tokens.repartition("token").sortWithinPartitions("token")
-    shared = written(tokens.mapInArrow(_shared, "token long, key long, doc_id long, label long, n long"), "shared")
-    pairs = written(_candidates(shared), "pairs")
-    best = F.row_number().over(_best_first())
-    tried = pairs.withColumn("r", best).where(f"r <= {FIRST}").select("a", "b", "da", "db").where("da <> db")
-    more = written(links.union(verify(tried, rows)), "links")
-    parts = components(more)
-    rest = _relabel(pairs, parts).select("a", "b", "da", "db").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if rest.limit(1).count():
-        parts = components(more.union(verify(rest, rows)))
-    named = table.select("doc_id", F.col("n").alias("n_shingles")).join(parts, table["doc_id"] == parts["id"], "left")
+    labelled = _labels(sets.select("sid", "n"), parts)
+    nearest = tried.groupBy("b").agg(F.max(F.struct("percent", "a")).alias("best")).select(F.col("b").alias("sid"), F.col("best.a").alias("centre"))
+    grouped = labelled.join(nearest, "sid", "left").join(labelled.select(F.col("sid").alias("centre"), F.col("label").alias("grp")), "centre", "left")
+    grouped = grouped.select("sid", "n", "label", F.coalesce("grp", "label").alias("grp"))
+    prefixes = rows.where("n > 0").select("sid", "prefix").join(grouped, "sid").dropDuplicates(["sid"])
+    asking = written(opened(prefixes), "opened")
+    more = compare(asking, rows)
+    if more.limit(1).count():
+        done, parts = parts, components(links.union(more))
+        discard(done)
+    discard(asking, tried)
+    final = _labels(sets.select("sid", "node"), parts)
+    least = final.groupBy("label").agg(F.min("node").alias("component_id"))
+    at_home = rows.select("home", "sid").distinct().join(final.join(least, "label").select("sid", "component_id"), "sid")
+    named = table.select("doc_id", F.col("n").alias("n_shingles"), "home", "sid").join(at_home, ["home", "sid"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _best_first():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("a", "label").orderBy(F.desc("both"), "b")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; rows without doc_id stay. All columns stay."""
     joined = join_documents(docs)

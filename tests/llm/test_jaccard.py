@@ -52,5 +52,24 @@ def test_against_all_pairs(spark, monkeypatch, leaders):
     assert kept.columns == docs.columns and kept.count() == sum(i is None or i == c for i, _, c in got)
 
 
+@pytest.mark.parametrize(("agree", "block"), [(7, 400), (2, 400)])
+def test_a_cloud_of_copies(spark, monkeypatch, agree, block):
+    """Copies at the threshold of each other, a third of all rows; agree 7: no centre is tried, so that the matrix finds all."""
+    monkeypatch.setattr(jaccard, "AGREE", agree)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(100)]
+    rows = [(i, " ".join(word() for _ in range(rnd.randrange(5, 60)))) for i in range(100)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(rnd.randrange(2000, 2040), rows[5][1]) for _ in range(30)] + [(7, None), (2001, rows[130][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in jaccard.join_documents(docs).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert jaccard.join_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
