@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -56,3 +57,16 @@ def test_documents(spark):
         at += len(ids)
     assert got == want
     assert tf.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_files_alone_are_enough_for_another_session(spark, tmp_path):
+    rows = [(i, f"file {i} of many " * (i % 7)) for i in range(50)]
+    path = f"file://{tmp_path}/tokens"
+    tf.save_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH, path)
+    fresh = spark.newSession()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in tf.open_files(fresh, path).collect()}
+    assert got == dict(zip(range(50), plain([t for _, t in rows])))
+    heads = [bytes(r["bits"]) for r in fresh.read.parquet(path).where("block = -1").collect()]
+    assert heads and len(set(heads)) == 1 and tf.read_header(heads[0])[1:] == (2, tf.STRIDE)
+    with pytest.raises(ValueError):
+        tf.read_header(b"other")
