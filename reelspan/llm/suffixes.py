@@ -21,28 +21,40 @@ from .common import flat, offsets_of, width
 DEPTH, GRAM, RUN = 50, 8, 200
 #: Bytes of text that a task sorts before it sends.
 CHUNK = 5_000_000
+#: Positions whose hashes are computed at once.
+BLOCK = 1 << 14
 #: Cells into which a partition's windows are dealt, so that one cell at a time is held.
 CELLS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = [(0x9E3779B97F4A7C15 * k * k + 0x632BE59BD9B4E019 * k | 1) % (1 << 64) for k in range(1, 8)]
 
 
+def _blocks(n: int):
+    """Ranges of BLOCK positions, small enough to stay in a core's cache."""
+    return ((a, min(a + BLOCK, n)) for a in range(0, n, BLOCK))
+
+
 def _eights(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as a number, first byte highest; positions in the last seven are filled with zeros."""
-    x = np.concatenate([raw, np.zeros(8, "u1")])
-    two = x[:-1].astype("u2") << np.uint16(8) | x[1:]
-    four = two[:-2].astype("u4") << np.uint32(16) | two[2:]
-    return (four[:-4].astype("u8") << np.uint64(32) | four[4:])[: len(raw)]
+    out = np.empty(len(raw), "u8")
+    x = np.concatenate([raw, np.zeros(15, "u1")])
+    for a, b in _blocks(len(raw)):
+        for k in range(8):
+            into = out[a + k : b : 8]
+            into[:] = x[a + k : a + k + 8 * len(into)].view(">u8")
+    return out
 
 
 def _fingerprints(eights: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Fingerprint of the DEPTH bytes from each start."""
-    total = np.zeros(len(start), "u8")
-    for k, at in enumerate((*range(0, DEPTH - 8, 8), DEPTH - 8)):
-        total += eights[start + at] * np.uint64(_PLACES[k])
-    total ^= total >> np.uint64(32)
-    total *= _ODD
-    return total
+    """Fingerprint of the DEPTH bytes from each start, built from those of the 8, 16 and 32 bytes from every position."""
+    out = np.zeros(len(eights), "u8")
+    for a, b in _blocks(max(len(eights) - DEPTH + 8, 0)):
+        total = eights[a : b + DEPTH - 8]
+        for k, step in enumerate((8, 16, DEPTH - 32)):
+            total = total[: len(total) - step] * np.uint64(_PLACES[k]) + total[step:] * np.uint64(_PLACES[k + 3])
+            total ^= total >> np.uint64(29)
+        out[a:b] = total * _ODD
+    return out[start]
 
 
 def _not_alone(prints: np.ndarray) -> np.ndarray:
@@ -64,14 +76,19 @@ def equal_groups(eights: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     group = np.zeros(len(kept), "i8")
     for at in (*range(0, DEPTH - 8, 8), DEPTH - 8):
         digit = eights[start[kept] + at]
-        by = np.argsort(digit, kind="stable")
-        by = by[np.argsort(group[by], kind="stable")] if at else by
-        kept, group, digit = kept[by], group[by], digit[by]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        mixed = np.flatnonzero((~np.logical_and.reduceat(digit == digit[first][group], first))[group]) if len(kept) else first
+        if len(mixed):  # groups of one digit stay as they are
+            by = np.arange(len(kept))
+            by[mixed] = mixed[np.lexsort((digit[mixed], group[mixed]))]
+            kept, digit = kept[by], digit[by]
         new = np.ones(len(kept), bool)
         new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
         group = np.cumsum(new) - 1
         several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-        kept, group = kept[several], group[several]
+        if not several.all():
+            kept, group = kept[several], group[several]
+            group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
     return kept, group
 
 
@@ -106,26 +123,33 @@ def _runs(flag: np.ndarray, start: np.ndarray, limit: int, *same: np.ndarray) ->
 
 def _places(eights: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Smallest hash of the GRAM-byte strings of each window."""
-    x = ((eights * _ODD) >> np.uint64(32)).astype("u4")
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    n, have = DEPTH - GRAM + 1, 1
-    while have < n:
-        step = min(have, n - have)
-        x[: len(x) - step] = np.minimum(x[: len(x) - step], x[step:])
-        have += step
-    return x[start]
+    out, n = np.zeros(len(eights), "u4"), DEPTH - GRAM + 1
+    for a, b in _blocks(max(len(eights) - DEPTH + GRAM, 0)):
+        x = ((eights[a : b + n - 1] * _ODD) >> np.uint64(32)).astype("u4")
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        have = 1
+        while have < n:
+            step = min(have, n - have)
+            x = np.minimum(x[: len(x) - step], x[step:])
+            have += step
+        out[a:b] = x
+    return out[start]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(b"".join(a.tobytes() for a in (np.array([len(a) for a in arrays], "<i8"), *arrays)))
+    """Arrays byte plane by byte plane, so that equal high bytes stand together."""
+    planes = [np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *planes]))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes, at, out = np.frombuffer(raw, "<i8", len(kinds)), 8 * len(kinds), []
     for n, k in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        width = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, "u1", n * width, at)
+        out.append(planes if width == 1 else np.ascontiguousarray(planes.reshape(width, n).T).view(k).ravel())
+        at += n * width
     return out
 
 
@@ -138,7 +162,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _key(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Number of a row: its doc_id and 16 bits of its text's hash, which tell rows of one doc_id apart."""
+    """Number of a row: its doc_id and 32 bits of its text's hash, which tell rows of one doc_id apart."""
     return (doc.astype("i8").view("u8") * _ODD + check.astype("u8")).view("i8")
 
 
@@ -173,7 +197,7 @@ def _send(parts: int):
             f, m = first[a:b], n[a:b]
             text = raw[flat(start[f], m + DEPTH - 1)]
             at = start[f] - bounds[of[f]]
-            rows.append((0, int(cell[a]) // CELLS, int(cell[a]) % CELLS, _pack(text, m.astype("u1"), doc[of[f]], check[of[f]].astype("<u2"), at.astype("<i4"))))
+            rows.append((0, int(cell[a]) // CELLS, int(cell[a]) % CELLS, _pack(text, m.astype("u1"), doc[of[f]], check[of[f]].astype("<u4"), at.astype("<i4"))))
         return rows
 
     def run(batches):
@@ -207,7 +231,7 @@ def _compare(parts: int):
     """Rows sorted by kind and cell: those of kind 0 -> stretches that a smaller document holds (kind 1); the others go on."""
 
     def cell(packed):
-        text, n, doc, check, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "u1", "<i8", "<u2", "<i4") for p in packed)))
+        text, n, doc, check, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "u1", "<i8", "<u4", "<i4") for p in packed)))
         n, at = n.astype("i8"), at.astype("i8")
         begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
         start = flat(begin, n)
@@ -240,7 +264,7 @@ def _ship(parts: int):
     def run(batches):
         for batch in batches:
             raw, ends = offsets_of(batch.column(2))
-            check = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<u2")
+            check = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<u4")
             named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
             size = np.diff(ends)
@@ -268,7 +292,7 @@ def _cut(rest: bool):
                     key, begin, size = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, "i8"),) * 3
                     order = np.lexsort((begin, key))
                     by, held = (key[order], begin[order], size[order]), []
-                docs = _unpack(packed.as_py(), "u1", "<i8", "<i8", "<u2", "u1")
+                docs = _unpack(packed.as_py(), "u1", "<i8", "<i8", "<u4", "u1")
                 for k in range(0, len(docs[1]), 500):
                     yield _documents(docs, k, k + 500, *by, rest)
 
@@ -306,7 +330,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept (with rest): the bytes that are left. Other columns are not read; an empty table gives an empty one.
     """
     parts = width(docs.sparkSession)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     sound = own.where("doc_id is not null and octet_length(text) >= 50").select("check", "doc_id", "text")
     dealt = sound.mapInArrow(_send(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part", "kind", "cell")
     settled = dealt.mapInArrow(_compare(parts), PACKED)
