@@ -78,8 +78,9 @@ def names_in(text: Column) -> Column:
 
 
 def frame_name(i: Column, total: Column) -> Column:
-    """frame-<i>, zero-padded to the width of the total."""
-    return F.concat(F.lit("frame-"), F.lpad(i.cast("string"), F.length(total.cast("string")), F.lit("0")))
+    """frame-<i>, zero-padded to the width of the total; a number that is wider than the total keeps all its digits."""
+    number = i.cast("string")
+    return F.concat(F.lit("frame-"), F.lpad(number, F.greatest(F.length(total.cast("string")), F.length(number)), F.lit("0")))
 
 
 def timecode(seconds: Column) -> Column:

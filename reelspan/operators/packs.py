@@ -1,7 +1,12 @@
 """Content packs, releases and lint: JSON documents as rows of paths, versions as arrays, findings as rows."""
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reelspan.functions.text import version_key
 
@@ -25,16 +30,35 @@ def sort_packs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("problem is null").drop("problem"), marked.where("problem is not null").select("path", "problem")
 
 
-def flatten(packs: DataFrame, key: str = "id", depth: int = 12) -> DataFrame:
-    """(id, doc JSON) -> (id, path, value JSON): objects are opened down to `depth`; arrays and scalars are values. Empty objects are values too."""
-    level = packs.select(key, F.lit("").alias("path"), F.col("doc").alias("value"))
-    found = None
-    for _ in range(depth):
-        opened = level.withColumn("_m", F.when(F.startswith(F.trim("value"), F.lit("{")), F.from_json("value", "map<string,string>")))
-        leaf = opened.where("_m is null or size(_m) = 0").select(key, "path", "value")
-        found = leaf if found is None else found.union(leaf)
-        level = opened.where("size(_m) > 0").select(key, "path", F.explode("_m").alias("k", "v")).select(key, F.concat_ws("/", F.nullif("path", F.lit("")), "k").alias("path"), F.col("v").alias("value"))
-    return found
+def _leaves(doc: str | None):
+    """Paths and values of a JSON text, by a stack, whatever its depth."""
+    if doc is None:
+        return
+    plain = lambda v: v if isinstance(v, str) else None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    stack = [("", json.loads(doc))]
+    while stack:
+        path, value = stack.pop()
+        if not isinstance(value, dict) or not value:
+            yield path, plain(value)
+            continue
+        names = ((k.replace("~", "~0").replace("/", "~1"), v) for k, v in value.items())
+        stack.extend((f"{path}/{k}" if path else k, v) for k, v in names)
+
+
+def flatten(packs: DataFrame, key: str = "id") -> DataFrame:
+    """(id, doc JSON) -> (id, path, value JSON): objects are opened, however deep; arrays and scalars are values, and so are empty objects. In
+    a path / parts the keys; inside a key it stands as ~1, and ~ as ~0. Null documents have no rows; unreadable ones fail (see sort_packs)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, docs = batch.column(0), batch.column(1).to_pylist()
+            found = [(i, *leaf) for i, doc in enumerate(docs) for leaf in _leaves(doc)]
+            at, paths, values = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], [key, "path", "value"])
+
+    named = packs.select(key, "doc")
+    schema = StructType([named.schema[key], StructField("path", StringType()), StructField("value", StringType())])
+    return named.mapInArrow(run, schema)
 
 
 def strip_meta(rows: DataFrame) -> DataFrame:
@@ -43,27 +67,34 @@ def strip_meta(rows: DataFrame) -> DataFrame:
 
 
 def deep_merge(base: DataFrame, over: DataFrame, key: str = "id") -> DataFrame:
-    """Rows (id, path, value) of both: over wins; rows of base below a path that over replaces, or above one that it opens, go."""
-    o = over.select(F.col(key).alias("_k"), F.col("path").alias("_p"))
-    shadowed = (F.col(key) == F.col("_k")) & (F.startswith("path", F.concat("_p", F.lit("/"))) | F.startswith("_p", F.concat("path", F.lit("/"))))
-    kept = base.join(o, shadowed, "left_anti").withColumnRenamed("value", "_b")
-    return kept.join(over.withColumnRenamed("value", "_o"), [key, "path"], "full").select(key, "path", F.coalesce("_o", "_b").alias("value"))
-
-
-def expand_use(packs: DataFrame, presets: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, path, value) of both: over wins; rows of base below a path that over replaces, or above one that it opens, go. An empty
+    object of over replaces a scalar or an array, but changes nothing of an object."""
+    o = over.select(F.col(key).alias("_k"), F.col("path").alias("_p"), (F.trim("value") == "{}").alias("_empty"))
+    mine = F.col(key) == F.col("_k")
+    below, above = F.startswith("path", F.concat("_p", F.lit("/"))), F.startswith("_p", F.concat("path", F.lit("/")))
+    kept = base.join(o, mine & ((below & ~F.coalesce("_empty", F.lit(False))) | above), "left_anti").withColumnRenamed("value", "_b")
+    held = base.select(F.col(key).alias("_k"), F.col("path").alias("_p"))
+    filled = over.join(held, mine & F.startswith("_p", F.concat("path", F.lit("/"))) & (F.trim("value") == "{}"), "left_anti")
+    return kept.join(filled.withColumnRenamed("value", "_o"), [key, "path"], "full").select(key, "path", F.coalesce("_o", "_b").alias("value"))
+
+
+def expand_use(packs: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packs (id, use, doc rows aside) with the chain of presets (preset, use) that they reach: (id, preset, depth), nearest first; problem rows for
-    unknown presets and cycles."""
-    step = packs.where("use is not null").select("id", F.col("use").alias("preset"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("seen"))
-    chain, problems = None, None
-    for _ in range(most):
-        known = step.join(presets.select("preset", F.col("use").alias("_next"), F.lit(True).alias("_known")), "preset", "left")
-        loop = F.array_contains("seen", F.col("preset"))
-        bad = known.where(F.col("_known").isNull() | loop).select("id", "preset", F.when(loop, "cycle").otherwise("unknown").alias("problem"))
-        good = known.where(F.col("_known").isNotNull() & ~loop)
-        rows = good.select("id", "preset", "depth")
-        chain, problems = (rows, bad) if chain is None else (chain.union(rows), problems.union(bad))
-        step = good.where("_next is not null").select("id", F.col("_next").alias("preset"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("preset")).alias("seen"))
-    return chain, problems
+    unknown presets and cycles. Chains are followed once for each preset that is used, to their ends, and then joined to the packs;
+    one of more than 10,000 presets is an error."""
+    starts = packs.where("use is not null").select("use").distinct()
+    chain = packs.sparkSession.sql(
+        """WITH RECURSIVE chain(start, preset, depth, seen) MAX RECURSION LEVEL 10000 AS (
+             SELECT use, use, 0, CAST(array() AS array<string>) FROM {starts} UNION ALL
+             SELECT c.start, p.use, c.depth + 1, array_append(c.seen, c.preset) FROM chain c JOIN {presets} p ON p.preset = c.preset
+             WHERE p.use IS NOT NULL AND NOT array_contains(c.seen, c.preset))
+           SELECT start, preset, depth, array_contains(seen, preset) AS loop FROM chain""",
+        starts=starts, presets=presets,
+    )
+    reached = chain.join(presets.select("preset", F.lit(True).alias("_known")), "preset", "left")
+    users = packs.where("use is not null").select("id", F.col("use").alias("start")).join(reached, "start")
+    good = users.where("_known is not null and not loop").select("id", "preset", "depth")
+    return good, users.where("_known is null or loop").select("id", "preset", F.when(F.col("loop"), "cycle").otherwise("unknown").alias("problem"))
 
 
 def packs_by_group(packs: DataFrame) -> DataFrame:
@@ -88,18 +119,26 @@ def build_feed(manifests: DataFrame) -> DataFrame:
     return out.withColumn("latest", F.try_element_at("patches", F.lit(-1)).getField("version"))
 
 
-def upgrade_path(installs: DataFrame, patches: DataFrame, most: int = 16) -> DataFrame:
+def upgrade_path(installs: DataFrame, patches: DataFrame) -> DataFrame:
     """(machine, step, version): from each install (machine, version), again and again the highest patch (version, min_version) above it that
-    it may take. Each step raises the version, and `most` bounds the steps."""
-    p = F.broadcast(patches.select(F.col("version").alias("to"), version_key(F.col("version")).alias("_v"), version_key(F.coalesce("min_version", F.lit("0.0.0"))).alias("_m")))  # a release list: some hundred rows
-    at = installs.select("machine", version_key(F.col("version")).alias("_at"))
-    steps = None
-    for k in range(most):
-        best = at.join(p, (F.col("_v") > F.col("_at")) & (F.col("_m") <= F.col("_at"))).groupBy("machine").agg(F.max(F.struct("_v", "to")).alias("b"))
-        row = best.select("machine", F.lit(k).alias("step"), F.col("b.to").alias("version"))
-        steps = row if steps is None else steps.union(row)
-        at = best.select("machine", F.col("b._v").alias("_at"))
-    return steps
+    it may take. Each step raises the version, so that a path ends.
+
+    Paths are followed once for each distinct version (a release list: some hundred), then joined to the machines. The highest
+    patch that a version may take is a running maximum over minimum versions.
+    """
+    at = installs.select("machine", "version", version_key(F.col("version")).alias("_at"))
+    offered = patches.select(version_key(F.coalesce("min_version", F.lit("0.0.0"))).alias("_at"), F.struct(version_key(F.col("version")).alias("_v"), F.col("version").alias("to")).alias("best"))
+    versions = at.select("_at").union(offered.select("best._v")).distinct()
+    upto = W.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    ahead = offered.union(versions.select("_at", F.lit(None).cast(offered.schema["best"].dataType))).withColumn("b", F.max("best").over(upto)).where("best is null and b._v > _at")
+    paths = installs.sparkSession.sql(
+        """WITH RECURSIVE path(start, step, version, reached) MAX RECURSION LEVEL 10000 AS (
+             SELECT _at, 0, b.to, b._v FROM {ahead} UNION ALL
+             SELECT p.start, p.step + 1, a.b.to, a.b._v FROM path p JOIN {ahead} a ON a._at = p.reached)
+           SELECT start, step, version FROM path""",
+        ahead=ahead.select("_at", "b"),
+    )
+    return at.select("machine", F.col("_at").alias("start")).join(paths, "start").select("machine", "step", "version")
 
 
 def offending_chars(line: Column) -> Column:

@@ -74,14 +74,19 @@ query("win14_vary_openings", lambda s, d: cp.vary_openings(named(s, d), cp.peopl
       ctes("sentences") + f""", {OPENED}, z AS (SELECT n.video_id, n.sent_id, text, key, spelling, row_number() OVER (PARTITION BY n.video_id ORDER BY n.sent_id) - row_number() OVER (PARTITION BY n.video_id, key ORDER BY n.sent_id) AS island FROM n LEFT JOIN op ON n.video_id = op.video_id AND n.sent_id = op.sent_id AND r = 1),
       y AS (SELECT *, row_number() OVER (PARTITION BY video_id, key, island ORDER BY sent_id) - 2 AS k FROM z)
       SELECT y.video_id, sent_id, CASE WHEN y.key IS NOT NULL AND k >= 0 THEN (CASE WHEN k % 2 = 0 THEN split_part(pe.full, ' ', -1) ELSE split_part(pe.full, ' ', 1) END) || substr(ltrim(text), length(spelling) + 1) ELSE text END AS text FROM y LEFT JOIN pe ON y.video_id = pe.video_id AND y.key = pe.key""")
-frame_ids = lambda s, d: sentences(s, d).select("video_id", F.explode(F.array(c("sent_id") * 2, c("sent_id") * 2 + 1)).alias("frame_id"))
 PIECES = f"""{CUTS}, pc AS (SELECT s.video_id, s.sent_id, CASE WHEN b.head IS NULL THEN [s.text] ELSE [regexp_replace(b.head, '[,;:—–]+$', ''), b.tail] END AS p FROM sentences s LEFT JOIN b ON b.video_id = s.video_id AND b.sent_id = s.sent_id AND b.r = 1)"""
+#: Every third video has as many frames as sentences, the others twice as many.
+frame_ids = lambda s, d: sentences(s, d).select("video_id", F.explode(F.expr("if(video_id % 3 = 0, array(sent_id), array(sent_id * 2, sent_id * 2 + 1))")).alias("frame_id"))
 query("win11_deal_captions", lambda s, d: cp.deal_captions(sentences(s, d), frame_ids(s, d)),
-      ctes("sentences") + f", {PIECES}, dl AS (SELECT video_id, piece, row_number() OVER (PARTITION BY video_id ORDER BY sent_id, k) - 1 AS frame_id FROM (SELECT video_id, sent_id, unnest(range(len(p))) AS k, unnest(p) AS piece FROM pc)), fr AS (SELECT video_id, unnest([sent_id * 2, sent_id * 2 + 1]) AS frame_id FROM sentences) SELECT fr.video_id, fr.frame_id, coalesce(piece, '') AS caption FROM fr LEFT JOIN dl USING (video_id, frame_id)")
+      ctes("sentences") + f""", {PIECES}, fr AS (SELECT video_id, unnest(CASE WHEN video_id % 3 = 0 THEN [sent_id] ELSE [sent_id * 2, sent_id * 2 + 1] END) AS frame_id FROM sentences), fc AS (SELECT video_id, count(*) AS frames FROM fr GROUP BY 1),
+      ax AS (SELECT pc.video_id, pc.sent_id, s.text, p, frames, coalesce(sum(len(p)) OVER (PARTITION BY pc.video_id ORDER BY pc.sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pc JOIN fc USING (video_id) JOIN sentences s USING (video_id, sent_id)),
+      dl AS (SELECT video_id, before + unnest(range(len(q))) AS frame_id, unnest(q) AS piece FROM (SELECT video_id, before, CASE WHEN frames - before >= 2 THEN p ELSE [text] END AS q FROM ax WHERE before < frames))
+      SELECT fr.video_id, fr.frame_id, coalesce(piece, '') AS caption FROM fr LEFT JOIN dl USING (video_id, frame_id)""")
 query("win12_claim_captions", lambda s, d: cp.claim_captions(sentences(s, d), table(s, d, "moments")),
       ctes("sentences", "moments") + f""", {PIECES}, mt AS (SELECT m.video_id, m.slot, arg_min(s.sent_id, round(greatest(start_s - ts_s, ts_s - end_s, 0), 6) * 1000000 + s.sent_id / 1000.0) AS sent_id FROM moments m JOIN sentences s ON m.video_id = s.video_id AND ts_s BETWEEN start_s - 2.5 AND end_s + 2.5 GROUP BY 1, 2),
-      ky AS (SELECT m.video_id, m.slot, mt.sent_id, row_number() OVER (PARTITION BY m.video_id, mt.sent_id ORDER BY ts_s, m.slot) AS k FROM moments m JOIN mt USING (video_id, slot))
-      SELECT m.video_id, m.slot, coalesce(CASE WHEN k <= len(p) THEN p[k] END, '') AS caption FROM moments m LEFT JOIN ky USING (video_id, slot) LEFT JOIN pc ON pc.video_id = ky.video_id AND pc.sent_id = ky.sent_id""")
+      ky AS (SELECT m.video_id, m.slot, mt.sent_id, row_number() OVER (PARTITION BY m.video_id, mt.sent_id ORDER BY ts_s, m.slot) AS k, count(*) OVER (PARTITION BY m.video_id, mt.sent_id) AS claims FROM moments m JOIN mt USING (video_id, slot))
+      SELECT m.video_id, m.slot, coalesce(CASE WHEN claims = 1 THEN st.text WHEN k <= len(p) THEN p[k] END, '') AS caption FROM moments m LEFT JOIN ky USING (video_id, slot) LEFT JOIN pc ON pc.video_id = ky.video_id AND pc.sent_id = ky.sent_id
+      LEFT JOIN sentences st ON st.video_id = ky.video_id AND st.sent_id = ky.sent_id""")
 query("win13_drop_repeats", lambda s, d: cp.repeats_previous(sentences(s, d)).select(*SID, F.round("overlap", 6).alias("overlap"), F.coalesce("repeats", F.lit(False)).alias("repeats")),
       ctes("sentences") + f""", q AS (SELECT video_id, sent_id, list_distinct({TOKENS}) AS t FROM sentences), p AS (SELECT *, lag(t) OVER (PARTITION BY video_id ORDER BY sent_id) AS b FROM q),
       o AS (SELECT video_id, sent_id, CASE WHEN b IS NOT NULL AND least(len(t), len(b)) >= 5 THEN len(list_intersect(t, b)) / least(len(t), len(b)) ELSE 0.0 END AS overlap FROM p) SELECT video_id, sent_id, round(overlap, 6) AS overlap, overlap >= 0.75 AS repeats FROM o""")
@@ -99,6 +104,6 @@ query("win16_quote_roles", lambda s, d: cp.quote_roles(s.sql(QUOTED.replace("FRO
 query("win17_adjacent_runs", lambda s, d: cp.adjacent_runs(words(s, d).withColumn("picked", c("idx") % 7 < 3)),
       ctes("words") + ", q AS (SELECT *, idx % 7 < 3 AS picked FROM words), w AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) - row_number() OVER (PARTITION BY video_id, picked ORDER BY idx) AS i FROM q) SELECT video_id, picked, min(idx) AS first, max(idx) AS last, string_agg(text, ' ' ORDER BY idx) AS piece FROM w GROUP BY video_id, picked, i")
 query("txt13_balanced_lines", lambda s, d: cp.balanced_lines(sentences(s, d).select(*SID, "text"), 30).select(*SID, F.array_join("lines", "|").alias("lines")))
-query("txt14_frame_name", lambda s, d: table(s, d, "grabs").select("event_id", tx.frame_name(c("seq") + 1, F.lit(120)).alias("name")), ctes("grabs") + " SELECT event_id, 'frame-' || CASE WHEN length(CAST(seq + 1 AS VARCHAR)) >= 3 THEN CAST(seq + 1 AS VARCHAR)[1:3] ELSE lpad(CAST(seq + 1 AS VARCHAR), 3, '0') END AS name FROM grabs")
+query("txt14_frame_name", lambda s, d: table(s, d, "grabs").select("event_id", tx.frame_name(c("seq") + 1, F.lit(120)).alias("name")), ctes("grabs") + " SELECT event_id, 'frame-' || CASE WHEN length(CAST(seq + 1 AS VARCHAR)) >= 3 THEN CAST(seq + 1 AS VARCHAR) ELSE lpad(CAST(seq + 1 AS VARCHAR), 3, '0') END AS name FROM grabs")
 query("txt15_timecode", lambda s, d: table(s, d, "moments").select("video_id", "slot", tx.timecode(c("ts_s")).alias("timecode")), ctes("moments") + " SELECT video_id, slot, printf('%02dm%02ds%02d', CAST(floor(floor(ts_s) / 60) AS INT), CAST(floor(ts_s) AS INT) % 60, CAST(round_even((ts_s - floor(ts_s)) * 100, 0) AS INT) % 100) AS timecode FROM moments")
 query("txt16_parse_duration", lambda s, d: table(s, d, "moments").select("video_id", "slot", F.round(tx.parse_duration(F.expr("concat(slot % 3, ':', slot % 60, ':', ts_s)")), 4).alias("seconds")), ctes("moments") + " SELECT video_id, slot, round((slot % 3) * 3600 + (slot % 60) * 60 + ts_s, 4) AS seconds FROM moments")

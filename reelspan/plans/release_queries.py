@@ -41,10 +41,10 @@ query("sel14_upgrade_path", lambda s, d: pk.upgrade_path(table(s, d, "customer")
       SELECT machine, step, version FROM w WHERE step >= 0""")
 DOC = "concat('{\"a\": ', CAST({k} % 5 AS VARCHAR(20)), ', \"_note\": 1, \"b\": {\"x\": ', CAST({k} % 7 AS VARCHAR(20)), ', \"y\": [1, 2], \"use\": \"p\"}, \"schema\": 2}')"
 docs = lambda s, d: parts(s, d).select(c("k").alias("id"), F.expr(DOC.replace("{k}", "k")).alias("doc"))
-query("jsn1_strip_meta", lambda s, d: pk.strip_meta(pk.flatten(docs(s, d), depth=4)).select("id", "path", F.regexp_replace("value", r"\s", "").alias("value")),
+query("jsn1_strip_meta", lambda s, d: pk.strip_meta(pk.flatten(docs(s, d))).select("id", "path", F.regexp_replace("value", r"\s", "").alias("value")),
       f"SELECT k AS id, unnest(['a', 'b/x', 'b/y']) AS path, unnest([CAST(k % 5 AS VARCHAR), CAST(k % 7 AS VARCHAR), '[1,2]']) AS value FROM {PARTS}")
 over = lambda s, d: parts(s, d).select(c("k").alias("id"), F.expr("CASE k % 3 WHEN 0 THEN '{\"b\": 9}' WHEN 1 THEN '{\"b\": {\"x\": 8}, \"n\": 1}' ELSE '{\"a\": {\"z\": 3}}' END").alias("doc"))
-query("jsn2_deep_merge", lambda s, d: pk.deep_merge(pk.strip_meta(pk.flatten(docs(s, d), depth=4)), pk.flatten(over(s, d), depth=4)).select("id", "path", F.regexp_replace("value", r"\s", "").alias("value")),
+query("jsn2_deep_merge", lambda s, d: pk.deep_merge(pk.strip_meta(pk.flatten(docs(s, d))), pk.flatten(over(s, d))).select("id", "path", F.regexp_replace("value", r"\s", "").alias("value")),
       f"""WITH q AS {PARTS} SELECT k AS id, unnest(CASE k % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a', 'b/x', 'b/y', 'n'] ELSE ['a/z', 'b/x', 'b/y'] END) AS path,
       unnest(CASE k % 3 WHEN 0 THEN [CAST(k % 5 AS VARCHAR), '9'] WHEN 1 THEN [CAST(k % 5 AS VARCHAR), '8', '[1,2]', '1'] ELSE ['3', CAST(k % 7 AS VARCHAR), '[1,2]'] END) AS value FROM q""")
 users = lambda s, d: parts(s, d).select(c("k").alias("id"), F.when(c("k") % 4 > 0, F.concat(F.lit("p"), (c("k") % 12).cast("string"))).alias("use"))
