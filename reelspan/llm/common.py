@@ -1,5 +1,7 @@
 """Helpers that the corpus operators share: tables, the shared folder, written tables and link components."""
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -61,6 +63,22 @@ def discard(*tables: DataFrame) -> None:
             df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def lean(run):
+    """A mapInArrow function that gives its worker's free memory back to the machine when a task ends. Workers outlive their tasks, and
+    what an idle one keeps is taken from the executor's other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return wrapped
+
+
 def offsets_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary array (null: empty), without a copy of each value."""
     if isinstance(array, pa.ChunkedArray):

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, flat, written
+from .common import components, discard, flat, lean, written
 
 WORDS, SIMILAR = 5, 80
 #: Slots of the table of counts that orders tokens; min-hashes of a set, and how many two sets must share to be tried as centre
@@ -26,8 +26,9 @@ WORDS, SIMILAR = 5, 80
 #: similarity from which a set belongs to a centre's group.
 SLOT_BITS, HASHES, AGREE, LEADERS, NEAR = 16, 6, 2, 3, 50
 #: Parts into which the members of a centre are dealt; tokens of a block of sets that are compared at once.
-SALTS, BLOCK = 64, 1_000_000
-REMEMBERED = 300_000
+SALTS, BLOCK = 64, 250_000
+#: Rows among which a task looks for equal and similar sets before it sends; words whose hash a task remembers.
+CHUNK, REMEMBERED = 2_000, 100_000
 _SALT = np.array([int(xxhash.xxh64_intdigest(f"word {j}")) | 1 for j in range(WORDS)], "u8")
 _HASH = np.array([int(xxhash.xxh64_intdigest(f"hash {j}")) | 1 for j in range(HASHES)], "u8")
 
@@ -94,7 +95,7 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR) -> bool:
 
 def slack(n: int) -> int:
     """Tokens that two prefixes must share at least; a set's prefix is that much longer."""
-    return 1 + n // 10
+    return 1 + n // 20
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
@@ -110,7 +111,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["slot", "n"])
 
     counts = np.zeros(1 << SLOT_BITS, "i8")
-    for r in docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(lean(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r["slot"]] = r["n"]
     return counts
 
@@ -151,13 +152,14 @@ SIGNATURE = "doc_id long, n long, sid long, home long, lead long, common float,
 def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """(doc_id, text) -> one row per document: n, size of its set; sid, name of its set (64 bits of its digest; a set of its own
     where it is empty); home, the smallest doc_id of the equal sets of this batch. The row of that doc_id also has lead, the sid of a
-    similar set of the batch or its own; common, how common its tokens are; hashes; prefix; and packed, its text.
+    similar set of the batch or its own; common, how common its tokens are; hashes; prefix, the first 48 bits of its leading
+    tokens; and packed, its text.
     """
     weight = np.log1p(rank).astype("f4")
 
     def run(batches):
         shingles, press = Shingles(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _batches(batches, CHUNK):
             doc = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             sets = [x for a in range(0, len(texts), 500) for x in shingles.sets(texts[a : a + 500])]
@@ -173,7 +175,7 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             hashes = min_hashes(sets)
             own = [i for i, c in enumerate(carries) if c and len(sets[i])]
             lead = _leaders(sets, hashes, common, own)
-            prefix = [x[np.argsort(rank[t], kind="stable")[: prefix_size(len(x))]].view("i8") if c else None for c, x, t in zip(carries, sets, slots)]
+            prefix = [(x[np.argsort(rank[t], kind="stable")[: prefix_size(len(x))]] >> np.uint64(16)).view("i8") if c else None for c, x, t in zip(carries, sets, slots)]
             packed = [press.compress(t.encode("utf-8", "surrogatepass")) if c and len(x) else None for c, t, x in zip(carries, texts, sets)]
             columns = [
                 batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(home, pa.int64()),
@@ -183,7 +185,7 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "home", "lead", "common", "hashes", "prefix", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SIGNATURE)
 
 
 def prefix_size(n: int) -> int:
@@ -240,44 +242,47 @@ def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     heads = salted.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
     members = salted.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "part", "b", "packed")
     dealt = heads.union(members).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    done = written(dealt.mapInArrow(run, "a long, b long, percent long"), "verified")
+    done = written(dealt.mapInArrow(lean(run), "a long, b long, percent long"), "verified")
     discard(texts)
     return done
 
 
 def _rest(n: str) -> str:
     """SQL: tokens of a set of n that its prefix leaves out."""
-    return f"(({SIMILAR} * {n} + 99) div 100 - 1 - {n} div 10)"
+    return f"(({SIMILAR} * {n} + 99) div 100 - 1 - {n} div 20)"
 
 
 def _may_reach(n: str, m: str, spare: int = 0) -> str:
     """SQL: whether sets of n and m whose prefixes share `both` tokens can be similar. Shared tokens are in both prefixes or come after
     the end of the prefix that ends first, where that set has no more than its rest."""
     need = f"({SIMILAR} * ({n} + {m}) + {99 + SIMILAR}) div {100 + SIMILAR}"
-    return f"(both + {spare} >= 1 + least({n}, {m}) div 10 and both + {spare} + greatest({_rest(n)}, {_rest(m)}) >= {need})"
+    return f"(both + {spare} >= 1 + least({n}, {m}) div 20 and both + {spare} + greatest({_rest(n)}, {_rest(m)}) >= {need})"
 
 
 def opened(prefixes: DataFrame) -> DataFrame:
-    """(sid, n, label, grp, prefix) -> (sid, n, label, grp, other): groups that can hold a partner of another label for each set.
+    """(num, n, label, grp, prefix) -> (num, other): groups that can hold a partner of another label for each set.
 
     The matrix has a row for each token and group, with the smallest and largest set and label that hold the token there. Tokens
-    of one label only are no rows of it. A hot token is rare in prefixes, which start with the rarest.
+    of one label only are no rows of it. A hot token is rare in prefixes, which start with the rarest. Rows are sent small: a set
+    by its number, its label only where other sets have it too, its group only where it isn't its label.
     """
-    held = prefixes.select(F.explode("prefix").alias("token"), "sid", "n", "label", "grp").repartition("token")
+    held = prefixes.select(F.explode("prefix").alias("token"), F.expr("nullif(label, num)").alias("l"), F.expr("nullif(grp, label)").alias("g"), "num", "n").repartition("token")
+    label = F.coalesce("l", "num")
+    held = held.select("token", "num", "n", label.alias("label"), F.coalesce("g", label).alias("grp"))
     union = held.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("least"), F.max("label").alias("most"))
     by = Window.partitionBy("token")
     matrix = union.withColumns({"l": F.min("least").over(by), "m": F.max("most").over(by)}).where("l <> m").drop("l", "m")
     # in its own group a set looks for holders of another label
     asked = held.join(matrix, "token").where(f"(grp <> other or label <> least or label <> most) and 100 * high >= {SIMILAR} * n and {SIMILAR} * low <= 100 * n")
-    bound = asked.groupBy("sid", "n", "label", "grp", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bound = asked.groupBy("num", "n", "other").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
     # what a member needs falls on either side of n (but for rounding, hence the spare tokens), so that the smallest and the largest
     # possible member decide
     bound = bound.withColumns({"low": F.expr(f"greatest(low, ({SIMILAR} * n + 99) div 100)"), "high": F.expr(f"least(high, 100 * n div {SIMILAR})")})
-    return bound.where(f"{_may_reach('n', 'low', 2)} or {_may_reach('n', 'high', 2)}").select("sid", "n", "label", "grp", "other")
+    return bound.where(f"{_may_reach('n', 'low', 2)} or {_may_reach('n', 'high', 2)}").select("num", "other")
 
 
 def compare(asking: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between similar sets of different labels in the groups that they open. asking: what `opened` returns.
+    """Links (a, b) between similar sets of different labels in the groups that they open. asking: (sid, n, label, grp, other).
 
     Of two groups, the sets that open each other's group meet; within a group, the sets outside the label that gave the group its
     name meet all. Each side is dealt into blocks of about BLOCK tokens and each pair of blocks is one task's share: the first
@@ -335,14 +340,14 @@ def compare(asking: DataFrame, rows: DataFrame) -> DataFrame:
     texts = _texts(rows, met.select("sid").distinct())
     dealt = met.join(texts, "sid").withColumn("meets", F.explode("meets"))
     dealt = dealt.select("g", "h", *(F.when(F.col("side") == k, F.col("own")).otherwise(F.col("meets")).alias(f"i{k}") for k in (0, 1)), "side", "sid", "label", "packed")
-    found = dealt.repartition("g", "h", "i0", "i1").sortWithinPartitions("g", "h", "i0", "i1", "side", "sid").mapInArrow(run, "a long, b long")
+    found = dealt.repartition("g", "h", "i0", "i1").sortWithinPartitions("g", "h", "i0", "i1", "side", "sid").mapInArrow(lean(run), "a long, b long")
     done = written(found, "compared")
     discard(met)
     return done
 
 
 def _labels(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    return sets.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("component_id", "sid")).drop("component_id")
+    return sets.join(parts.withColumnRenamed("id", "num"), "num", "left").withColumn("label", F.coalesce("component_id", "num")).drop("component_id")
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,25 +363,28 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table = written(signatures(own, token_counts(own)), "signatures")
     rows = table.where("lead is not null")  # one for each set and batch
     size = rows.groupBy("sid").agg(F.min("home").alias("node"), F.first("n").alias("n"), F.max("common").alias("common"), F.first("hashes").alias("hashes"), F.bool_or(F.col("lead") != F.col("sid")).alias("led"))
-    sets = written(size, "sets")
+    sets = written(size.withColumn("num", F.monotonically_increasing_id()), "sets")
     tried = verify(centres(sets.where("n > 0 and not led")), rows)
     # rows of one doc_id are one document, whatever their texts
     several = table.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("doc_id is not null and a <> z").select("doc_id", "a")
     links = rows.select(F.col("sid").alias("a"), F.col("lead").alias("b")).union(tried.where(f"percent >= {SIMILAR}").select("a", "b"))
-    links = written(links.union(table.join(several, "doc_id").select("a", F.col("sid").alias("b"))).where("a <> b"), "links")
+    links = links.union(table.join(several, "doc_id").select("a", F.col("sid").alias("b"))).where("a <> b")
+    # from here on a set is its number in the table of sets, which is small and stays
+    of = lambda c: sets.select(F.col("sid").alias(c), F.col("num").alias(f"{c}_num"))
+    links = written(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_num").alias("a"), F.col("b_num").alias("b")), "links")
     parts = written(components(links), "parts")
-    labelled = _labels(sets.select("sid", "n"), parts)
+    labelled = _labels(sets.select("sid", "num", "n"), parts)
     nearest = tried.groupBy("b").agg(F.max(F.struct("percent", "a")).alias("best")).select(F.col("b").alias("sid"), F.col("best.a").alias("centre"))
-    grouped = labelled.join(nearest, "sid", "left").join(labelled.select(F.col("sid").alias("centre"), F.col("label").alias("grp")), "centre", "left")
-    grouped = grouped.select("sid", "n", "label", F.coalesce("grp", "label").alias("grp"))
+    nearest = nearest.join(labelled.select(F.col("sid").alias("centre"), F.col("label").alias("grp")), "centre").drop("centre")
+    grouped = written(labelled.join(nearest, "sid", "left").select("sid", "num", "n", "label", F.coalesce("grp", "label").alias("grp")), "grouped")
     prefixes = rows.where("n > 0").select("sid", "prefix").join(grouped, "sid").dropDuplicates(["sid"])
     asking = written(opened(prefixes), "opened")
-    more = compare(asking, rows)
+    more = compare(grouped.join(asking, "num"), rows).join(of("a"), "a").join(of("b"), "b").select(F.col("a_num").alias("a"), F.col("b_num").alias("b"))
     if more.limit(1).count():
         done, parts = parts, components(links.union(more))
         discard(done)
-    discard(asking, tried)
-    final = _labels(sets.select("sid", "node"), parts)
+    discard(asking, tried, grouped)
+    final = _labels(sets.select("sid", "num", "node"), parts)
     least = final.groupBy("label").agg(F.min("node").alias("component_id"))
     at_home = rows.select("home", "sid").distinct().join(final.join(least, "label").select("sid", "component_id"), "sid")
     named = table.select("doc_id", F.col("n").alias("n_shingles"), "home", "sid").join(at_home, ["home", "sid"], "left")
