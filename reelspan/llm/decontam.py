@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Words in a window; words that an aligned stretch must cover (all of a shorter item); literal words that a window must hold.
 WINDOW, STRETCH, LITERALS = 8, 13, 3
 #: Bits of the filter through which documents' windows pass before the join; its size doesn't depend on the benchmark.
 FILTER_BITS = 22
 #: Benchmark windows up to which their table is sent to every executor.
 BROADCAST_WINDOWS = 500_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Unit words and spelled numbers.
 UNITS = frozenset(
     "mm cm m km mg g kg t ml cl l ms s min h kb mb gb mph kph kmh hz khz mhz w kw v a j kj cal kcal pa bar inch inches foot feet yard yards mile miles "
@@ -147,8 +149,8 @@ def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
     def run(batches):
         templates = Templates()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 of, code, slotted, both, index, first = templates.read(part.column(2).to_pylist())
                 sizes = np.bincount(of, minlength=part.num_rows)
                 begin = np.cumsum(sizes) - sizes
@@ -285,12 +287,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sorts = [(r["width"], r["bare"]) for r in windows.select("width", "bare").distinct().collect()]  # at most 2 * WINDOW rows
     index = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
     found = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    found = found.mapInArrow(_scan(passes.view("u8"), sorts), SCHEMA).select("key", "id", "position", "hash", "slots").join(index, "hash")
+    found = found.mapInArrow(lean(_scan(passes.view("u8"), sorts)), SCHEMA).select("key", "id", "position", "hash", "slots").join(index, "hash")
     pairs = F.expr("zip_with(slots, item_slots, (a, b) -> struct(b.value as theirs, a.value as ours))").alias("pairs")
     aligned = found.groupBy("key", "id", "item_id", "item_size", "width", (F.col("position") - F.col("item_position")).alias("shift")).agg(
         F.collect_set(F.struct(F.col("item_position").alias("at"), "before", "after", "own", pairs)).alias("windows")
     )
-    kept = aligned.mapInArrow(_decide, KEPT)
+    kept = aligned.mapInArrow(lean(_decide), KEPT)
     best = F.max_by(F.struct("position", "same"), F.struct(F.col("n"), -F.col("position")))
     return kept.groupBy("key", "doc_id", "item_id").agg(F.max("n").alias("n_words"), best.alias("best")).select(
         "doc_id", "item_id", "key", "n_words", "best.position", F.col("best.same").alias("same_values")

@@ -1,6 +1,7 @@
 """Queries of the corpus operators, one opN_<name> each, and their SQL where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, embeddings, jaccard, secrets, spm, suffixes, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
@@ -44,7 +45,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = toxicity.rate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", "predicted")
+    return rated.select("doc_id", F.coalesce(toxicity.fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ apart and infinity elsewhere; one finite path remains.
 
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SPACE = "▁"
 #: Weight of an unknown character over the lightest piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
@@ -57,15 +60,28 @@ class Transducer:
         return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 2)
 
     def merged(self, text: str) -> list[str]:
-        """What the merges make of a short text: the best-scored neighbours join first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
-            if not found:
-                break
-            k = min(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """What the merges make of a text: the best-scored neighbours join first, the leftmost of equals. A heap of neighbours keeps
+        long runs of spaces near linear."""
+        piece: list[str | None] = list(text)
+        left, right = list(range(-1, len(piece) - 1)), list(range(1, len(piece) + 1))
+        heap = [(-self.scores[i], k, piece[k] + piece[k + 1]) for k in range(len(piece) - 1) if (i := self.ids.get(piece[k] + piece[k + 1])) is not None]
+        heapify(heap)
+        while heap:
+            _, k, both = heappop(heap)
+            j = right[k]
+            if piece[k] is None or j >= len(piece) or piece[k] + piece[j] != both:
+                continue  # one of the two has joined another
+            piece[k], piece[j], right[k] = both, None, right[j]
+            if right[k] < len(piece):
+                left[right[k]] = k
+            for x, y in ((left[k], k), (k, right[k])):
+                if x >= 0 and y < len(piece) and (i := self.ids.get(piece[x] + piece[y])) is not None:
+                    heappush(heap, (-self.scores[i], x, piece[x] + piece[y]))
+        return [x for x in piece if x is not None]
+
+    def forget(self) -> None:
+        """Let go of what was remembered of words and pairs, at the end of a task: other operators share the worker."""
+        self.words, self.parts, self.pairs = {}, {}, {}
 
     def apart(self, left: str, right: str) -> bool:
         """Whether the merges leave two neighbouring pieces as they are: the arc's weight is 0, else infinity."""
@@ -217,9 +233,10 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
                     columns.append(pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        t.forget()
 
     schema = "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(lean(run), schema)
 
 
 def decode_ids(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -230,4 +247,4 @@ def decode_ids(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(doc_id).cast("long"), ids).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(doc_id).cast("long"), ids).mapInArrow(lean(run), "doc_id long, text string")

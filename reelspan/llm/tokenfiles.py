@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat, shared_dir, width, written
+from .common import discard, flat, lean, shared_dir, width, written
 
 #: Longest code in bits; the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -195,7 +195,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(len(sizes), "i4")), binaries(ids, sizes)], ["doc_id", "kind", "ids"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([1], pa.int32()), pa.array([zlib.compress(counts.tobytes())], pa.binary())], ["doc_id", "kind", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, kind int, ids binary")
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(lean(run), "doc_id long, kind int, ids binary")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(np.asarray(total)[at])], ["id", "count"])
 
-    return encoded.where("kind = 1").select("ids").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return encoded.where("kind = 1").select("ids").mapInArrow(lean(run), "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -333,7 +333,7 @@ def write_blocks(encoded: DataFrame, lengths: np.ndarray, kind: str, partitions:
             yield closed()
 
     in_order = encoded.where("kind = 0").select("doc_id", "ids").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return in_order.mapInArrow(run, BLOCKS)
+    return in_order.mapInArrow(lean(run), BLOCKS)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                     ["file", "doc_id", "rel_start", "ids"],
                 )
 
-    return blocks.where("block >= 0").mapInArrow(run, "file int, doc_id long, rel_start long, ids binary")
+    return blocks.where("block >= 0").mapInArrow(lean(run), "file int, doc_id long, rel_start long, ids binary")
 
 
 def open_files(spark: SparkSession, path: str) -> DataFrame:

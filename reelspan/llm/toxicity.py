@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import lean
+
 SPAN, GAP = 5, 0.6
 #: Most labelled rows of each class that training takes (by a hash of doc_id); landmarks of toxic and of other words.
 TRAINING_ROWS, LANDMARKS, BACKGROUND = 1000, 48, 16
@@ -23,7 +25,7 @@ TRAINING_ROWS, LANDMARKS, BACKGROUND = 1000, 48, 16
 ROUNDS, OTHER_WORDS = 4, 20_000
 #: Share from which a document counts as toxic.
 TOXIC = 0.7
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _SHIFTS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 #: Letters to 1-26, the marks of a word's ends to 62 and 63, others to 27-61.
 _CODE = np.array([62 + (chr(c) == ">") if chr(c) in "<>" else ord(chr(c).lower()[0]) - 96 if "a" <= chr(c).lower()[0] <= "z" else 27 + c % 35 for c in range(1 << 12)], "i8")
@@ -236,8 +238,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 words = [words_of(t) for t in part.column(sent).to_pylist()]
                 new = list(set().union(*words).difference(known))
                 if len(known) + len(new) > REMEMBERED:
@@ -252,7 +254,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(share), pa.array((share >= TOXIC).astype("i4"))], [*part.schema.names, "score", "predicted"])
 
     schema = StructType([*keep.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -93,6 +94,15 @@ def test_sentencepiece_gives_the_librarys_ids(spark):
     assert spm.encode_documents(docs.limit(0), path).count() == 0
 
 
+def test_long_runs_of_spaces_and_letters():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), spm.Transducer.load(path)
+    for t in (" " * 64_000, "a" + " " * 30_001 + "b", "x  y   " * 3_000, "=" * 5_000 + " " * 5_000, "ab" * 20_000):
+        started = time.monotonic()
+        assert own.encode(t).tolist() == library.encode(t)
+        assert time.monotonic() - started < 15
+
+
 def test_unigram_paths_are_the_lightest():
     t = spm.Transducer(["<unk>", "▁a", "▁", "a", "ab", "b", "▁ab"], [0, -1.0, -2.0, -1.5, -2.2, -1.2, -2.1], [2, 1, 1, 1, 1, 1, 1], bpe=False)
     assert t.lightest_path("▁ab") == ["▁ab"] and t.lightest_path("▁aab") == ["▁a", "ab"]
