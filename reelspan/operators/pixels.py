@@ -214,61 +214,87 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.select("video_id", "seq", "x", "y", "w", "h").groupBy("video_id", "seq").applyInPandas(merge, "video_id long, seq long, x int, y int, w int, h int")
 
 
-def cluster_blobs(blobs: DataFrame, gap: float = 0.018, wide: float = 0.30, tall: float = 0.20) -> DataFrame:
-    """A segment's blobs (fractions of the frame) merged to a fixpoint where they are within `gap` sideways and half of it vertically and
-    stay under the size caps."""
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(r) for r in group.sort_values(["y", "x", "w", "h"])[["x", "y", "w", "h"]].itertuples(index=False)]
-        moved = True
-        while moved:
-            moved = False
-            for i in range(len(out)):
-                for k in range(i + 1, len(out)):
-                    (a, b, c, d), (e, f, g, h) = out[i], out[k]
-                    x, y, r, s = min(a, e), min(b, f), max(a + c, e + g), max(b + d, f + h)
-                    near = e <= a + c + gap and a <= e + g + gap and f <= b + d + gap / 2 and b <= f + h + gap / 2
-                    if near and r - x <= wide and s - y <= tall:
-                        out[i] = (x, y, r - x, s - y)
-                        del out[k]
-                        moved = True
-                        break
-                if moved:
-                    break
-        return pd.DataFrame([(group["video_id"].iloc[0], group["segment"].iloc[0], *b) for b in out], columns=["video_id", "segment", "x", "y", "w", "h"])
-
-    return blobs.groupBy("video_id", "segment").applyInPandas(merge, "video_id long, segment int, x double, y double, w double, h double")
+#: A logo's largest share of the band's width and height, the gap that joins blobs (of the width), the margin beside the
+#: picture's edges, the least area of the band, the least static share, the least edge energy (in a locked-off segment).
+WIDEST, TALLEST, GAP, CORNER, LEAST_AREA, LEAST_STATIC, LEAST_ENERGY, LOCKED_ENERGY = 0.30, 0.60, 0.018, 0.10, 0.002, 0.25, 20, 45
+#: Overlap and likeness that make two detections one overlay, sides and area below which patches aren't compared, and the
+#: share below which a mask counts for nothing.
+SAME_BOX, SAME_LOOK, LEAST_SIDE, LEAST_PIXELS, LEAST_MASK = 0.40, 0.55, 4, 16, 0.05
 
 
-def overlay_candidates(blobs: DataFrame, fallback: bool = False) -> DataFrame:
-    """Per segment the largest blob (x, y, w, h as fractions, fill, energy) of a logo's size that touches a corner region, is static enough and has edges."""
-    area = F.col("w") * F.col("h")
-    corner = ((F.col("x") + F.col("w") <= 0.4) | (F.col("x") >= 0.6)) & ((F.col("y") + F.col("h") <= 0.4) | (F.col("y") >= 0.6))
-    kept = blobs.where(area.between(0.0004, 0.06) & corner & (F.col("fill") >= 0.25) & (F.col("energy") >= (45 if fallback else 20)))
-    return kept.groupBy("video_id", "segment").agg(F.max_by(F.struct("x", "y", "w", "h", "fill", "energy"), F.struct(area, -F.col("y"), -F.col("x"))).alias("b")).select("video_id", "segment", "b.*")
+def cluster_blobs(blobs: DataFrame, shape: float = 1.0) -> DataFrame:
+    """A segment's blobs (x, y, w, h as shares of the band's sides, area as its share of the band) merged to a fixpoint: two that lie
+    within GAP of the band's width sideways and half of that vertically become one with the sum of their areas, unless it gets too
+    large for a logo; blobs too large by themselves are left out. shape: the band's width over its height. Among several pairs the
+    first in (y, x) order goes first."""
 
-
-def group_overlays(found: DataFrame, like: float = 0.55, overlap: float = 0.40) -> DataFrame:
-    """A video's at most some segments' detections (x, y, w, h, patch) in order: one joins the first group whose box it overlaps and whose patch it
-    correlates with. Per group: union box, median patch, number of segments."""
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["y", "x", "w", "h", "area"])
+        low = group[["x", "y"]].to_numpy("f8")
+        high, area = low + group[["w", "h"]].to_numpy("f8"), group["area"].to_numpy("f8")
+        near, most = np.array([GAP, GAP / 2 * shape]), np.array([WIDEST, TALLEST])
+        while len(area) > 1:
+            apart = np.maximum(low[:, None] - high[None], low[None] - high[:, None])
+            size = np.maximum(high[:, None], high[None]) - np.minimum(low[:, None], low[None])
+            fits = np.triu(((apart <= near) & (size <= most)).all(2), 1)
+            if not fits.any():
+                break
+            i, k = np.unravel_index(np.argmax(fits), fits.shape)
+            low[i], high[i], area[i] = np.minimum(low[i], low[k]), np.maximum(high[i], high[k]), area[i] + area[k]
+            low, high, area = np.delete(low, k, 0), np.delete(high, k, 0), np.delete(area, k)
+        size = high - low
+        return pd.DataFrame({"video_id": group["video_id"].iloc[0], "segment": group["segment"].iloc[0], "x": low[:, 0], "y": low[:, 1], "w": size[:, 0], "h": size[:, 1], "area": area})
+
+    fit = blobs.where((F.col("w") <= WIDEST) & (F.col("h") <= TALLEST)).select("video_id", "segment", "x", "y", "w", "h", "area")
+    return fit.groupBy("video_id", "segment").applyInPandas(merge, "video_id long, segment int, x double, y double, w double, h double, area double")
+
+
+def overlay_candidates(clusters: DataFrame, fallback: bool = False, left: float = 0.0, right: float = 1.0) -> DataFrame:
+    """Per segment the cluster of the largest summed area (x, y, w, h, area as shares of the band; fill, its static share; energy of the
+    edges where it is static) among those that are no specks, stand by the left or right edge of the picture (left to right), are
+    static enough and have edges; fallback: a locked-off segment, which asks for more edges."""
+    margin = CORNER * (right - left)
+    edge = (F.col("x") < left + margin) | (F.col("x") + F.col("w") > right - margin)
+    kept = clusters.where((F.col("area") >= LEAST_AREA) & edge & (F.col("fill") >= LEAST_STATIC) & (F.col("energy") >= (LOCKED_ENERGY if fallback else LEAST_ENERGY)))
+    first = F.struct("area", -F.col("y"), -F.col("x"), -F.col("w"), -F.col("h"))
+    return kept.groupBy("video_id", "segment").agg(F.max_by(F.struct("x", "y", "w", "h", "area", "fill", "energy"), first).alias("b")).select("video_id", "segment", "b.*")
+
+
+def group_overlays(found: DataFrame) -> DataFrame:
+    """A video's detections, one for each of its few segments, in order: (x, y, w, h) in pixels, median and static of the segment's whole band,
+    row by row, and its width. A detection joins the first overlay whose box it overlaps enough and one of whose members looks like it
+    where the two boxes overlap. Per overlay: the box around its members, how many they are, and within that box the median of the
+    members (reference) and where all of them are static (mask; everywhere if that is hardly anywhere)."""
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        spread = a.std() * b.std()
+        return a.size >= LEAST_PIXELS and min(a.std(), b.std()) >= 1e-3 and ((a - a.mean()) * (b - b.mean())).mean() / spread >= SAME_LOOK
 
     def group_rows(group: pd.DataFrame) -> pd.DataFrame:
-        groups: list = []
+        boxes: list[np.ndarray] = []  # left, top, right, bottom
+        members: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        area = lambda b: int(np.prod(np.maximum(b[2:] - b[:2], 0)))
         for r in group.sort_values("segment").itertuples(index=False):
-            patch = np.asarray(r.patch, "f8")
-            for g in groups:
-                a, b, c, d = g["box"]
-                w, h = min(c, r.x + r.w) - max(a, r.x), min(d, r.y + r.h) - max(b, r.y)
-                inter = max(0, w) * max(0, h)
-                p, q = patch - patch.mean(), g["patches"][0] - g["patches"][0].mean()
-                norm = np.sqrt((p @ p) * (q @ q))
-                if inter / ((c - a) * (d - b) + r.w * r.h - inter) >= overlap and (p @ q / norm if norm > 1e-9 else 0.0) >= like:
-                    g["box"] = (min(a, r.x), min(b, r.y), max(c, r.x + r.w), max(d, r.y + r.h))
-                    g["patches"].append(patch)
+            look, still = np.asarray(r.median, "f8").reshape(-1, r.band_w), np.asarray(r.static, bool).reshape(-1, r.band_w)
+            box = np.array([r.x, r.y, r.x + r.w, r.y + r.h])
+            for k, held in enumerate(boxes):
+                both = np.concatenate([np.maximum(held[:2], box[:2]), np.minimum(held[2:], box[2:])])
+                part = np.s_[both[1] : both[3], both[0] : both[2]]
+                shared = area(both)
+                overlaps = shared >= SAME_BOX * (area(held) + area(box) - shared) and (both[2:] - both[:2]).min() >= LEAST_SIDE
+                if overlaps and any(alike(look[part], other[part]) for other, _ in members[k]):
+                    boxes[k] = np.concatenate([np.minimum(held[:2], box[:2]), np.maximum(held[2:], box[2:])])
+                    members[k].append((look, still))
                     break
             else:
-                groups.append({"box": (r.x, r.y, r.x + r.w, r.y + r.h), "patches": [patch]})
-        rows = [(group["video_id"].iloc[0], i, a, b, c - a, d - b, len(g["patches"]), np.median(g["patches"], 0)) for i, g in enumerate(groups) for a, b, c, d in [g["box"]]]
-        return pd.DataFrame(rows, columns=["video_id", "overlay_id", "x", "y", "w", "h", "n", "reference"])
-
-    return found.groupBy("video_id").applyInPandas(group_rows, "video_id long, overlay_id int, x double, y double, w double, h double, n int, reference array<double>")
+                boxes.append(box)
+                members.append([(look, still)])
+        rows = []
+        for k, (a, b, c, d) in enumerate(boxes):
+            looks, stills = (np.stack([m[i][b:d, a:c] for m in members[k]]) for i in (0, 1))
+            mask = stills.all(0)
+            mask = mask if mask.mean() >= LEAST_MASK else np.ones_like(mask)
+            rows.append((group["video_id"].iloc[0], k, a, b, c - a, d - b, len(looks), np.median(looks, 0).ravel(), mask.ravel()))
+        return pd.DataFrame(rows, columns=["video_id", "overlay_id", "x", "y", "w", "h", "n", "reference", "mask"])
+
+    return found.groupBy("video_id").applyInPandas(group_rows, "video_id long, overlay_id int, x int, y int, w int, h int, n int, reference array<double>, mask array<boolean>")

@@ -60,21 +60,23 @@ query("agg8_first_band", lambda s, d: px.first_band_rows(px.text_rows(boxes(s, d
 bands = lambda s, d: px.first_band_rows(px.text_rows(boxes(s, d))).select("video_id", (c("first") / 720).alias("top"), ((c("last") + 1) / 720).alias("bottom"))
 query("join5_text_in_bands", lambda s, d: matching.text_in_bands(boxes(s, d), bands(s, d)), ctes("text_boxes") + f", {FIRST} SELECT * FROM text_boxes b WHERE EXISTS (SELECT 1 FROM band k WHERE k.video_id = b.video_id AND (y + h / 2.0) / 720 BETWEEN first / 720.0::DOUBLE AND (last + 1) / 720.0::DOUBLE)")
 query("agg9_merge_boxes", lambda s, d: px.merge_boxes(boxes(s, d)))
-blobs = lambda s, d: boxes(s, d).where("seq < 4").select("video_id", c("seq").cast("int").alias("segment"), (c("x") / 1000).alias("x"), (c("y") / 720).alias("y"), (c("w") / 1500).alias("w"), (c("h") / 720).alias("h"), ((c("x") % 100) / 100).alias("fill"), (c("y") % 90).cast("double").alias("energy"))
-BLOBS = "bl AS (SELECT video_id, CAST(seq AS INT) AS segment, x / 1000.0::DOUBLE AS x, y / 720.0::DOUBLE AS y, w / 1500.0::DOUBLE AS w, h / 720.0::DOUBLE AS h, (x % 100) / 100.0::DOUBLE AS fill, CAST(y % 90 AS DOUBLE) AS energy FROM text_boxes WHERE seq < 4)"
-query("agg10_cluster_blobs", lambda s, d: px.cluster_blobs(blobs(s, d)))
-query("agg11_overlay_candidates", lambda s, d: px.overlay_candidates(blobs(s, d)).select("video_id", "segment", near(c("x"), 6).alias("x"), near(c("y"), 6).alias("y"), near(c("w") * c("h"), 8).alias("area")),
-      ctes("text_boxes") + f", {BLOBS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY w * h DESC, y, x) AS r FROM bl WHERE w * h BETWEEN 0.0004 AND 0.06 AND (x + w <= 0.4 OR x >= 0.6) AND (y + h <= 0.4 OR y >= 0.6) AND fill >= 0.25 AND energy >= 20) SELECT video_id, segment, round(x + 1e-8, 6) AS x, round(y + 1e-8, 6) AS y, round(w * h + 1e-8, 8) AS area FROM k WHERE r = 1")
+blobs = lambda s, d: boxes(s, d).select("video_id", c("seq").cast("int").alias("segment"), (c("x") / 1000).alias("x"), (c("y") / 720).alias("y"), (c("w") / 1500).alias("w"), (c("h") / 720).alias("h"), (c("w") / 1500 * c("h") / 720).alias("area"), ((c("x") % 100) / 100).alias("fill"), (c("y") % 90).cast("double").alias("energy"))
+BLOBS = "bl AS (SELECT video_id, CAST(seq AS INT) AS segment, x / 1000.0::DOUBLE AS x, y / 720.0::DOUBLE AS y, w / 1500.0::DOUBLE AS w, h / 720.0::DOUBLE AS h, w / 1500.0::DOUBLE * h / 720.0::DOUBLE AS area, (x % 100) / 100.0::DOUBLE AS fill, CAST(y % 90 AS DOUBLE) AS energy FROM text_boxes)"
+query("agg10_cluster_blobs", lambda s, d: px.cluster_blobs(blobs(s, d), 3.0))
+query("agg11_overlay_candidates", lambda s, d: px.overlay_candidates(blobs(s, d)).select("video_id", "segment", near(c("x"), 6).alias("x"), near(c("y"), 6).alias("y"), near(c("area"), 8).alias("area")),
+      ctes("text_boxes") + f", {BLOBS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY area DESC, y, x, w, h) AS r FROM bl WHERE area >= 0.002 AND (x < 0.10 OR x + w > 0.90) AND fill >= 0.25 AND energy >= 20) SELECT video_id, segment, round(x + 1e-8, 6) AS x, round(y + 1e-8, 6) AS y, round(area + 1e-8, 8) AS area FROM k WHERE r = 1")
 faces = lambda s, d: table(s, d, "faces")
-query("agg6_face_territory", lambda s, d: px.face_territory(faces(s, d).select("video_id", "seq", "x", "y", "w", "h"), faces(s, d).where("seq < 200 and face_id = 1").groupBy("video_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("video_id", F.lit(1).alias("overlay_id"), "x", "y", F.lit(300).alias("w"), F.lit(200).alias("h")), 40, 0.2).select("video_id", "overlay_id", near(c("territory"), 6).alias("territory"), "reject"),
+query("agg6_face_territory", lambda s, d: px.face_territory(faces(s, d).select("video_id", "seq", "x", "y", "w", "h"), faces(s, d).where("face_id = 1").groupBy("video_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("video_id", F.lit(1).alias("overlay_id"), "x", "y", F.lit(300).alias("w"), F.lit(200).alias("h")), 40, 0.2).select("video_id", "overlay_id", near(c("territory"), 6).alias("territory"), "reject"),
       ctes("faces") + """, fc AS (SELECT DISTINCT video_id, seq, cx, unnest(range(y // 40, (y + h - 1) // 40 + 1)) AS cy FROM (SELECT *, unnest(range(x // 40, (x + w - 1) // 40 + 1)) AS cx FROM faces)), fr AS (SELECT video_id, count(DISTINCT seq) AS n FROM faces GROUP BY 1),
-      ofn AS (SELECT video_id, cx, cy FROM fc JOIN fr USING (video_id) GROUP BY video_id, cx, cy, n HAVING count(DISTINCT seq) >= 0.2 * n), ca AS (SELECT video_id, min(x) AS x, min(y) AS y FROM faces WHERE seq < 200 AND face_id = 1 GROUP BY 1),
+      ofn AS (SELECT video_id, cx, cy FROM fc JOIN fr USING (video_id) GROUP BY video_id, cx, cy, n HAVING count(DISTINCT seq) >= 0.2 * n), ca AS (SELECT video_id, min(x) AS x, min(y) AS y FROM faces WHERE face_id = 1 GROUP BY 1),
       cc AS (SELECT video_id, cx, unnest(range(y // 40, (y + 199) // 40 + 1)) AS cy FROM (SELECT *, unnest(range(x // 40, (x + 299) // 40 + 1)) AS cx FROM ca)),
       t AS (SELECT cc.video_id, avg(CASE WHEN ofn.cx IS NULL THEN 0.0 ELSE 1.0 END) AS t FROM cc LEFT JOIN ofn ON cc.video_id = ofn.video_id AND cc.cx = ofn.cx AND cc.cy = ofn.cy GROUP BY 1) SELECT video_id, 1 AS overlay_id, round(t + 1e-8, 6) AS territory, t > 0.03 AS reject FROM t""")
 pairs = lambda s, d: faces(s, d).select("video_id", "seq", "face_id", F.struct("x", "y", "w", "h").alias("a"), F.struct((c("x") + 20).alias("x"), (c("y") + 10).alias("y"), "w", "h").alias("b"))
 query("agg12_iou", lambda s, d: pairs(s, d).select("video_id", "seq", "face_id", near(px.iou("a", "b"), 6).alias("iou")),
       ctes("faces") + " SELECT video_id, seq, face_id, round(greatest(0, w - 20) * greatest(0, h - 10) / (2.0 * w * h - greatest(0, w - 20) * greatest(0, h - 10)) + 1e-8, 6) AS iou FROM faces")
-query("agg12_group_overlays", lambda s, d: px.group_overlays(table(s, d, "embeddings").where("vec_id < 2000").select((c("vec_id") % 40).alias("video_id"), F.floor(c("vec_id") / 40).cast("int").alias("segment"), (c("label") * 10.0).alias("x"), (c("label") * 5.0).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"), c("embedding").alias("patch"))))
+#: Forty vectors are the segments of a video, each a band of eight rows.
+detections = lambda s, d: table(s, d, "embeddings").select(F.floor(c("vec_id") / 40).alias("video_id"), (c("vec_id") % 40).cast("int").alias("segment"), (c("label") % 3).cast("int").alias("x"), (c("label") % 2).cast("int").alias("y"), F.lit(5).alias("w"), F.lit(6).alias("h"), c("embedding").alias("median"), F.transform("embedding", lambda v: F.abs(v) < 0.2).alias("static"), F.floor(F.size("embedding") / 8).cast("int").alias("band_w"))
+query("agg12_group_overlays", lambda s, d: px.group_overlays(detections(s, d)))
 query("join6_overlays_present", lambda s, d: matching.overlays_present(pixel(s, d), px.static_pixels(pixel(s, d).withColumn("segment", F.lit(0))).select("video_id", F.lit(1).alias("overlay_id"), "y", "x", c("median").alias("reference")), 0.4).select("video_id", "seq", near(c("r"), 5).alias("r")),
       ctes("pixel") + ", o AS (SELECT video_id, y, x, median(gray) AS ref FROM pixel GROUP BY ALL), j AS (SELECT p.video_id, p.seq, corr(gray, ref) AS r, stddev_pop(gray) AS a, stddev_pop(ref) AS b FROM pixel p JOIN o USING (video_id, y, x) GROUP BY 1, 2) SELECT video_id, seq, round(r + 1e-8, 5) AS r FROM j WHERE a >= 1e-6 AND b >= 1e-6 AND r >= 0.4")
 GRADED = ["black_push", "white_point", "shadow_lift", "flatten", "contrast", "brightness", "saturation_factor", "clarity", "sharpen"]

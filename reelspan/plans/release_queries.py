@@ -30,12 +30,13 @@ query("join10_unknown_faces", lambda s, d: matching.resolve_faces(packed(s, d),
 query("join13_checksum_mismatches", lambda s, d: matching.checksum_mismatches(parts(s, d).select(F.concat(F.lit("f"), c("k").cast("string")).alias("file"), F.md5("name").alias("sha256")), parts(s, d).select(F.concat(F.lit("f"), c("k").cast("string")).alias("file"), F.when(c("k") % 5 == 0, "").when(c("k") % 6 == 0, "0bad").otherwise(F.upper(F.md5("name"))).alias("sha256"))),
       f"SELECT 'f' || k AS file, md5(name) AS sha256, '0bad' AS want FROM {PARTS} WHERE k % 5 > 0 AND k % 6 = 0")
 query("sel13_order_versions", lambda s, d: parts(s, d).select("k", F.array_join(tx.version_key(F.when(c("k") % 10 == 0, "none").otherwise(F.concat("version", F.lit(".7.8.9")))), ".").alias("v")), f"SELECT k, CASE WHEN k % 10 = 0 THEN '0' ELSE array_to_string(regexp_extract_all(version || '.7.8.9', '\\d+')[1:4], '.') END AS v FROM {PARTS}")
-FEED = "SELECT s_suppkey AS i, concat('1.', CAST(s_suppkey % 40 AS VARCHAR(20)), '.0') AS version, concat('1.', CAST(greatest(0, s_suppkey % 40 - 1 - s_suppkey % 7) AS VARCHAR(20)), '.0') AS min_version, concat('p', CAST(s_suppkey AS VARCHAR(20))) AS file FROM supplier WHERE s_suppkey BETWEEN 1 AND 39 AND s_suppkey % 3 = 0"
+#: A patch for each supplier; its minimum is half its number, so that the longest path grows with the logarithm of the patches.
+FEED = "SELECT s_suppkey AS i, concat('1.', CAST(s_suppkey AS VARCHAR(20)), '.0') AS version, concat('1.', CAST(CAST(floor(s_suppkey / 2) AS INT) AS VARCHAR(20)), '.0') AS min_version, concat('p', CAST(s_suppkey AS VARCHAR(20))) AS file FROM supplier"
 feed = lambda s, d: s.sql(FEED.replace("FROM supplier", "FROM {supplier}"), supplier=table(s, d, "supplier"))
 query("src16_build_feed", lambda s, d: pk.build_feed(feed(s, d).select(F.when(c("i") % 9 > 0, c("version")).alias("version"), "file", F.lit("x").alias("sha256"), c("i").alias("size"))).select("skipped", "latest", F.array_join(c("patches.version"), "|").alias("versions")),
       f"WITH q AS ({FEED}) SELECT count(*) FILTER (i % 9 = 0) AS skipped, '1.' || max(i) FILTER (i % 9 > 0) || '.0' AS latest, string_agg(version, '|' ORDER BY i) FILTER (i % 9 > 0) AS versions FROM q")
 query("sel14_upgrade_path", lambda s, d: pk.upgrade_path(table(s, d, "customer").select(c("c_custkey").alias("machine"), F.concat(F.lit("1."), (c("c_custkey") % 30).cast("string"), F.lit(".0")).alias("version")), feed(s, d)),
-      f"""WITH RECURSIVE q AS ({FEED}), p AS (SELECT version, i AS v, greatest(0, i - 1 - i % 7) AS m FROM q),
+      f"""WITH RECURSIVE q AS ({FEED}), p AS (SELECT version, i AS v, i // 2 AS m FROM q),
       w AS (SELECT c_custkey AS machine, c_custkey % 30 AS at, -1 AS step, '' AS version FROM customer UNION ALL
         SELECT machine, nx.v, step + 1, nx.version FROM w, LATERAL (SELECT max(p.v) AS v, arg_max(p.version, p.v) AS version FROM p WHERE p.v > w.at AND p.m <= w.at) nx WHERE nx.v IS NOT NULL)
       SELECT machine, step, version FROM w WHERE step >= 0""")

@@ -46,7 +46,9 @@ query("join3_next_different_scene", lambda s, d: matching.next_different_scene(s
       SELECT video_id, slot, arg_min(path, at_s) AS path FROM k1 WHERE NOT EXISTS (SELECT 1 FROM k2 WHERE k2.video_id = k1.video_id AND k2.slot = k1.slot AND k2.path = k1.path) GROUP BY 1, 2""")
 floored = lambda s, d: sel.quality_floors(signed(s, d).withColumn("score", c("focus") / 100))
 query("sel6_to_8_select_spread", lambda s, d: sel.select_spread(floored(s, d), 12, 0.10).select("video_id", "slot", "path", F.round("ts_s", 3).alias("ts_s")))
-query("sel10_by_distinctness", lambda s, d: sel.by_distinctness(table(s, d, "embeddings").select(F.floor(c("vec_id") / 8).alias("origin"), c("vec_id").alias("path"), c("embedding").alias("signature"), F.slice("embedding", 1, 16).alias("outfit"))))
+#: The first of nine vectors is the origin of the other eight.
+posed = lambda s, d: table(s, d, "embeddings").select(F.floor(c("vec_id") / 9).alias("origin"), c("vec_id").alias("path"), (c("vec_id") % 9).cast("int").alias("place"), c("embedding").alias("signature"), F.slice("embedding", 1, 16).alias("outfit"))
+query("sel10_by_distinctness", lambda s, d: sel.by_distinctness(posed(s, d).where("place > 0"), posed(s, d).where("place = 0")))
 FLAGS = "path % 3 = 0 AS used, path % 4 = 0 AS recent, face % 2 = 0 AS on_shot"
 flagged = lambda s, d: matching.flag_used(cand(s, d).drop("used"), cand(s, d).where("path % 3 = 0"), cand(s, d).where("path % 4 = 0")).withColumn("on_shot", c("face") % 2 == 0)
 query("join4_flag_used", lambda s, d: flagged(s, d).select(*VID, "used", "recent"), ctes("candidates") + f" SELECT video_id, face, used, recent FROM (SELECT *, {FLAGS} FROM candidates) WHERE true".replace("path % 3 = 0 AS used", "(video_id, path) IN (SELECT (video_id, path) FROM candidates WHERE path % 3 = 0) AS used"))
@@ -55,6 +57,6 @@ query("join11_variation_tiers", lambda s, d: matching.variation_tiers(flagged(s,
 moved = lambda s, d: grabs(s, d).select("video_id", (c("seq") % 10).alias("slot"), "path", "focus", F.lit(60.0).alias("origin_focus"), c("motion").alias("moved"), (c("event_id") % 2 == 0).alias("open"), (c("event_id") % 3 == 0).alias("used"))
 query("join12_capture_variation_tiers", lambda s, d: matching.capture_variation_tiers(moved(s, d)),
       ctes("grabs") + ", q AS (SELECT video_id, seq % 10 AS slot, path, motion, event_id, max(motion) OVER (PARTITION BY video_id, seq % 10) AS most FROM grabs WHERE focus >= 0.75 * 60), t AS (SELECT *, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 3 END AS tier FROM q WHERE motion >= 0.5 * most) SELECT video_id, CAST(slot AS INT) AS slot, path, tier FROM (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY tier, motion DESC, path) AS r FROM t) WHERE r = 1")
-frames = lambda s, d: signed(s, d).select("video_id", c("seq").cast("long").alias("position"), (c("event_id") % 3 > 0).alias("usable"), "signature", F.slice("signature", 1, 8).alias("identity"))
-query("join7_alternate_targets", lambda s, d: sel.alternate_targets(frames(s, d), frames(s, d).groupBy("video_id").agg(F.floor(F.max("position") / 2).alias("position")), same=0.10))
-query("sel9_open_eyes", lambda s, d: sel.open_eyes(slots(s, d).withColumn("open", c("event_id") % 2 == 0), opened(s, d).where("event_id % 4 = 1"), opened(s, d), same=0.10, radius=40000.0).select("video_id", "slot", "path", "new_path"))
+frames = lambda s, d: signed(s, d).select("video_id", c("seq").cast("long").alias("position"), (c("event_id") % 3 > 0).alias("usable"), "signature", F.slice("signature", 1, 8).alias("identity"), c("signature").alias("pose"), F.slice("signature", 9, 8).alias("outfit"))
+query("join7_alternate_targets", lambda s, d: sel.distinct_alternates(frames(s, d), frames(s, d).groupBy("video_id").agg(F.floor(F.max("position") / 2).alias("position")), same=0.10))
+query("sel9_open_eyes", lambda s, d: sel.open_eyes(slots(s, d).withColumn("open", c("event_id") % 2 == 0), opened(s, d).where("event_id % 4 = 1"), opened(s, d), same=0.10, radius=40000.0, window=40000.0).select("video_id", "slot", "path", "new_path"))
