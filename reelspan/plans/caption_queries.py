@@ -75,8 +75,8 @@ query("win14_vary_openings", lambda s, d: cp.vary_openings(named(s, d), cp.peopl
       y AS (SELECT *, row_number() OVER (PARTITION BY video_id, key, island ORDER BY sent_id) - 2 AS k FROM z),
       l AS (SELECT video_id, lower(text) AS low, list_distinct(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda y: regexp_replace(y, '^[,.;:!?"''()]+|[,.;:!?"''()]+$', '', 'g'))) AS ws FROM n),
       g AS (SELECT pe.video_id, pe.key, sum(len(list_intersect(ws, ['she', 'her', 'hers']))) AS f, sum(len(list_intersect(ws, ['he', 'him', 'his']))) AS m FROM pe JOIN l ON pe.video_id = l.video_id AND (contains(low, lower(pe.full)) OR contains(low, pe.key)) GROUP BY 1, 2),
-      ap AS (SELECT pe.video_id, pe.key, n.sent_id, regexp_extract(n.text, '(?i)' || pe.full || '\\s*,\\s*(the|a|an)\\s+(\\p{{L}}+(?:\\s+\\p{{L}}+)?)', ['art', 'words']) AS m FROM pe JOIN n ON pe.video_id = n.video_id),
-      rl AS (SELECT video_id, key, arg_min(lower(m.art) || ' ' || regexp_replace(m.words, '\\s+', ' ', 'g'), sent_id) AS role FROM ap WHERE m.words <> '' AND NOT regexp_matches(m.words, '(^|\\s)[A-ZÀ-Ü]') GROUP BY 1, 2),
+      ap AS (SELECT video_id, key, sent_id, regexp_extract(text, pat, 1) AS art, regexp_extract(text, pat, 2) AS words FROM (SELECT pe.video_id, pe.key, n.sent_id, n.text, '(?i)' || pe.full || '\\s*,\\s*(the|a|an)\\s+(\\p{{L}}+(?:\\s+\\p{{L}}+)?)' AS pat FROM pe JOIN n ON pe.video_id = n.video_id)),
+      rl AS (SELECT video_id, key, arg_min(lower(art) || ' ' || regexp_replace(words, '\\s+', ' ', 'g'), sent_id) AS role FROM ap WHERE words <> '' AND NOT regexp_matches(words, '(^|\\s)[A-ZÀ-Ü]') GROUP BY 1, 2),
       fm AS (SELECT pe.video_id, pe.key, list_filter([split_part(pe.full, ' ', -1), split_part(pe.full, ' ', 1), CASE WHEN f > m THEN 'she' WHEN m > f THEN 'he' END, role], lambda x: x IS NOT NULL) AS forms FROM pe LEFT JOIN g ON pe.video_id = g.video_id AND pe.key = g.key LEFT JOIN rl ON pe.video_id = rl.video_id AND pe.key = rl.key)
       SELECT y.video_id, sent_id, CASE WHEN y.key IS NOT NULL AND k >= 0 THEN upper(forms[1 + k % len(forms)][1]) || forms[1 + k % len(forms)][2:] || substr(ltrim(text), length(spelling) + 1) ELSE text END AS text FROM y LEFT JOIN fm ON y.video_id = fm.video_id AND y.key = fm.key""")
 PIECES = f"""{CUTS}, pc AS (SELECT s.video_id, s.sent_id, CASE WHEN b.head IS NULL THEN [s.text] ELSE [regexp_replace(b.head, '[,;:—–]+$', ''), b.tail] END AS p FROM sentences s LEFT JOIN b ON b.video_id = s.video_id AND b.sent_id = s.sent_id AND b.r = 1)"""
