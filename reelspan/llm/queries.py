@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, jaccard, secrets, spm, suffixes, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, jaccard, merkle, secrets, spm, suffixes, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -54,6 +54,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 #: How SQL puts op3: the archive's round trip must give back what the pages say.
 WARC_SQL = """
@@ -83,4 +88,5 @@ SQL = {
     "op3_warc": WARC_SQL,
     "op6_ngram_jaccard_join": jaccard.SQL,
     "op7_url_filter": urlfilter.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
