@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, jaccard, merkle, secrets, spm, suffixes, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, jaccard, merkle, secrets, spm, suffixes, suffixtrees, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -58,6 +58,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtrees.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 #: How SQL puts op3: the archive's round trip must give back what the pages say.
 WARC_SQL = """
@@ -89,4 +94,5 @@ SQL = {
     "op6_ngram_jaccard_join": jaccard.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_substring_dedup": suffixtrees.SQL,
 }
