@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, jaccard, merkle, secrets, spm, suffixes, suffixtrees, tokenfiles, toxicity, urlfilter, warc
+from . import decontam, embeddings, jaccard, merkle, secrets, spelling, spm, suffixes, suffixtrees, tokenfiles, toxicity, urlfilter, warc
 from .common import table, written
 
 
@@ -62,6 +62,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtrees.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 #: How SQL puts op3: the archive's round trip must give back what the pages say.
 WARC_SQL = """
@@ -95,4 +100,5 @@ SQL = {
     "op7_url_filter": urlfilter.SQL,
     "op11_merkle_manifest": merkle.SQL,
     "op12_substring_dedup": suffixtrees.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
