@@ -1,13 +1,13 @@
 """Content packs, releases and lint: JSON documents as rows of paths, versions as arrays, findings as rows."""
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from reelspan.functions.documents import Number, Raw, parse, spell
+from reelspan.functions.shared import kept
 from reelspan.functions.text import version_key
 
 #: Punctuation and symbols beyond ASCII that lint allows, and words of another language that it reports.
@@ -34,15 +34,18 @@ def _leaves(doc: str | None):
     """Paths and values of a JSON text, by a stack, whatever its depth."""
     if doc is None:
         return
-    plain = lambda v: v if isinstance(v, str) else None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-    stack = [("", json.loads(doc))]
+    plain = lambda v: v if type(v) is str or v is None else spell(v)
+    stack = [("", parse(doc))]
     while stack:
         path, value = stack.pop()
         if not isinstance(value, dict) or not value:
             yield path, plain(value)
             continue
-        names = ((k.replace("~", "~0").replace("/", "~1"), v) for k, v in value.items())
-        stack.extend((f"{path}/{k}" if path else k, v) for k, v in names)
+        stack.extend((f"{path}/{_escaped(k)}" if path else _escaped(k), v) for k, v in value.items())
+
+
+def _escaped(key: str) -> str:
+    return key.replace("~", "~0").replace("/", "~1")
 
 
 def flatten(packs: DataFrame, key: str = "id") -> DataFrame:
@@ -78,25 +81,156 @@ def deep_merge(base: DataFrame, over: DataFrame, key: str = "id") -> DataFrame:
     return kept.join(filled.withColumnRenamed("value", "_o"), [key, "path"], "full").select(key, "path", F.coalesce("_o", "_b").alias("value"))
 
 
+def follow(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """starts (start), steps (at, to) with one step from each place at most -> (start, at, depth, loop): all places on the way from each start, itself at
+    depth 0. A way that comes back to a place ends there, with loop true.
+
+    By doubling: step tables of length 1, 2, 4, .. are joined to what is known, so that rounds are the logarithm of the longest way, and rows
+    are made for the given starts only.
+    """
+    jump = kept(steps.where("at is not null and to is not null").groupBy("at").agg(F.min("to").alias("to")), "jump")
+    ways = starts.where("start is not null").select("start", F.col("start").alias("at"), F.lit(0).cast("long").alias("depth")).distinct()
+    ways, size = kept(ways.withColumn("loop", F.lit(False)), "ways"), 1
+    while True:
+        open_ = ways.groupBy("start").agg(F.bool_or("loop").alias("_shut")).where("not _shut").select("start")
+        more = ways.join(open_, "start").join(jump, "at").select("start", F.col("to").alias("at"), F.col("depth") + size, F.lit(False))
+        more = kept(more, "ways")
+        if not more.take(1):
+            return ways
+        again = F.row_number().over(W.partitionBy("start", "at").orderBy("depth")) > 1
+        every = ways.union(more).withColumn("loop", again)
+        end = F.min(F.when(F.col("loop"), F.col("depth"))).over(W.partitionBy("start"))
+        ways = kept(every.withColumn("_end", end).where("_end is null or depth <= _end").drop("_end"), "ways")
+        far = jump.select(F.col("at").alias("to"), F.col("to").alias("_far"))
+        jump, size = kept(jump.join(far, "to").select("at", F.col("_far").alias("to")), "jump"), 2 * size
+
+
 def expand_use(packs: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packs (id, use, doc rows aside) with the chain of presets (preset, use) that they reach: (id, preset, depth), nearest first; problem rows for
-    unknown presets and cycles. Chains are followed once for each preset that is used, to their ends, and then joined to the packs;
-    one of more than 10,000 presets is an error."""
-    starts = packs.where("use is not null").select("use").distinct()
-    chain = packs.sparkSession.sql(
-        """WITH RECURSIVE chain(start, preset, depth, seen) MAX RECURSION LEVEL 10000 AS (
-             SELECT use, use, 0, CAST(array() AS array<string>) FROM {starts} UNION ALL
-             SELECT c.start, p.use, c.depth + 1, array_append(c.seen, c.preset) FROM chain c JOIN {presets} p ON p.preset = c.preset
-             WHERE p.use IS NOT NULL AND NOT array_contains(c.seen, c.preset))
-           SELECT start, preset, depth, array_contains(seen, preset) AS loop FROM chain""",
-        starts=starts, presets=presets,
-    )
-    reached = chain.join(presets.select("preset", F.lit(True).alias("_known")), "preset", "left")
+    unknown presets and cycles. Chains are followed once for each preset that is used, however long, and then joined to the packs."""
+    chain = follow(packs.where("use is not null").select(F.col("use").alias("start")), presets.select(F.col("preset").alias("at"), F.col("use").alias("to")))
+    known = presets.select("preset").distinct().withColumn("_known", F.lit(True))
+    reached = chain.select("start", F.col("at").alias("preset"), F.col("depth").cast("int").alias("depth"), "loop").join(known, "preset", "left")
     users = packs.where("use is not null").select("id", F.col("use").alias("start")).join(reached, "start")
     good = users.where("_known is not null and not loop").select("id", "preset", "depth")
     return good, users.where("_known is null or loop").select("id", "preset", F.when(F.col("loop"), "cycle").otherwise("unknown").alias("problem"))
 
 
+_NODE = "path array<string>, kind string, value string, use string"
+
+
+def _nodes(key: str):
+    """(key, doc) -> every object, array and scalar of a document with its path, and what an object uses. The loader's own keys are left out."""
+
+    def nodes(doc):
+        stack = [((), parse(doc))]
+        while stack:
+            path, v = stack.pop()
+            if isinstance(v, dict):
+                use = v.get("use")
+                empty = use is None or use is False or use == "" or (isinstance(use, Number) and float(use) == 0)
+                yield path, "object", None, None if empty else use if type(use) is str else spell(use)
+                stack.extend(((*path, k), x) for k, x in v.items() if not (k.startswith("_") or k in ("schema", "use")))
+            elif isinstance(v, list):
+                yield path, "array", str(len(v)), None
+                stack.extend(((*path, str(i)), x) for i, x in enumerate(v))
+            else:
+                yield path, "scalar", spell(v), None
+
+    def run(batches):
+        for batch in batches:
+            ids, docs = batch.column(0), batch.column(1).to_pylist()
+            found = [(i, *node) for i, doc in enumerate(docs) if doc is not None for node in nodes(doc)]
+            at, *rest = zip(*found) if found else ((),) * 5
+            types = (pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(map(list, r) if k == 0 else r, t) for k, (r, t) in enumerate(zip(rest, types)))], [key, "path", "kind", "value", "use"])
+
+    return run
+
+
+def _merged(nodes: list[tuple]) -> str:
+    """One document of the nodes (path, rank, kind, value) that a pack and the presets in it hold. Ranks are those of the walk: a rank comes before those
+    that it begins, and what stands first wins. An object lets later ones add keys; anything else covers all that its own presets and
+    its betters' hold below it."""
+    at: dict[tuple, list] = {}
+    for path, rank, kind, value in nodes:
+        at.setdefault(path, []).append((rank, kind, value))
+    opened: dict[tuple, set] = {}
+    made, root = {}, None
+    for path in sorted(at, key=lambda p: (len(p), p)):
+        above, alive, here = opened.get(path[:-1], set()) if path else {()}, set(), []
+        for rank, kind, value in sorted(at[path], key=lambda x: x[0]):
+            begins = rank and -rank[-1] == len(path)  # here the preset is used: it stands and falls with the object that uses it
+            if rank[:-1] in alive if begins else rank in above:
+                alive.add(rank)
+                here.append((rank, kind, value))
+        if not here:
+            continue
+        first: dict[tuple, tuple] = {}
+        for rank, kind, _ in here:
+            for n in range(len(rank) + 1):
+                first.setdefault(rank[:n], (kind, rank))
+        agreed = lambda rank, kind: all(k == "object" if kind == "object" else r == rank for k, r in (first[rank[:n]] for n in range(len(rank) + 1)))
+        opened[path] = {rank for rank, kind, _ in here if kind != "scalar" and agreed(rank, kind)}
+        _, kind, value = here[0]
+        own = {} if kind == "object" else [None] * int(value) if kind == "array" else Raw(value)
+        if kind != "scalar":
+            made[path] = own
+        if not path:
+            root = own
+            continue
+        holder = made[path[:-1]]
+        holder[int(path[-1]) if isinstance(holder, list) else path[-1]] = own
+    return spell(root)
+
+
+def expand_documents(packs: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packs (id, doc) and presets (preset, doc) -> (id, doc) in which every object that says {"use": preset} also holds what the preset says, own keys
+    winning, through objects and arrays and presets that use presets; and problems (id, path, preset, problem): a preset that a way comes back
+    to (cycle), that isn't there (unknown), or whose document isn't an object. What is wrong adds nothing.
+
+    The walk goes in rounds over all packs at once: a row is one use at one place, with the presets on its way; a round joins the uses inside
+    the presets that the last one reached, so that rounds are the longest way. Keys of the loader (schema, use, _..) are left out.
+    Null documents have no row; one id has one document.
+    """
+    own = kept(packs.select("id", "doc").mapInArrow(_nodes("id"), StructType([packs.schema["id"], *_fields(_NODE)])), "nodes")
+    held = kept(presets.select("preset", "doc").mapInArrow(_nodes("preset"), StructType([presets.schema["preset"], *_fields(_NODE)])), "nodes")
+    roots = held.where("size(path) = 0").groupBy("preset").agg(F.min("kind").alias("_kind"))
+    inner = held.where("use is not null").select(F.col("preset").alias("_p"), F.col("path").alias("_sub"), F.col("use").alias("_next"))
+    place = lambda p: F.array(-F.size(p))  # noqa: E731  (of two uses in one document, the inner one wins)
+    way = own.where("use is not null").select("id", F.col("path").alias("at"), F.col("use").alias("preset"), place("path").alias("rank"), F.array().cast("array<string>").alias("seen"))
+    good, bad = [], []
+    while True:
+        way = kept(way.join(roots, "preset", "left"), "ways")
+        if not way.take(1):
+            break
+        problem = F.when(F.array_contains("seen", F.col("preset")), "cycle").when(F.col("_kind").isNull(), "unknown").when(F.col("_kind") != "object", "not an object")
+        told = way.withColumn("problem", problem)
+        bad.append(told.where("problem is not null").select("id", F.array_join(F.transform("at", lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), "/").alias("path"), "preset", "problem"))
+        good.append(told.where("problem is null").select("id", "at", "preset", "rank"))
+        step = told.where("problem is null").join(inner, F.col("preset") == F.col("_p"))
+        deeper = F.concat("at", "_sub")
+        way = step.select("id", deeper.alias("at"), F.col("_next").alias("preset"), F.concat("rank", place(deeper)).alias("rank"), F.array_append("seen", F.col("preset")).alias("seen"))
+    nodes = own.select("id", "path", F.array().cast("array<int>").alias("rank"), "kind", "value")
+    for reached in good:
+        nodes = nodes.union(reached.join(held, "preset").select("id", F.concat("at", "path").alias("path"), "rank", "kind", "value"))
+    schema = StructType([packs.schema["id"], StructField("doc", StringType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = zip(map(tuple, group["path"].to_pylist()), map(tuple, group["rank"].to_pylist()), group["kind"].to_pylist(), group["value"].to_pylist())
+        return pa.table({"id": group["id"].slice(0, 1), "doc": pa.array([_merged(list(rows))], pa.string())})
+
+    none = packs.sparkSession.createDataFrame([], StructType([packs.schema["id"], *_fields("path string, preset string, problem string")]))
+    problems = none
+    for b in bad:
+        problems = problems.union(b)
+    return nodes.groupBy("id").applyInArrow(run, schema), problems
+
+
+def _fields(text: str) -> list[StructField]:
+    return StructType.fromDDL(text).fields
+
+
 def packs_by_group(packs: DataFrame) -> DataFrame:
     return packs.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
@@ -123,22 +257,23 @@ def upgrade_path(installs: DataFrame, patches: DataFrame) -> DataFrame:
     """(machine, step, version): from each install (machine, version), again and again the highest patch (version, min_version) above it that
     it may take. Each step raises the version, so that a path ends.
 
-    Paths are followed once for each distinct version (a release list: some hundred), then joined to the machines. The highest
-    patch that a version may take is a running maximum over minimum versions.
+    Paths are followed once for each distinct version, by doubling, and then joined to the machines. The highest patch that a version may take is a
+    running maximum over minimum versions, of ranges of them and then within each.
     """
     at = installs.select("machine", "version", version_key(F.col("version")).alias("_at"))
     offered = patches.select(version_key(F.coalesce("min_version", F.lit("0.0.0"))).alias("_at"), F.struct(version_key(F.col("version")).alias("_v"), F.col("version").alias("to")).alias("best"))
     versions = at.select("_at").union(offered.select("best._v")).distinct()
-    upto = W.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    ahead = offered.union(versions.select("_at", F.lit(None).cast(offered.schema["best"].dataType))).withColumn("b", F.max("best").over(upto)).where("best is null and b._v > _at")
-    paths = installs.sparkSession.sql(
-        """WITH RECURSIVE path(start, step, version, reached) MAX RECURSION LEVEL 10000 AS (
-             SELECT _at, 0, b.to, b._v FROM {ahead} UNION ALL
-             SELECT p.start, p.step + 1, a.b.to, a.b._v FROM path p JOIN {ahead} a ON a._at = p.reached)
-           SELECT start, step, version FROM path""",
-        ahead=ahead.select("_at", "b"),
-    )
-    return at.select("machine", F.col("_at").alias("start")).join(paths, "start").select("machine", "step", "version")
+    both = offered.union(versions.select("_at", F.lit(None).cast(offered.schema["best"].dataType)))
+    ranged = kept(both.repartitionByRange("_at").withColumn("_range", F.spark_partition_id()), "versions")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    tops = ranged.groupBy("_range").agg(F.max("best").alias("_top")).withColumn("_top", F.max("_top").over(before))
+    upto = W.partitionBy("_range").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    highest = ranged.join(tops, "_range").withColumn("b", F.greatest("_top", F.max("best").over(upto)))
+    ahead = kept(highest.where("best is null and b._v > _at").select("_at", "b"), "ahead")
+    paths = follow(at.select(F.col("_at").alias("start")), ahead.select(F.col("_at").alias("at"), F.col("b._v").alias("to")))
+    named = ahead.select("b.*").distinct()
+    steps = paths.where("depth > 0").join(named, F.col("at") == F.col("_v")).select("start", (F.col("depth") - 1).cast("int").alias("step"), F.col("to").alias("version"))
+    return at.select("machine", F.col("_at").alias("start")).join(steps, "start").select("machine", "step", "version")
 
 
 def offending_chars(line: Column) -> Column:

@@ -54,7 +54,24 @@ query("jsn3_expand_use", lambda s, d: pk.expand_use(users(s, d), presets(s, d))[
       f"""WITH RECURSIVE q AS {PARTS}, p AS (SELECT 'p' || k AS preset, CASE WHEN k % 3 > 0 THEN 'p' || (k % 5 + 2) END AS use FROM q WHERE k <= 9),
       w AS (SELECT k AS id, p.preset, p.use, 0 AS depth, [p.preset] AS seen FROM q JOIN p ON k % 4 > 0 AND p.preset = 'p' || (k % 12) UNION ALL SELECT id, p.preset, p.use, depth + 1, list_append(seen, p.preset) FROM w JOIN p ON p.preset = w.use WHERE NOT list_contains(seen, p.preset))
       SELECT id, preset, depth FROM w""")
-query("jsn3_problems", lambda s, d: pk.expand_use(users(s, d), presets(s, d))[1])
+query("jsn3_problems", lambda s, d: pk.expand_use(users(s, d), presets(s, d))[1],
+      f"""WITH RECURSIVE q AS {PARTS}, p AS (SELECT 'p' || k AS preset, CASE WHEN k % 3 > 0 THEN 'p' || (k % 5 + 2) END AS use FROM q WHERE k <= 9),
+      w AS (SELECT k AS id, 'p' || (k % 12) AS preset, CAST([] AS VARCHAR[]) AS seen FROM q WHERE k % 4 > 0 UNION ALL SELECT id, p.use, list_append(seen, w.preset) FROM w JOIN p ON p.preset = w.preset WHERE p.use IS NOT NULL AND NOT list_contains(seen, w.preset))
+      SELECT id, preset, CASE WHEN list_contains(seen, preset) THEN 'cycle' ELSE 'unknown' END AS problem FROM w WHERE list_contains(seen, preset) OR preset NOT IN (SELECT preset FROM p)""")
+#: Documents that use presets: a chain of up to fifteen inside lists, a cycle, an unknown one, nested uses of one place, one that is a list.
+USING = """CASE k % 5 WHEN 0 THEN concat('{"use":"p', CAST(k % 15 + 1 AS VARCHAR(20)), '","same":"own"}') WHEN 1 THEN '{"a":{"use":"c1","x":1}}' WHEN 2 THEN concat('{"m":[1,{"use":"gone', CAST(k AS VARCHAR(20)), '","q":2}]}')
+  WHEN 3 THEN '{"o":{"use":"c3"},"use":"c4"}' ELSE '{"use":"c5","_n":{"use":"p1"},"schema":3,"e":{}}' END"""
+PRESET = """CASE WHEN k < 15 THEN concat('{"l":[{"use":"p', CAST(k + 1 AS VARCHAR(20)), '","k":', CAST(k AS VARCHAR(20)), '}],"same":', CAST(k AS VARCHAR(20)), '}') WHEN k = 15 THEN '{"end":1,"same":15}'
+  WHEN k = 16 THEN '{"b":{"use":"c2"},"x":0,"y":7}' WHEN k = 17 THEN '{"z":[{"use":"c1"}]}' WHEN k = 18 THEN '{"v":{"w":1}}' WHEN k = 19 THEN '{"o":{"v":5,"t":2},"u":[1]}' ELSE '[1]' END"""
+expanded = lambda s, d: pk.expand_documents(parts(s, d).select(c("k").alias("id"), F.expr(USING).alias("doc")), parts(s, d).where("k <= 20").select(F.expr("CASE WHEN k <= 15 THEN concat('p', k) ELSE concat('c', k - 15) END").alias("preset"), F.expr(PRESET).alias("doc")))
+query("jsn3_expand_documents", lambda s, d: pk.flatten(expanded(s, d)[0]),
+      f"""WITH RECURSIVE q AS {PARTS}, t AS (SELECT 15 AS j, '{{"end":1,"k":14,"same":15}}' AS e UNION ALL SELECT j - 1, '{{"k":' || (j - 2) || ',"l":[' || e || '],"same":' || (j - 1) || '}}' FROM t WHERE j > 2),
+      w AS (SELECT k AS id, CASE k % 5 WHEN 0 THEN CASE WHEN k % 15 = 14 THEN [['end', '1'], ['same', 'own']] ELSE [['l', '[' || e || ']'], ['same', 'own']] END WHEN 1 THEN [['a/b/z', '[{{}}]'], ['a/x', '1'], ['a/y', '7']] WHEN 2 THEN [['m', '[1,{{"q":2}}]']]
+        WHEN 3 THEN [['o/t', '2'], ['o/v/w', '1'], ['u', '[1]']] ELSE [['e', '{{}}']] END AS rows FROM q LEFT JOIN t ON k % 5 = 0 AND j = k % 15 + 2)
+      SELECT id, r[1] AS path, r[2] AS value FROM (SELECT id, unnest(rows) AS r FROM w)""")
+query("jsn3_document_problems", lambda s, d: expanded(s, d)[1],
+      f"""SELECT k AS id, CASE k % 5 WHEN 1 THEN 'a/b/z/0' WHEN 2 THEN 'm/1' ELSE '' END AS path, CASE k % 5 WHEN 1 THEN 'c1' WHEN 2 THEN 'gone' || k ELSE 'c5' END AS preset,
+      CASE k % 5 WHEN 1 THEN 'cycle' WHEN 2 THEN 'unknown' ELSE 'not an object' END AS problem FROM {PARTS} WHERE k % 5 IN (1, 2, 4)""")
 raw = lambda s, d: parts(s, d).select(F.concat(F.lit("f"), c("k").cast("string")).alias("path"), F.expr("CASE k % 4 WHEN 0 THEN '{bad' WHEN 1 THEN '[1]' ELSE '{\"a\": 1}' END").alias("doc"))
 query("src11_pack_problems", lambda s, d: pk.sort_packs(raw(s, d))[1], f"SELECT 'f' || k AS path, CASE k % 4 WHEN 0 THEN 'unreadable JSON' ELSE 'not an object' END AS problem FROM {PARTS} WHERE k % 4 < 2")
 groups = lambda s, d: parts(s, d).select(F.concat(F.lit("c"), c("k").cast("string")).alias("id"), F.expr("CASE k % 5 WHEN 0 THEN 'News' WHEN 1 THEN 'music' WHEN 2 THEN 'Film' ELSE 'sport' END").alias("grp"))

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from reelspan.functions.shared import shared_folder
 from reelspan.plans.fixtures import ctes, table
 from reelspan.plans.registry import query
 from reelspan.streaming import usage as us
@@ -24,10 +25,7 @@ query("str2_activity_counts", lambda s, d: us.activity_counts(events(s, d)).sele
 
 def _streamed(spark, d, build, schema):
     """The driver's events as a file stream, run to its end once: what append mode has closed by then."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="reelspan-")
-    where = f"{folder.rstrip('/')}/usage-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
     made = {"timestamp": "date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")", "channel": "concat('channel', user_id % 7)", "user": "cast(user_id as string)", "action": "event_type"}
     table(spark, d, "events").select(*[F.expr(v).alias(k) for k, v in made.items()]).write.json(f"{where}/in")
     stream = build(us.stream_events(spark, f"{where}/in", 1_000_000)).writeStream.format("parquet").option("path", f"{where}/out")
