@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 TERMINAL = "[.!?…][\"'”’)\\]]*$"
 INTERNAL = "[,;:—–][\"'”’)\\]]*$"
 DANGLING = "[,;:—–]+$"
-#: Places where a caption may be cut, and ends of clauses.
+#: Places where a caption may be cut, ends of clauses, characters of a screen and of two, words of a piece.
 CAPTION_BREAK = "[.!?…,;:—–][\"'”’)\\]]*(?=\\s)"
 CLAUSE_END = "[,;:.!?—–](?=\\s|$)"
 CAPTION, CAPTION_MOST, LEAST_WORDS = 80, 160, 4
@@ -44,6 +44,11 @@ def split_caption(text: Column, limit: int = CAPTION) -> Column:
     return F.when((F.length(text) > limit) & (F.size(marks) > 0) & best.isNotNull(), F.array(F.regexp_replace(best["head"], DANGLING, ""), best["tail"])).otherwise(F.array(text))
 
 
+def needs_condensing(text: Column) -> Column:
+    """Longer than a screen and not to be cut in two."""
+    return (F.length(text) > CAPTION) & (F.size(split_caption(text)) == 1)
+
+
 def fit_caption(text: Column) -> Column:
     """Kept up to 160 characters; cut at the last clause end from the 80th to before the 160th; else empty."""
     gaps = F.split(F.substring(text, 1, CAPTION_MOST + 1), "[,;:.!?—–](?=\\s)", -1)

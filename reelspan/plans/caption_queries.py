@@ -1,5 +1,6 @@
 """Queries over words, sentences and captions, with their SQL."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as tx
@@ -39,7 +40,7 @@ query("txt3_split_caption", lambda s, d: sentences(s, d).select(*SID, tx.split_c
 query("txt4_fit_caption", lambda s, d: sentences(s, d).select(*SID, tx.fit_caption(c("text")).alias("fitted")),
       ctes("sentences") + """, q AS (SELECT *, coalesce((SELECT max(i) FROM unnest(range(1, 161)) AS r(i) WHERE regexp_matches(substr(text, i, 1), '[,;:.!?—–]') AND regexp_matches(substr(text, i + 1, 1), '\\s')), 0) - 1 AS cut FROM sentences)
       SELECT video_id, sent_id, CASE WHEN length(text) <= 160 THEN text WHEN cut < 80 THEN '' ELSE trim(regexp_replace(substr(text, 1, cut + 1), '[,;:—–]+$', '')) END AS fitted FROM q""")
-query("txt5_needs_condensing", lambda s, d: sentences(s, d).select(*SID, ((F.length("text") > 80) & (F.size(tx.split_caption(c("text"))) == 1)).alias("needs")),
+query("txt5_needs_condensing", lambda s, d: sentences(s, d).select(*SID, tx.needs_condensing(c("text")).alias("needs")),
       ctes("sentences") + f", {CUTS} SELECT s.video_id, s.sent_id, length(s.text) > 80 AND b.head IS NULL AS needs FROM sentences s LEFT JOIN b ON b.video_id = s.video_id AND b.sent_id = s.sent_id AND b.r = 1")
 TOKENS = "regexp_extract_all(lower(text), '\\p{L}+(?:[''’]\\p{L}+)*')"
 query("txt6_word_tokens", lambda s, d: sentences(s, d).select(*SID, F.array_join(tx.word_tokens(c("text")), " ").alias("tokens")), ctes("sentences") + f" SELECT video_id, sent_id, array_to_string({TOKENS}, ' ') AS tokens FROM sentences")
@@ -95,6 +96,40 @@ query("win12_claim_captions", lambda s, d: cp.claim_captions(sentences(s, d), ta
 query("win13_drop_repeats", lambda s, d: cp.repeats_previous(sentences(s, d)).select(*SID, F.round("overlap", 6).alias("overlap"), F.coalesce("repeats", F.lit(False)).alias("repeats")),
       ctes("sentences") + f""", q AS (SELECT video_id, sent_id, list_distinct({TOKENS}) AS t FROM sentences), p AS (SELECT *, lag(t) OVER (PARTITION BY video_id ORDER BY sent_id) AS b FROM q),
       o AS (SELECT video_id, sent_id, CASE WHEN b IS NOT NULL AND least(len(t), len(b)) >= 5 THEN len(list_intersect(t, b)) / least(len(t), len(b)) ELSE 0.0 END AS overlap FROM p) SELECT video_id, sent_id, round(overlap, 6) AS overlap, overlap >= 0.75 AS repeats FROM o""")
+#: Blocks of two sentences; of six blocks the first two are rewritten alike, the third as the block before was spoken, the fifth and sixth together.
+spoken = lambda s, d: sentences(s, d).withColumn("block", F.floor(c("sent_id") / 2).cast("int"))
+PHRASE = "concat('Meanwhile the story of number ', CAST(video_id AS VARCHAR(9)), ' goes on in town')"
+
+
+def rewritten(s, d):
+    blocks = spoken(s, d).groupBy("video_id", "block").agg(F.max_by("text", "sent_id").alias("back"))
+    text = F.expr(f"CASE block % 6 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 2 THEN before ELSE {PHRASE} END")
+    runs = blocks.withColumn("before", F.lag("back").over(W.partitionBy("video_id").orderBy("block")))
+    return runs.select("video_id", c("block").alias("start"), (c("block") + (c("block") % 6 == 4).cast("int")).alias("end"), text.alias("text")).where("text is not null")
+
+
+AGAIN = "(len(list_intersect({a}, {b})) >= 0.75 * least(len({a}), len({b})) AND least(len({a}), len({b})) >= 5)"
+WORDS_OF = "list_distinct(regexp_extract_all(lower({x}), '\\p{{L}}+(?:[''’]\\p{{L}}+)*'))"
+query("win13_emit_lines", lambda s, d: cp.emit_lines(spoken(s, d), rewritten(s, d)).select(*SID, "text", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "rewritten"),
+      recursive("sentences") + f""", bl AS (SELECT video_id, sent_id // 2 AS b, arg_max(text, sent_id) AS back, min(sent_id) AS first, min(start_s) AS a, max(end_s) AS z FROM sentences GROUP BY 1, 2),
+      nx AS (SELECT *, lag(back) OVER (PARTITION BY video_id ORDER BY b) AS before, b % 6 = 5 AND lag(b) OVER (PARTITION BY video_id ORDER BY b) = b - 1 AS joined FROM bl),
+      un AS (SELECT video_id, CASE WHEN joined THEN b - 1 ELSE b END AS u, max(b) AS e, arg_max(back, b) AS back, min(first) AS first, min(a) AS a, max(z) AS z, arg_min(before, b) AS before FROM nx GROUP BY 1, 2),
+      rw AS (SELECT *, CASE u % 6 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 2 THEN before ELSE {PHRASE} END AS new, row_number() OVER (PARTITION BY video_id ORDER BY u) AS i FROM un),
+      ch AS (SELECT video_id, u, i, new IS NOT NULL AS taken, coalesce(new, back) AS last FROM rw WHERE i = 1 UNION ALL
+        SELECT rw.video_id, rw.u, rw.i, rw.new IS NOT NULL AND NOT {AGAIN.format(a=WORDS_OF.format(x='rw.new'), b=WORDS_OF.format(x='ch.last'))}, CASE WHEN rw.new IS NOT NULL AND NOT {AGAIN.format(a=WORDS_OF.format(x='rw.new'), b=WORDS_OF.format(x='ch.last'))} THEN rw.new ELSE rw.back END FROM ch JOIN rw ON rw.video_id = ch.video_id AND rw.i = ch.i + 1)
+      SELECT rw.video_id, first AS sent_id, new AS text, round(a, 3) AS start_s, round(z, 3) AS end_s, true AS rewritten FROM rw JOIN ch USING (video_id, u) WHERE taken UNION ALL
+      SELECT s.video_id, s.sent_id, s.text, round(start_s, 3), round(end_s, 3), false FROM sentences s JOIN nx ON nx.video_id = s.video_id AND nx.b = s.sent_id // 2 JOIN ch ON ch.video_id = s.video_id AND ch.u = CASE WHEN joined THEN nx.b - 1 ELSE nx.b END WHERE NOT taken""")
+#: Answers for every line: one too long, the words that the line begins with, and, for some, the same phrase.
+SHORTER = f"CASE k WHEN 0 THEN concat(text, ' and more') WHEN 1 THEN substr(text, 1, 40) WHEN 2 THEN CASE WHEN sent_id % 3 > 0 THEN {PHRASE} END ELSE NULL END"
+answers = lambda s, d: sentences(s, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(*SID, c("k").alias("at"), F.expr(SHORTER).alias("text")).where("text is not null")
+query("txt5_accept_shortened", lambda s, d: cp.accept_shortened(sentences(s, d), answers(s, d), "de").select(*SID, "text", "shortened"),
+      recursive("sentences") + f""", {CUTS}, nd AS (SELECT s.*, length(s.text) > 80 AND b.head IS NULL AS needs FROM sentences s LEFT JOIN b ON b.video_id = s.video_id AND b.sent_id = s.sent_id AND b.r = 1),
+      an AS (SELECT video_id, sent_id, k, trim({SHORTER}) AS short, length(text) AS size FROM nd, range(3) AS r(k) WHERE needs),
+      tr AS (SELECT video_id, sent_id, arg_max(short, k) AS new FROM an WHERE short <> '' AND length(short) < size AND length(short) <= 80 AND len(list_intersect({WORDS_OF.format(x='short')}, [{', '.join(f"'{w}'" for w in tx.ENGLISH)}])) < 2 GROUP BY 1, 2),
+      ln AS (SELECT nd.video_id, nd.sent_id, nd.text, new, row_number() OVER (PARTITION BY nd.video_id ORDER BY nd.sent_id) AS i FROM nd LEFT JOIN tr USING (video_id, sent_id)),
+      ch AS (SELECT video_id, sent_id, i, new IS NOT NULL AS taken, coalesce(new, text) AS shown FROM ln WHERE i = 1 UNION ALL
+        SELECT ln.video_id, ln.sent_id, ln.i, ln.new IS NOT NULL AND NOT {AGAIN.format(a=WORDS_OF.format(x='ln.new'), b=WORDS_OF.format(x='ch.shown'))}, CASE WHEN ln.new IS NOT NULL AND NOT {AGAIN.format(a=WORDS_OF.format(x='ln.new'), b=WORDS_OF.format(x='ch.shown'))} THEN ln.new ELSE ln.text END FROM ch JOIN ln ON ln.video_id = ch.video_id AND ln.i = ch.i + 1)
+      SELECT video_id, sent_id, shown AS text, taken AS shortened FROM ch""")
 query("set3_word_overlap", lambda s, d: sentences(s, d).select(*SID, F.round(tx.word_overlap(F.array_distinct(tx.word_tokens(c("text"))), F.split(F.lit("the that and of in to is"), " ")), 6).alias("overlap")),
       ctes("sentences") + f" SELECT video_id, sent_id, CASE WHEN len({TOKENS}) = 0 THEN 0.0 ELSE round(len(list_intersect(list_distinct({TOKENS}), ['the', 'that', 'and', 'of', 'in', 'to', 'is'])) / least(7, len(list_distinct({TOKENS}))), 6) END AS overlap FROM sentences")
 SLOTS = "SELECT video_id, seq AS slot, CASE WHEN event_id % 4 = 0 THEN path END AS content, path AS draft, event_id % 5 = 0 AS edited, concat('c', CAST(event_id % 3 AS VARCHAR(9))) AS channel FROM grabs"
