@@ -50,6 +50,96 @@ def tone_stats(pixels: DataFrame, stride: int = 1, weight: Column | None = None)
     return kept.groupBy(*FRAME).agg(F.percentile("gray", F.lit(0.01)).alias("p1"), F.percentile("gray", F.lit(0.99)).alias("p99"), F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("deviation"), (F.sum(F.col("gray") * F.col("_w")) / F.sum("_w")).alias("weighted"))
 
 
+#: Pixels that a statistic of a whole frame is taken from, weight below which a subject counts for nothing, radius of the layer
+#: whose deviation is detail, sides of a pose signature, and the chest below a face (half its width, from and to, in sides of the face).
+STATS_PIXELS, LEAST_WEIGHT, DETAIL_SIGMA, POSE_SIZE, CHEST = 250_000, 100.0, 15.0, (64, 36), (1.1, 1.15, 2.2)
+
+
+def luma() -> Column:
+    return 0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("r")
+
+
+def color_stats(pixels: DataFrame, weight: Column | None = None, budget: int = STATS_PIXELS) -> DataFrame:
+    """Pixels in colour (FRAME, y, x, b, g, r) -> per frame what grading reads: p1, p99, deviation and mean saturation (0 to 1) of every step-th row
+    and column, so that at most about `budget` pixels count; subject (mean luma by weight, of all alike where it weighs too little), lap_var
+    (variance of the Laplacian, edges mirrored) and detail (deviation of luma from its blur, by weight) of all pixels, because they live on
+    neighbours."""
+    c = F.col
+    lit = pixels.select(*FRAME, "y", "x", luma().alias("gray"), F.greatest("b", "g", "r").alias("_top"), F.least("b", "g", "r").alias("_low"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"))
+    sizes = lit.groupBy(*FRAME).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_wide"))
+    step = F.when(c("_h") * c("_wide") <= budget, 1).otherwise(F.ceil(F.sqrt(c("_h") * c("_wide") / budget))).cast("int")
+    held = _around(lit).join(sizes.withColumn("_step", step), list(FRAME))
+    here = (c("y") % c("_step") == 0) & (c("x") % c("_step") == 0)
+    mirrored = lambda one, other: F.coalesce(one, other, c("gray"))
+    laplacian = mirrored(c("left"), c("right")) + mirrored(c("right"), c("left")) + mirrored(c("up"), c("down")) + mirrored(c("down"), c("up")) - 4 * c("gray")
+    sampled = held.withColumns({"_g": F.when(here, c("gray")), "_s": F.when(here, F.when(c("_top") > 0, (c("_top") - c("_low")) / c("_top")).otherwise(0.0)), "_l": laplacian})
+    total = F.sum("_w")
+    found = sampled.groupBy(*FRAME).agg(
+        F.percentile("_g", F.lit(0.01)).alias("p1"), F.percentile("_g", F.lit(0.99)).alias("p99"), F.stddev_pop("_g").alias("deviation"), F.avg("_s").alias("saturation"),
+        F.when(total > LEAST_WEIGHT, F.sum(c("gray") * c("_w")) / total).otherwise(F.avg("gray")).alias("subject"), F.var_pop("_l").alias("lap_var"),
+    )
+    return found.join(_detail(lit), list(FRAME))
+
+
+def _detail(lit: DataFrame, sigma: float = DETAIL_SIGMA) -> DataFrame:
+    """Per frame: root of the weighted mean square of luma less its Gaussian blur, edges mirrored. A frame is one bounded group."""
+    reach = int(round(4 * sigma))
+    tap = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    tap /= tap.sum()
+
+    def blurred(plane: np.ndarray) -> np.ndarray:
+        n = plane.shape[0]
+        at = np.abs(np.arange(-reach, n + reach)) % max(2 * n - 2, 1)
+        wide = plane[np.minimum(at, max(2 * n - 2, 1) - at) if n > 1 else np.zeros_like(at)]
+        return np.stack([np.convolve(column, tap, "valid") for column in wide.T], 1)
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(group["y"].max()) + 1, int(group["x"].max()) + 1
+        plane, weight = np.zeros((h, w)), np.zeros((h, w))
+        at = group["y"].to_numpy(), group["x"].to_numpy()
+        plane[at], weight[at] = group["gray"], group["_w"]
+        square = (plane - blurred(blurred(plane).T).T) ** 2
+        mean = (square * weight).sum() / weight.sum() if weight.sum() > LEAST_WEIGHT else square.mean()
+        return pd.DataFrame({"video_id": group["video_id"].iloc[:1], "seq": group["seq"].iloc[:1], "detail": [float(np.sqrt(mean))]})
+
+    return lit.select(*FRAME, "y", "x", "gray", "_w").groupBy(*FRAME).applyInPandas(measure, "video_id long, seq long, detail double")
+
+
+def pose_signature(pixels: DataFrame, size: tuple[int, int] = POSE_SIZE) -> DataFrame:
+    """Pixels in colour -> (FRAME, signature): the arrangement of light and dark of each frame. The frame is laid over a grid of `size` cells; a pixel
+    counts in each cell by the area that it has there, in whole numbers of parts; a cell's planes are rounded, made gray and, over the
+    frame, brought to mean 0 and deviation 1. Row by row."""
+    c, (columns, rows) = F.col, size
+    sides = pixels.groupBy(*FRAME).agg((F.max("x") + 1).alias("_iw"), (F.max("y") + 1).alias("_ih"))
+    first, last = lambda v, n, side: F.floor(v * n / side), lambda v, n, side: F.ceil((v + 1) * n / side) - 1
+    part = lambda v, n, side, cell: F.least((v + 1) * n, (cell + 1) * side) - F.greatest(v * n, cell * side)
+    laid = pixels.join(sides, list(FRAME)).withColumn("_cx", F.explode(F.sequence(first(c("x"), columns, c("_iw")), last(c("x"), columns, c("_iw")))))
+    laid = laid.withColumn("_cy", F.explode(F.sequence(first(c("y"), rows, c("_ih")), last(c("y"), rows, c("_ih")))))
+    area = part(c("x"), columns, c("_iw"), c("_cx")) * part(c("y"), rows, c("_ih"), c("_cy"))
+    plane = lambda k: F.bround(F.sum(c(k) * c("_a")) / F.sum("_a"), 0).cast("int").alias(k)
+    cells = laid.withColumn("_a", area).groupBy(*FRAME, "_cy", "_cx").agg(plane("b"), plane("g"), plane("r"))
+    gray = F.shiftright(1868 * c("b") + 9617 * c("g") + 4899 * c("r") + 8192, 14).cast("double")  # the weights of luma in parts of 16384
+    ordered = F.array_sort(F.collect_list(F.struct("_cy", "_cx", gray.alias("v")))).getField("v")
+    found = cells.groupBy(*FRAME).agg(ordered.alias("_v"), F.avg(gray).alias("_m"), F.stddev_pop(gray).alias("_d"))
+    return found.select(*FRAME, F.transform("_v", lambda v: (v - c("_m")) / (c("_d") + 1e-6)).alias("signature"))
+
+
+def outfit_signature(pixels: DataFrame, faces: DataFrame) -> DataFrame:
+    """faces (FRAME, face_id, x, y, w, h) plus outfit: the 8 x 8 x 8 histogram, of length 1, of the colours of the chest below each face, as far as it
+    lies within the frame; null where nothing of it does."""
+    c, (half, top, bottom) = F.col, CHEST
+    middle = c("x") + F.floor(c("w") / 2)
+    reach = lambda k, side: (k * c(side)).cast("int")
+    box = faces.select(*FRAME, "face_id", (middle - reach(half, "w")).alias("_x1"), (middle + reach(half, "w")).alias("_x2"), (c("y") + reach(top, "h")).alias("_y1"), (c("y") + reach(bottom, "h")).alias("_y2"))
+    inside = (c("x") >= c("_x1")) & (c("x") < c("_x2")) & (c("y") >= c("_y1")) & (c("y") < c("_y2"))
+    chest = pixels.join(box, list(FRAME)).where(inside)
+    bin_ = (F.floor(c("b") / 32) * 64 + F.floor(c("g") / 32) * 8 + F.floor(c("r") / 32)).cast("int")
+    counted = chest.groupBy(*FRAME, "face_id", bin_.alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    filled = counted.groupBy(*FRAME, "face_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"), F.sqrt(F.sum(c("n") * c("n"))).alias("_l"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda k: F.coalesce(F.try_element_at("_n", k), F.lit(0.0)) / c("_l"))
+    return faces.join(filled.select(*FRAME, "face_id", dense.alias("outfit")), [*FRAME, "face_id"], "left")
+
+
 def gray_histogram(pixels: DataFrame, bins: int = 8) -> DataFrame:
     """Per frame: L2-normalised histogram as rows (bin, share)."""
     counted = pixels.groupBy(*FRAME, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), "gray")) / (256 / bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

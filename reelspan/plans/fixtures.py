@@ -39,6 +39,10 @@ SELECT user_id AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER B
 FROM events WHERE user_id IN (SELECT conv_id FROM conversations)""",
     "pixel": """
 SELECT CAST(label AS BIGINT) AS video_id, vec_id AS seq, CAST(floor(p / 8) AS INT) AS y, CAST(p % 8 AS INT) AS x, 128 + 127 * CAST(v AS DOUBLE) AS gray FROM {PIXELS}""",
+    "color": """
+SELECT CAST(label AS BIGINT) AS video_id, vec_id AS seq, CAST(floor(p / 8) AS INT) AS y, CAST(p % 8 AS INT) AS x, {B} AS b, {G} AS g, {R} AS r FROM {PLANES}""",
+    "chests": """
+SELECT CAST(label AS BIGINT) AS video_id, vec_id AS seq, 1 AS face_id, CAST(vec_id % 8 AS INT) AS x, CAST(vec_id % 9 - 1 AS INT) AS y, CAST(1 + vec_id % 4 AS INT) AS w, CAST(1 + vec_id % 3 AS INT) AS h FROM embeddings""",
     "words": """
 SELECT video_id, idx, text, (idx * 350 + 700 * floor(idx / 11) + 1400 * floor(idx / 29)) / 1000.0D0 AS start_s,
   (idx * 350 + 700 * floor(idx / 11) + 1400 * floor(idx / 29) + 250) / 1000.0D0 AS end_s FROM {WORDS}""",
@@ -48,12 +52,17 @@ SELECT {MS} / 1000 AS ts_ms, event_id, concat('10.0.0.', CAST(user_id % 256 AS S
   CAST(user_id AS STRING) AS user, event_type AS action, ts FROM events""",
     "videos": "SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice / 100 END AS duration_s FROM orders",
 }
+_LEVEL = "CAST(greatest(0, least(255, floor(128 + 127 * CAST({v} AS DOUBLE)))) AS INT)"
 DIALECT["spark"] |= {
+    "PLANES": "(SELECT label, vec_id, p, v, embedding FROM embeddings LATERAL VIEW posexplode(embedding) AS p, v)",
+    **{k: _LEVEL.replace("{v}", f"embedding[(p + {n}) % size(embedding)]") for k, n in (("B", 0), ("G", 1), ("R", 5))},
     "PIXELS": "(SELECT label, vec_id, p, v FROM embeddings LATERAL VIEW posexplode(embedding) AS p, v)",
     "WORDS": "(SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY turn, p) - 1 AS INT) AS idx, w AS text FROM (SELECT conv_id AS video_id, turn, p, w FROM conversations LATERAL VIEW posexplode(split(text, '[ \\n\\t]+')) AS p, w) WHERE w <> '')",
     "LINES": "(SELECT doc_id, CAST(p AS INT) AS n, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) AS p, line)",
 }
 DIALECT["duck"] |= {
+    "PLANES": "(SELECT label, vec_id, embedding, unnest(range(len(embedding))) AS p FROM embeddings)",
+    **{k: _LEVEL.replace("{v}", f"embedding[(p + {n}) % len(embedding) + 1]") for k, n in (("B", 0), ("G", 1), ("R", 5))},
     "PIXELS": "(SELECT label, vec_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS v FROM embeddings)",
     "WORDS": "(SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY turn, p) - 1 AS INT) AS idx, w AS text FROM (SELECT conv_id AS video_id, turn, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[ \\n\\t]+') AS ws FROM conversations)) WHERE w <> '')",
     "LINES": "(SELECT doc_id, CAST(unnest(range(len(ls))) AS INT) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))",

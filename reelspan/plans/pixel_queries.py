@@ -33,6 +33,34 @@ query("pix3_hist_similarity", lambda s, d: table(s, d, "embeddings").alias("a").
 query("pix6_pose_diff", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").alias("b"), c("b.vec_id") == c("a.vec_id") + 1).select(c("a.vec_id").alias("vec_id"), near(px.mean_difference(c("a.embedding"), c("b.embedding")), 6).alias("diff")),
       "WITH p AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(avg(abs(x - y)) + 1e-8, 6) AS diff FROM p GROUP BY vec_id")
 images = lambda s, d: table(s, d, "embeddings").select((c("label") + 0).cast("long").alias("video_id"), c("vec_id").alias("seq"), F.lit(4).alias("height"), F.lit(5).alias("width"), F.expr("unhex(substr(concat_ws('', transform(embedding, v -> lpad(hex(cast(128 + 127 * v as int)), 2, '0'))), 1, 120))").alias("data"))
+color = lambda s, d: table(s, d, "color")
+STATS = """lm AS (SELECT *, 0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r AS gray FROM color), an AS (SELECT *, lag(gray) OVER r AS lf, lead(gray) OVER r AS rt, lag(gray) OVER k AS up, lead(gray) OVER k AS dn FROM lm WINDOW r AS (PARTITION BY video_id, seq, y ORDER BY x), k AS (PARTITION BY video_id, seq, x ORDER BY y)),
+cs AS (SELECT video_id, seq, quantile_cont(gray, 0.01) FILTER (x % 2 = 0 AND y % 2 = 0) AS p1, quantile_cont(gray, 0.99) FILTER (x % 2 = 0 AND y % 2 = 0) AS p99, stddev_pop(gray) FILTER (x % 2 = 0 AND y % 2 = 0) AS deviation,
+  avg(CASE WHEN greatest(b, g, r) > 0 THEN (greatest(b, g, r) - least(b, g, r)) / greatest(b, g, r) ELSE 0 END) FILTER (x % 2 = 0 AND y % 2 = 0) AS saturation, sum(gray * (x + y)) / sum(x + y) AS subject,
+  var_pop(coalesce(lf, rt) + coalesce(rt, lf) + coalesce(up, dn) + coalesce(dn, up) - 4 * gray) AS lap_var FROM an GROUP BY 1, 2)"""
+query("pix7_color_stats", lambda s, d: px.color_stats(color(s, d), c("x") + c("y"), budget=16).select("video_id", "seq", *[near(c(k), 4).alias(k) for k in ("p1", "p99", "deviation", "saturation", "subject", "lap_var")]),
+      ctes("color") + f", {STATS} SELECT video_id, seq, " + ", ".join(f"round({k} + 1e-8, 4) AS {k}" for k in ("p1", "p99", "deviation", "saturation", "subject", "lap_var")) + " FROM cs")
+#: Eight pixels a side on a grid of five by three: no cell begins and ends with a pixel but the outermost.
+query("pix6_pose_signature", lambda s, d: px.pose_signature(color(s, d), (5, 3)).select("video_id", "seq", F.posexplode("signature").alias("cell", "v")).select("video_id", "seq", "cell", near(c("v"), 4).alias("v")),
+      ctes("color") + """, ov AS (SELECT p, k, n, greatest(0, least((p + 1) * n, (k + 1) * 8) - greatest(p * n, k * 8)) AS part FROM range(8) a(p), range(5) b(k), (VALUES (5), (3)) c(n) WHERE k < n),
+      ce AS (SELECT video_id, seq, h.k AS cx, v.k AS cy, CAST(round_even(sum(b * h.part * v.part) / 64.0, 0) AS INT) AS b, CAST(round_even(sum(g * h.part * v.part) / 64.0, 0) AS INT) AS g, CAST(round_even(sum(r * h.part * v.part) / 64.0, 0) AS INT) AS r
+        FROM color JOIN ov h ON h.p = x AND h.n = 5 AND h.part > 0 JOIN ov v ON v.p = y AND v.n = 3 AND v.part > 0 GROUP BY 1, 2, 3, 4), gr AS (SELECT *, (1868 * b + 9617 * g + 4899 * r + 8192) >> 14 AS v FROM ce)
+      SELECT video_id, seq, CAST(cy * 5 + cx AS INT) AS cell, round((v - avg(v) OVER f) / (stddev_pop(v) OVER f + 1e-6) + 1e-8, 4) AS v FROM gr WINDOW f AS (PARTITION BY video_id, seq)""")
+chests = lambda s, d: table(s, d, "chests")
+query("pix6_outfit_signature", lambda s, d: px.outfit_signature(color(s, d), chests(s, d)).select("video_id", "seq", "face_id", F.posexplode_outer(F.filter(F.transform("outfit", lambda v, k: F.struct(k.alias("bin"), v.alias("v"))), lambda e: e["v"] > 0)).alias("k", "e")).select("video_id", "seq", "face_id", c("e.bin").alias("bin"), near(c("e.v"), 6).alias("share")),
+      ctes("color", "chests") + """, bx AS (SELECT *, x + w // 2 - CAST(floor(1.1 * w) AS INT) AS x1, x + w // 2 + CAST(floor(1.1 * w) AS INT) AS x2, y + CAST(floor(1.15 * h) AS INT) AS y1, y + CAST(floor(2.2 * h) AS INT) AS y2 FROM chests),
+      hi AS (SELECT c.video_id, c.seq, face_id, b // 32 * 64 + g // 32 * 8 + r // 32 AS bin, count(*) AS n FROM color c JOIN bx ON bx.video_id = c.video_id AND bx.seq = c.seq AND c.x >= x1 AND c.x < x2 AND c.y >= y1 AND c.y < y2 GROUP BY ALL),
+      nm AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY video_id, seq, face_id)) AS share FROM hi)
+      SELECT f.video_id, f.seq, f.face_id, CAST(bin AS INT) AS bin, round(share + 1e-8, 6) AS share FROM chests f LEFT JOIN nm USING (video_id, seq, face_id)""")
+
+
+def looks(s, d):
+    """Frames by nines, the first of which is the origin of the others, with pose and outfit from their pixels."""
+    seen = px.pose_signature(color(s, d)).join(px.outfit_signature(color(s, d), chests(s, d)), ["video_id", "seq"])
+    return seen.select(F.floor(c("seq") / 9).alias("origin"), c("seq").alias("path"), (c("seq") % 9).cast("int").alias("place"), "signature", "outfit")
+
+
+query("sel10_by_pixels", lambda s, d: selection.by_distinctness(looks(s, d).where("place > 0"), looks(s, d).where("place = 0").drop("path", "place")))
 query("pix4_face_descriptor", lambda s, d: px.color_histograms(images(s, d)))
 
 # overlays: the segments of a video are its frames in sixes
@@ -80,11 +108,10 @@ query("agg12_group_overlays", lambda s, d: px.group_overlays(detections(s, d)))
 query("join6_overlays_present", lambda s, d: matching.overlays_present(pixel(s, d), px.static_pixels(pixel(s, d).withColumn("segment", F.lit(0))).select("video_id", F.lit(1).alias("overlay_id"), "y", "x", c("median").alias("reference")), 0.4).select("video_id", "seq", near(c("r"), 5).alias("r")),
       ctes("pixel") + ", o AS (SELECT video_id, y, x, median(gray) AS ref FROM pixel GROUP BY ALL), j AS (SELECT p.video_id, p.seq, corr(gray, ref) AS r, stddev_pop(gray) AS a, stddev_pop(ref) AS b FROM pixel p JOIN o USING (video_id, y, x) GROUP BY 1, 2) SELECT video_id, seq, round(r + 1e-8, 5) AS r FROM j WHERE a >= 1e-6 AND b >= 1e-6 AND r >= 0.4")
 GRADED = ["black_push", "white_point", "shadow_lift", "flatten", "contrast", "brightness", "saturation_factor", "clarity", "sharpen"]
-stats = lambda s, d: px.tone_stats(pixel(s, d)).select("video_id", "seq", "p1", "p99", "deviation", c("weighted").alias("subject"), (c("seq") % 90 / 100).alias("saturation"), (c("seq") % 40).cast("double").alias("detail"), (c("seq") % 25).cast("double").alias("lap_var"))
-query("exp22_grade_parameters", lambda s, d: grading.at_intensity(grading.grade_parameters(stats(s, d)), 1.5).select("video_id", "seq", *[near(c(k), 4).alias(k) for k in GRADED]),
-      ctes("pixel") + """, t AS (SELECT video_id, seq, quantile_cont(gray, 0.01) AS p1, quantile_cont(gray, 0.99) AS p99, stddev_pop(gray) AS dev, avg(gray) AS sub, (seq % 90) / 100.0 AS sat, seq % 40 AS det, seq % 25 AS lap FROM pixel GROUP BY 1, 2),
+query("exp22_grade_parameters", lambda s, d: grading.at_intensity(grading.grade_parameters(px.color_stats(color(s, d), c("x") + c("y"), budget=16).withColumn("detail", F.round("detail", 6))), 1.5).select("video_id", "seq", *[near(c(k), 4).alias(k) for k in GRADED if k != "clarity"]),
+      ctes("color") + f", {STATS}" + """, t AS (SELECT video_id, seq, p1, p99, deviation AS dev, subject AS sub, saturation AS sat, lap_var AS lap FROM cs),
       g AS (SELECT *, least(4, p1 * 0.8) AS b, greatest(0, 14 - 15 * (sub - 128) / 128) AS w, 22 * greatest(0, least(1, (40 - p1) / 36)) AS l, 30 * greatest(0, least(1, (p99 - 150) / 80)) AS f,
         CASE WHEN dev < 1e-3 THEN 1.6 ELSE greatest(1, least(1.6, 1 + 0.15 * 47.2 / dev)) END AS k, CASE WHEN sub < 1e-3 THEN 0 ELSE greatest(-76.5, least(0, -7.65 * sub / 83.4)) END AS br, CASE WHEN sat < 1e-3 THEN 2.0 ELSE greatest(1, least(2, 1 + 0.1 * 0.332 / sat)) END AS sf FROM t)
       SELECT video_id, seq, round(CASE WHEN b >= 0 THEN least(b * 1.5, 45) ELSE greatest(b * 1.5, -45) END + 1e-8, 4) AS black_push, round(least(w * 1.5, 60) + 1e-8, 4) AS white_point, round(least(l * 1.5, 60) + 1e-8, 4) AS shadow_lift, round(least(f * 1.5, 60) + 1e-8, 4) AS flatten,
         round(least(1 + (k - 1) * 1.5, 1.6) + 1e-8, 4) AS contrast, round(greatest(br * 1.5, -76.5) + 1e-8, 4) AS brightness, round(least(1 + (sf - 1) * 1.5, 2) + 1e-8, 4) AS saturation_factor,
-        round(CASE WHEN det < 1e-3 THEN 0.4 ELSE greatest(0.05, least(0.4, 0.18 * 12.14 / det)) END + 1e-8, 4) AS clarity, round(CASE WHEN lap < 1e-3 THEN 0.55 ELSE greatest(0.1, least(0.55, 0.275 * 10.8 / lap)) END + 1e-8, 4) AS sharpen FROM g""")
+        round(CASE WHEN lap < 1e-3 THEN 0.55 ELSE greatest(0.1, least(0.55, 0.275 * 10.8 / lap)) END + 1e-8, 4) AS sharpen FROM g""")
