@@ -1,5 +1,6 @@
 """Secret scans, URL filters, SentencePiece and toxicity on small cases; components; the pipeline's decisions."""
 
+import zlib
 import math
 import random
 import re
@@ -132,3 +133,12 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (None, 3), (200, 100)]
     got = {tuple(r) for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(51)} | {(100, 100), (101, 100), (200, 100)}
+
+
+def test_training_rows_are_bounded(spark):
+    """One text for each labelled document however often it repeats, none of boundless length, one label of several."""
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(2, "x" * 60_000), (4, "four"), (4, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    own = {i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 3 != 1}
+    want = {(t, y) for i, t, y in ((1, "text 0", 1), (4, "four", 0)) if i in own}
+    assert set(map(tuple, toxicity.training_rows(docs, labels, 2).collect())) == want
