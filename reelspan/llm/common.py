@@ -63,6 +63,18 @@ def discard(*tables: DataFrame) -> None:
             df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+#: Keys that a broadcast may hold.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, mine, keys: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose `mine` (a column of theirs) is among the keys, one column of whole numbers. Keys are written and counted first: up to
+    BROADCAST_KEYS of them go to every task, so that the documents stay where they are; of more, both sides are shuffled."""
+    keys = written(keys.select(F.col(keys.columns[0]).alias("key")).distinct(), name)
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return docs.join(side, mine == keys["key"], "left_anti")
+
+
 def lean(run):
     """A mapInArrow function that gives its worker's free memory back to the machine when a task ends. Workers outlive their tasks, and
     what an idle one keeps is taken from the executor's other stages."""

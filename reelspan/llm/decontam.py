@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, without
 
 #: Words in a window; words that an aligned stretch must cover (all of a shorter item); literal words that a window must hold.
 WINDOW, STRETCH, LITERALS = 8, 13, 3
@@ -301,5 +301,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a stretch of a benchmark item; all columns, nulls and repeated rows stay."""
-    bad = leaks(docs, benchmark).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, F.col("_own") == F.col("_key"), "left_anti").select(*docs.columns)
+    return without(docs, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), leaks(docs, benchmark).select("key"), "leaks")

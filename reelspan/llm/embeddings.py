@@ -35,6 +35,7 @@ def buckets(unit: np.ndarray, tables: int = TABLES) -> np.ndarray:
 
 def _unit(rows) -> np.ndarray:
     x = np.array(rows, "f8")
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # no square is too large or too small then
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 

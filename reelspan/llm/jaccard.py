@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, flat, lean, written
+from .common import components, discard, flat, lean, without, written
 
 WORDS, SIMILAR = 5, 80
 #: Slots of the table of counts that orders tokens; min-hashes of a set, and how many two sets must share to be tried as centre
@@ -394,8 +394,8 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; rows without doc_id stay. All columns stay."""
     joined = join_documents(docs)
-    gone = joined.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = joined.where("doc_id is not null and doc_id <> component_id").select("doc_id")
+    return without(docs, docs["doc_id"].cast("long"), gone, "copies")
 
 
 SQL = r"""

@@ -131,12 +131,14 @@ def digests(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text, those in the rest of a candidate too, replaced by mark (overlapping spans by one); n_chars follows. No row is dropped; null texts stay null."""
     cut = f"""aggregate(_spans, struct(0 as pos, '' as out),
-        (a, m) -> struct(greatest(a.pos, m.e) as pos, if(m.s >= a.pos, concat(a.out, substr(coalesce({text}, ''), a.pos + 1, m.s - a.pos), '{mark}'), a.out) as out),
-        a -> concat(a.out, substr(coalesce({text}, ''), a.pos + 1)))"""
-    out = scan(docs, text, rest=True).withColumn(text, F.expr(f"case when size(_spans) = 0 then {text} else {cut} end"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.expr(f"case when size(_spans) = 0 then n_chars else cast(length({text}) as bigint) end"))
-    return out.select(*docs.columns)
+        (a, m) -> struct(greatest(a.pos, m.e) as pos, if(m.s >= a.pos, concat(a.out, substr(coalesce(own, ''), a.pos + 1, m.s - a.pos), '{mark}'), a.out) as out),
+        a -> concat(a.out, substr(coalesce(own, ''), a.pos + 1)))"""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("own"))  # names of helpers meet none of theirs
+    out = scan(rows, "own", rest=True).withColumn("_done", F.expr(f"case when size(_spans) = 0 then own else {cut} end"))
+    given = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in given:
+        given["n_chars"] = F.when(F.expr("size(_spans) = 0"), given["n_chars"]).otherwise(F.length("_done").cast("long"))
+    return out.select(*[(F.col("_done") if c == text else v).alias(c) for c, v in given.items()])
 
 
 def _placed_sql(regex: str, group: int, kind: str, rank: int, least: int) -> str:

@@ -112,8 +112,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + PATTE
         *[pages[c] for c in keep],
         host_of(pages[url]).alias("host"),
         path_of(pages[url]).alias("path"),
-        F.col("_rule").alias("rule"),
-        F.coalesce("_verdict", F.lit("allow")).alias("verdict"),
+        judged["_rule"].alias("rule"),
+        F.coalesce(judged["_verdict"], F.lit("allow")).alias("verdict"),
     )
 
 
