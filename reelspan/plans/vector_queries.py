@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reelspan.operators import matching, selection as sel
+from reelspan.operators import matching, selection as sel, vectors as vec
 from reelspan.plans.fixtures import ctes, table
 from reelspan.plans.registry import query
 
@@ -13,13 +13,12 @@ VID = ["video_id", "face"]
 query("vec1_cosine_l2", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").alias("b"), c("b.vec_id") == c("a.vec_id") + 1).select(c("a.vec_id").alias("vec_id"), near(sel.cosine(c("a.embedding"), c("b.embedding")), 5).alias("cosine"), near(sel.l2_distance(c("a.embedding"), c("b.embedding")), 5).alias("l2"), near(sel.l2_normalise(c("a.embedding"))[0], 5).alias("first")),
       "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_cosine_similarity(x, y) + 1e-8, 5) AS cosine, round(list_distance(x, y) + 1e-8, 5) AS l2, round(x[1] / sqrt(list_inner_product(x, x)) + 1e-8, 5) AS first FROM p")
 query("vec4_cluster_count", lambda s, d: table(s, d, "documents").select("doc_id", sel.cluster_count(c("doc_id") % 300).alias("k")), "SELECT doc_id, CAST(greatest(2, least(8, CASE WHEN (doc_id % 300) // 25 = 0 THEN 2 ELSE (doc_id % 300) // 25 END, (doc_id % 300) // 2)) AS INT) AS k FROM documents")
-query("vec2_5_cluster_characters", lambda s, d: sel.cluster_characters(cand(s, d)))
+query("vec2_5_cluster_characters", lambda s, d: vec.cluster_characters(cand(s, d)))
 centres = lambda s, d: cand(s, d).where("face < 20 and descriptor is not null").select("video_id", c("face").alias("centre_id"), "descriptor")
 query("vec3_assign_nearest", lambda s, d: sel.assign_nearest(cand(s, d).where("descriptor is not null"), centres(s, d)),
       ctes("candidates") + ", k AS (SELECT a.video_id, a.face, b.face AS centre_id, round(list_cosine_similarity(a.descriptor::DOUBLE[], b.descriptor::DOUBLE[]), 9) AS s FROM candidates a JOIN candidates b ON a.video_id = b.video_id AND b.face < 20 AND b.descriptor IS NOT NULL AND a.descriptor IS NOT NULL) SELECT video_id, face, centre_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, face ORDER BY s DESC, centre_id) AS r FROM k) WHERE r = 1")
 query("sel2_3_deduplicate", lambda s, d: sel.deduplicate(cand(s, d), ["video_id", "character_id"], 20, 4, "expression", 0.25).select(*VID))
-edges = lambda s, d: cand(s, d).alias("a").join(cand(s, d).alias("b"), (c("a.video_id") == c("b.video_id")) & (c("a.path") != c("b.path")) & ((c("a.score") > c("b.score")) | ((c("a.score") == c("b.score")) & (c("a.face") < c("b.face"))))).where(sel.cosine(c("a.descriptor"), c("b.descriptor")) > 0.25).select(c("a.face").alias("a"), c("b.face").alias("b"))
-query("sel2_deduplicate_large", lambda s, d: sel.deduplicate_large(cand(s, d), edges(s, d)).select(*VID))
+query("sel2_deduplicate_large", lambda s, d: vec.deduplicate_hashed(cand(s, d), "expression", 0.95).select(*VID))
 query("sel4_set1_build_pool", lambda s, d: sel.build_pool(cand(s, d), "expression", 0.25).select(*VID, "character_id"))
 query("sel5_select_with_coverage", lambda s, d: sel.select_with_coverage(cand(s, d)).select(*VID, "place"),
       ctes("candidates") + """, h AS (SELECT *, max(score) OVER (PARTITION BY video_id, character_id) AS head FROM candidates), n AS (SELECT video_id, greatest(20, 2 * count(DISTINCT character_id)) AS target FROM candidates GROUP BY 1),
