@@ -88,6 +88,11 @@ def frame_name(i: Column, total: Column) -> Column:
     return F.concat(F.lit("frame-"), F.lpad(number, F.greatest(F.length(total.cast("string")), F.length(number)), F.lit("0")))
 
 
+def thumbnail_name(i: Column) -> Column:
+    """Name of the i-th thumbnail from 0."""
+    return F.concat(F.lit("thumbnail_frame"), (i + 1).cast("string"))
+
+
 def timecode(seconds: Column) -> Column:
     """MMmSSsHH; hundredths are rounded half to even and wrap without a carry."""
     whole = F.floor(seconds)

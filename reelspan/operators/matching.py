@@ -37,14 +37,19 @@ def nearest_same_scene(slots: DataFrame, candidates: DataFrame, similarity, radi
 
 def next_different_scene(slots: DataFrame, candidates: DataFrame, similarity, same: float = 0.90) -> DataFrame:
     """One step of scene repair, for slots of the same scene as the slot before: the first candidate between a slot and the next that
-    shows neither neighbour's scene."""
+    shows neither neighbour's scene. Slots are numbered in time order.
+
+    Slots and candidates pass once in the order of time; each candidate is told the last slot before it, and that slot when the next one is.
+    """
     order = W.partitionBy("video_id").orderBy("slot")
     around = slots.select("video_id", "slot", "ts_s", "signature", F.lag("signature").over(order).alias("before"), F.lead("signature").over(order).alias("after"), F.lead("ts_s").over(order).alias("limit_s"))
-    stuck = around.where(F.col("before").isNotNull() & (similarity(F.col("before"), F.col("signature")) >= same)).drop("signature")
-    free = candidates.join(slots.select("video_id", "path"), ["video_id", "path"], "left_anti").select("video_id", "path", F.col("ts_s").alias("at_s"), "signature")
-    fits = stuck.join(free, "video_id").where("at_s > ts_s and (limit_s is null or at_s < limit_s)")
-    fits = fits.where((similarity(F.col("signature"), F.col("before")) < same) & (F.col("after").isNull() | (similarity(F.col("signature"), F.col("after")) < same)))
-    return fits.groupBy("video_id", "slot").agg(F.min_by("path", F.struct("at_s", "path")).alias("path"))
+    stuck = F.coalesce(similarity(F.col("before"), F.col("signature")) >= same, F.lit(False))
+    told = around.select("video_id", F.col("ts_s").alias("_t"), F.struct("slot", "limit_s", stuck.alias("stuck"), F.when(stuck, F.col("before")).alias("before"), F.when(stuck, F.col("after")).alias("after")).alias("_slot"))
+    free = candidates.join(slots.select("video_id", "path"), ["video_id", "path"], "left_anti").select("video_id", F.col("ts_s").alias("_t"), F.struct("path", "signature").alias("_free"))
+    passing = W.partitionBy("video_id").orderBy("_t", F.col("_slot").isNotNull(), "_slot.slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = told.unionByName(free, allowMissingColumns=True).withColumn("_last", F.last("_slot", True).over(passing)).where("_free is not null and _last.stuck and (_last.limit_s is null or _t < _last.limit_s)")
+    other = (similarity(F.col("_free.signature"), F.col("_last.before")) < same) & (F.col("_last.after").isNull() | (similarity(F.col("_free.signature"), F.col("_last.after")) < same))
+    return carried.where(other).groupBy("video_id", F.col("_last.slot").alias("slot")).agg(F.min_by("_free.path", F.struct("_t", "_free.path")).alias("path"))
 
 
 def flag_used(candidates: DataFrame, used: DataFrame, recent: DataFrame, key: tuple = ("video_id", "path")) -> DataFrame:

@@ -236,21 +236,42 @@ def face_territory(boxes: DataFrame, candidates: DataFrame, cell: int = 40, shar
     return covered.groupBy("video_id", "overlay_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("territory")).withColumn("reject", F.col("territory") > most)
 
 
+def text_spans(boxes: DataFrame, grid: int = 720) -> DataFrame:
+    """(video_id, first, last, hits, frames): a video's rows of `grid` that the same number of its frames carry text in, as spans of rows, without those
+    that none does.
+
+    A sweep: within a frame, a box counts from where the boxes before it end; it raises the number of frames at its first row and lowers it
+    behind its last, and the number of a row is the sum of what stands up to it.
+    """
+    row = lambda v: F.least(F.lit(grid - 1), F.greatest(F.lit(0), F.floor(v * grid / F.col("frame_h")))).cast("int")
+    sides = boxes.select("video_id", "seq", row(F.col("y")).alias("_a"), row(F.col("y") + F.col("h") - 1).alias("_b"))
+    above = W.partitionBy("video_id", "seq").orderBy("_a", "_b").rowsBetween(W.unboundedPreceding, -1)
+    new = sides.withColumn("_a", F.greatest("_a", F.coalesce(F.max("_b").over(above) + 1, F.lit(0)))).where("_a <= _b")
+    steps = new.select("video_id", F.explode(F.array(F.struct(F.col("_a").alias("row"), F.lit(1).alias("step")), F.struct((F.col("_b") + 1).alias("row"), F.lit(-1).alias("step")))).alias("s"))
+    v = W.partitionBy("video_id").orderBy("row")
+    levels = steps.groupBy("video_id", F.col("s.row").alias("row")).agg(F.sum("s.step").alias("_step")).where("_step <> 0")
+    spans = levels.select("video_id", F.col("row").alias("first"), (F.lead("row").over(v) - 1).alias("last"), F.sum("_step").over(v).alias("hits")).where("hits > 0")
+    return spans.join(boxes.groupBy("video_id").agg(F.countDistinct("seq").alias("frames")), "video_id")
+
+
 def text_rows(boxes: DataFrame, grid: int = 720) -> DataFrame:
     """(video_id, row, hits, frames): frames of a video that carry text in each of `grid` rows, each frame once a row."""
-    row = lambda v: F.least(F.lit(grid - 1), F.greatest(F.lit(0), F.floor(v * grid / F.col("frame_h")))).cast("int")
-    rows = boxes.select("video_id", "seq", F.explode(F.sequence(row(F.col("y")), row(F.col("y") + F.col("h") - 1))).alias("row"))
-    frames = boxes.groupBy("video_id").agg(F.countDistinct("seq").alias("frames"))
-    return rows.groupBy("video_id", "row").agg(F.countDistinct("seq").alias("hits")).join(frames, "video_id")
+    return text_spans(boxes, grid).select("video_id", F.explode(F.sequence("first", "last")).alias("row"), "hits", "frames")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """Rows (row) as spans of one, spans (first, last) as they are."""
+    return rows if "first" in rows.columns else rows.select("video_id", F.col("row").alias("first"), F.col("row").alias("last"), "hits", "frames")
 
 
 def detect_bands(rows: DataFrame, grid: int = 720) -> DataFrame:
-    """At most three bands a video from its at most 720 rows: the highest peak of at least 30 % of the frames, its run above max(25 % of the
+    """At most three bands a video from its at most `grid` rows or spans of rows: the highest peak of at least 30 % of the frames, its run above max(25 % of the
     frames, 70 % of the peak); runs over 28 % tall are passed over, an accepted one hides its surroundings by 12 %, and grows by 3 %."""
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         hits, frames = np.zeros(grid), float(group["frames"].iloc[0])
-        hits[group["row"].to_numpy()] = group["hits"].to_numpy()
+        for first, last, n in zip(group["first"], group["last"], group["hits"]):
+            hits[first : last + 1] = n
         left, out = hits.copy(), []
         while len(out) < 3 and left.max() >= 0.30 * frames and left.max() > 0:
             peak = int(np.argmax(left))
@@ -267,15 +288,16 @@ def detect_bands(rows: DataFrame, grid: int = 720) -> DataFrame:
             left[max(0, a - int(0.12 * grid)) : b + 1 + int(0.12 * grid)] = 0
         return pd.DataFrame([(group["video_id"].iloc[0], i, *r) for i, r in enumerate(out)], columns=["video_id", "band_id", "top", "bottom", "hits", "sampled"])
 
-    return rows.groupBy("video_id").applyInPandas(find, "video_id long, band_id int, top double, bottom double, hits int, sampled int")
+    return _spans(rows).groupBy("video_id").applyInPandas(find, "video_id long, band_id int, top double, bottom double, hits int, sampled int")
 
 
 def first_band_rows(rows: DataFrame) -> DataFrame:
-    """The first band's rows by gaps and islands: (video_id, first, last, hits) around the highest row, before its height is judged."""
+    """The first band's rows by gaps and islands of rows or spans: (video_id, first, last, hits) around the highest row, before its height is judged."""
     v = W.partitionBy("video_id")
-    peak = rows.withColumn("_p", F.max(F.struct("hits", (-F.col("row")).alias("r"))).over(v)).where((F.col("_p.hits") >= 0.30 * F.col("frames")))
-    on = peak.where(F.col("hits") >= F.greatest(0.25 * F.col("frames"), 0.70 * F.col("_p.hits"))).withColumn("_i", F.col("row") - F.row_number().over(v.orderBy("row")))
-    runs = on.groupBy("video_id", "_i").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("_p").alias("_p"))
+    peak = _spans(rows).withColumn("_p", F.max(F.struct("hits", (-F.col("first")).alias("r"))).over(v)).where(F.col("_p.hits") >= 0.30 * F.col("frames"))
+    on = peak.where(F.col("hits") >= F.greatest(0.25 * F.col("frames"), 0.70 * F.col("_p.hits")))
+    apart = F.coalesce((F.col("first") != F.lag("last").over(v.orderBy("first")) + 1).cast("int"), F.lit(1))
+    runs = on.withColumn("_new", apart).withColumn("_i", F.sum("_new").over(v.orderBy("first"))).groupBy("video_id", "_i").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("_p").alias("_p"))
     return runs.where((F.col("first") <= -F.col("_p.r")) & (-F.col("_p.r") <= F.col("last"))).select("video_id", "first", "last", F.col("_p.hits").alias("hits"))
 
 
@@ -291,15 +313,16 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
     """One pass over a frame's at most some hundred boxes in (y, x) order: a box joins the first union that it overlaps."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for x, y, w, h in group.sort_values(["y", "x", "w", "h"])[["x", "y", "w", "h"]].itertuples(index=False):
-            for k, (a, b, c, d) in enumerate(out):
-                if x < c and a < x + w and y < d and b < y + h:
-                    out[k] = (min(a, x), min(b, y), max(c, x + w), max(d, y + h))
-                    break
-            else:
-                out.append((x, y, x + w, y + h))
-        return pd.DataFrame([(group["video_id"].iloc[0], group["seq"].iloc[0], a, b, c - a, d - b) for a, b, c, d in out], columns=["video_id", "seq", "x", "y", "w", "h"])
+        sides = group.sort_values(["y", "x", "w", "h"])[["x", "y", "w", "h"]].to_numpy()
+        low, high = sides[:, :2], sides[:, :2] + sides[:, 2:]
+        union_low, union_high, n = low.copy(), high.copy(), 0  # the first n rows are in use
+        for a, b in zip(low, high):
+            met = np.flatnonzero(((a < union_high[:n]) & (union_low[:n] < b)).all(1))
+            k = met[0] if len(met) else n
+            n += not len(met)
+            union_low[k], union_high[k] = (np.minimum(union_low[k], a), np.maximum(union_high[k], b)) if len(met) else (a, b)
+        out = np.concatenate([union_low[:n], union_high[:n] - union_low[:n]], 1)
+        return pd.DataFrame({"video_id": group["video_id"].iloc[0], "seq": group["seq"].iloc[0], **dict(zip("xywh", out.T))})
 
     return boxes.select("video_id", "seq", "x", "y", "w", "h").groupBy("video_id", "seq").applyInPandas(merge, "video_id long, seq long, x int, y int, w int, h int")
 

@@ -128,6 +128,12 @@ def eyes_plausible(w: Column, h: Column, eyes: Column, band: Column) -> Column:
     return F.when(w / h < 0.60, False).when((F.size(eyes) < 2) | (band <= 0), False).otherwise((gap_x >= 0.25) & (gap_y <= 0.20))
 
 
+def usable_faces(faces: DataFrame, eyes: Column, floor: float = SHARP) -> DataFrame:
+    """faces (w, h, sharpness) that are sharp enough and whose eyes (an array of boxes found in the upper part of the face) are open; the costly test
+    is for those that pass the cheap one."""
+    return faces.where(F.col("sharpness") >= floor).where(eyes_plausible(F.col("w"), F.col("h"), eyes, F.floor(F.col("h") * 0.55)))
+
+
 def eye_state(has_face: Column, plausible: Column) -> Column:
     return F.when(~has_face, "no-face").when(plausible, "open").otherwise("shut")
 

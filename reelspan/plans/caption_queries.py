@@ -145,5 +145,6 @@ query("win17_adjacent_runs", lambda s, d: cp.adjacent_runs(words(s, d).withColum
       ctes("words") + ", q AS (SELECT *, idx % 7 < 3 AS picked FROM words), w AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) - row_number() OVER (PARTITION BY video_id, picked ORDER BY idx) AS i FROM q) SELECT video_id, picked, min(idx) AS first, max(idx) AS last, string_agg(text, ' ' ORDER BY idx) AS piece FROM w GROUP BY video_id, picked, i")
 query("txt13_balanced_lines", lambda s, d: cp.balanced_lines(sentences(s, d).select(*SID, "text"), 30).select(*SID, F.array_join("lines", "|").alias("lines")))
 query("txt14_frame_name", lambda s, d: table(s, d, "grabs").select("event_id", tx.frame_name(c("seq") + 1, F.lit(120)).alias("name")), ctes("grabs") + " SELECT event_id, 'frame-' || CASE WHEN length(CAST(seq + 1 AS VARCHAR)) >= 3 THEN CAST(seq + 1 AS VARCHAR) ELSE lpad(CAST(seq + 1 AS VARCHAR), 3, '0') END AS name FROM grabs")
+query("txt14_thumbnail_name", lambda s, d: table(s, d, "grabs").select("event_id", tx.thumbnail_name(c("seq")).alias("name")), ctes("grabs") + " SELECT event_id, 'thumbnail_frame' || (seq + 1) AS name FROM grabs")
 query("txt15_timecode", lambda s, d: table(s, d, "moments").select("video_id", "slot", tx.timecode(c("ts_s")).alias("timecode")), ctes("moments") + " SELECT video_id, slot, printf('%02dm%02ds%02d', CAST(floor(floor(ts_s) / 60) AS INT), CAST(floor(ts_s) AS INT) % 60, CAST(round_even((ts_s - floor(ts_s)) * 100, 0) AS INT) % 100) AS timecode FROM moments")
 query("txt16_parse_duration", lambda s, d: table(s, d, "moments").select("video_id", "slot", F.round(tx.parse_duration(F.expr("concat(slot % 3, ':', slot % 60, ':', ts_s)")), 4).alias("seconds")), ctes("moments") + " SELECT video_id, slot, round((slot % 3) * 3600 + (slot % 60) * 60 + ts_s, 4) AS seconds FROM moments")

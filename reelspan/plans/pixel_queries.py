@@ -77,15 +77,15 @@ query("agg5_content_bounds", lambda s, d: px.content_bounds(pixel(s, d).groupBy(
 boxes = lambda s, d: table(s, d, "text_boxes")
 query("agg7_text_row_presence", lambda s, d: px.text_rows(boxes(s, d)),
       ctes("text_boxes") + ", r AS (SELECT DISTINCT video_id, seq, unnest(range(greatest(0, y), least(719, y + h - 1) + 1)) AS row FROM text_boxes), f AS (SELECT video_id, count(DISTINCT seq) AS frames FROM text_boxes GROUP BY 1) SELECT r.video_id, CAST(r.row AS INT) AS row, count(*) AS hits, any_value(frames) AS frames FROM r JOIN f USING (video_id) GROUP BY 1, 2")
-query("agg8_detect_bands", lambda s, d: px.detect_bands(px.text_rows(boxes(s, d))))
+query("agg8_detect_bands", lambda s, d: px.detect_bands(px.text_spans(boxes(s, d))))
 FIRST = """r AS (SELECT DISTINCT video_id, seq, unnest(range(greatest(0, y), least(719, y + h - 1) + 1)) AS row FROM text_boxes), f AS (SELECT video_id, count(DISTINCT seq) AS frames FROM text_boxes GROUP BY 1),
 t AS (SELECT r.video_id, r.row, count(*) AS hits, any_value(frames) AS frames FROM r JOIN f USING (video_id) GROUP BY 1, 2),
 p AS (SELECT *, max(hits) OVER (PARTITION BY video_id) AS top FROM t), k AS (SELECT *, min(CASE WHEN hits = top THEN row END) OVER (PARTITION BY video_id) AS peak FROM p),
 o AS (SELECT *, row - row_number() OVER (PARTITION BY video_id ORDER BY row) AS i FROM k WHERE top >= 0.3 * frames AND hits >= greatest(0.25 * frames, 0.7 * top)),
 g AS (SELECT video_id, i, min(row) AS first, max(row) AS last, any_value(peak) AS peak, any_value(top) AS hits FROM o GROUP BY 1, 2),
 band AS (SELECT video_id, first, last, hits FROM g WHERE peak BETWEEN first AND last)"""
-query("agg8_first_band", lambda s, d: px.first_band_rows(px.text_rows(boxes(s, d))), ctes("text_boxes") + f", {FIRST} SELECT video_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, hits FROM band")
-bands = lambda s, d: px.first_band_rows(px.text_rows(boxes(s, d))).select("video_id", (c("first") / 720).alias("top"), ((c("last") + 1) / 720).alias("bottom"))
+query("agg8_first_band", lambda s, d: px.first_band_rows(px.text_spans(boxes(s, d))), ctes("text_boxes") + f", {FIRST} SELECT video_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, hits FROM band")
+bands = lambda s, d: px.first_band_rows(px.text_spans(boxes(s, d))).select("video_id", (c("first") / 720).alias("top"), ((c("last") + 1) / 720).alias("bottom"))
 query("join5_text_in_bands", lambda s, d: matching.text_in_bands(boxes(s, d), bands(s, d)), ctes("text_boxes") + f", {FIRST} SELECT * FROM text_boxes b WHERE EXISTS (SELECT 1 FROM band k WHERE k.video_id = b.video_id AND (y + h / 2.0) / 720 BETWEEN first / 720.0::DOUBLE AND (last + 1) / 720.0::DOUBLE)")
 query("agg9_merge_boxes", lambda s, d: px.merge_boxes(boxes(s, d)))
 blobs = lambda s, d: boxes(s, d).select("video_id", c("seq").cast("int").alias("segment"), (c("x") / 1000).alias("x"), (c("y") / 720).alias("y"), (c("w") / 1500).alias("w"), (c("h") / 720).alias("h"), (c("w") / 1500 * c("h") / 720).alias("area"), ((c("x") % 100) / 100).alias("fill"), (c("y") % 90).cast("double").alias("energy"))

@@ -45,6 +45,21 @@ query("agg2_best_per_slice", lambda s, d: selection.best_per_slice(selection.qua
       ctes("grabs") + f", {FLOORED}, {SLICED} SELECT video_id, slice, path FROM b WHERE r = 1")
 query("agg15_run_summary", lambda s, d: selection.quality_floors(scored_grabs(s, d)).groupBy("video_id").agg(F.count("*").alias("usable"), F.count_if("sharp").alias("sharp"), F.round(F.percentile("focus", F.lit(0.5)), 6).alias("median_focus")),
       ctes("grabs") + f", {FLOORED} SELECT video_id, count(*) AS usable, count(*) FILTER (sharp) AS sharp, round(median(focus), 6) AS median_focus FROM f GROUP BY video_id")
+
+
+def _run_counts(spark, d):
+    usable = selection.quality_floors(scored_grabs(spark, d))
+    best = selection.best_per_slice(usable, 12)
+    shown = matching.match_instant(best, table(spark, d, "sentences"), key=("video_id", "path")).select("video_id", c("slice").alias("slot"), "path", c("text").alias("caption"))
+    repaired = best.select("video_id", c("slice").alias("slot"), F.when(c("event_id") % 4 == 0, F.concat("path", F.lit("x"))).otherwise(c("path")).alias("path"))
+    return selection.run_summary(usable, shown, repaired, table(spark, d, "candidates")).withColumn("median_focus", F.round("median_focus", 6))
+
+
+query("agg15_run_counts", _run_counts, ctes("grabs", "sentences", "candidates") + f", {FLOORED}, {SLICED}, g AS (SELECT video_id, path AS slot, ts_s, event_id, slice FROM b WHERE r = 1), m AS " + MATCH.replace("{m}", "g") + """,
+u AS (SELECT video_id, count(*) AS usable, count(*) FILTER (sharp) AS sharp, round(median(focus), 6) AS median_focus FROM f GROUP BY 1),
+cp AS (SELECT g.video_id, count(*) FILTER (trim(coalesce(m.text, '')) <> '') AS captioned, count(*) FILTER (event_id % 4 = 0) AS swapped FROM g LEFT JOIN m ON m.video_id = g.video_id AND m.slot = g.slot GROUP BY 1),
+pe AS (SELECT video_id, count(DISTINCT character_id) AS characters FROM candidates WHERE character_id >= 0 GROUP BY 1)
+SELECT u.video_id, usable, sharp, median_focus, coalesce(captioned, 0) AS captioned, coalesce(swapped, 0) AS swapped, coalesce(characters, 0) AS characters FROM u LEFT JOIN cp USING (video_id) LEFT JOIN pe USING (video_id)""")
 query("join1_match_instant", lambda s, d: matching.match_instant(table(s, d, "moments"), table(s, d, "sentences")).select("video_id", "slot", "sent_id", F.round("gap_s", 6).alias("gap_s")),
       ctes("moments", "sentences") + f", m AS {MATCH.replace('{m}', 'moments')} SELECT o.video_id, o.slot, m.sent_id, CASE WHEN s.sent_id IS NOT NULL THEN round(greatest(s.start_s - o.ts_s, o.ts_s - s.end_s, 0), 6) END AS gap_s FROM moments o LEFT JOIN m USING (video_id, slot) LEFT JOIN sentences s ON s.video_id = o.video_id AND s.sent_id = m.sent_id")
 query("exp21_grab_score", lambda s, d: scored_grabs(s, d).select("event_id", F.round("score", 6).alias("score")), ctes("grabs") + f" SELECT event_id, round({SCORED}, 6) AS score FROM grabs")
@@ -77,6 +92,7 @@ EYES = lambda: F.expr("array(named_struct('x', x % 40, 'y', y % 12, 'w', 20 + fa
 EYE_SQL = """CASE WHEN w / (h * 1.0) < 0.6 THEN false ELSE abs((x % 40 + (20 + face_id) / 2.0) - (30 + y % 50 + (18 + face_id * 2) / 2.0)) / w >= 0.25
   AND abs((y % 12 + 7.5) - (x % 14 + 7.0)) / floor(h * 0.55) <= 0.2 END"""
 open_eyes = lambda: scoring.eyes_plausible(c("w"), c("h"), EYES(), F.floor(c("h") * 0.55))
+query("exp12_usable_faces", lambda s, d: scoring.usable_faces(faces(s, d), EYES()).select(*ID), ctes("faces") + f" SELECT video_id, seq, face_id FROM faces WHERE sharpness >= 20 AND {EYE_SQL}")
 query("exp14_eyes_plausible", lambda s, d: faces(s, d).select(*ID, open_eyes().alias("plausible")), ctes("faces") + f" SELECT video_id, seq, face_id, {EYE_SQL} AS plausible FROM faces")
 query("exp15_eye_state", lambda s, d: selection.top_faces(faces(s, d), 1).select("video_id", "seq", scoring.eye_state(F.lit(True), open_eyes()).alias("state")),
       ctes("faces") + f" SELECT video_id, seq, CASE WHEN {EYE_SQL} THEN 'open' ELSE 'shut' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seq ORDER BY w * h DESC, face_id, x, y) AS r FROM faces) WHERE r = 1")

@@ -92,11 +92,12 @@ def valid_upload_id(value: Column) -> Column:
 
 
 def retention_plan(artifacts: DataFrame, kept: DataFrame) -> DataFrame:
-    """Artifacts (name, size) that belong to no kept stem (stem): five shapes of name belong to one."""
-    bare = F.regexp_replace("name", r"\.[^.]*$", "")
-    owner = F.regexp_extract("name", r"^(?:vary|eyes|clean)_(.+)_[^_]*$", 1)
-    stems = artifacts.withColumn("_stems", F.array(bare, F.regexp_extract("name", r"^frames_(.+)$", 1), owner))
-    return stems.join(kept.select(F.col("stem").alias("_kept")).distinct(), F.expr("array_contains(_stems, _kept)"), "left_anti").drop("_stems")
+    """Artifacts (name, size) that belong to no kept stem (stem): five shapes of name belong to one. A name's possible stems meet the kept ones by
+    equality."""
+    stems = F.array(F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"^frames_(.+)$", 1), F.regexp_extract("name", r"^(?:vary|eyes|clean)_(.+)_[^_]*$", 1))
+    named = artifacts.select("name", F.explode(F.array_distinct(stems)).alias("_stem")).where("_stem is not null")
+    owned = named.join(kept.select(F.col("stem").alias("_stem")), "_stem", "left_semi").select("name").distinct()
+    return artifacts.join(owned, "name", "left_anti").select(*artifacts.columns)
 
 
 def frame_grid(selected: DataFrame) -> DataFrame:
