@@ -17,7 +17,7 @@ FROM events WHERE user_id IS NOT NULL"""
 FIXTURES = {
     "grabs": GRABS,
     "candidates": """
-SELECT vec_id % 5 AS video_id, CAST(floor(vec_id / 2) AS BIGINT) AS path, vec_id AS face, CAST(label AS INT) AS character_id,
+SELECT CAST(floor(vec_id / 200) AS BIGINT) AS video_id, CAST(floor(vec_id / 2) AS BIGINT) AS path, vec_id AS face, CAST(label AS INT) AS character_id,
   CASE WHEN vec_id % 37 = 0 THEN NULL ELSE embedding END AS descriptor, ((vec_id * 7919) % 10007) / 10007.0D0 AS score,
   CAST((vec_id * 31) % 100 AS DOUBLE) AS sharpness, vec_id % 7 <> 0 AS valid
 FROM embeddings""",

@@ -32,7 +32,6 @@ query("pix3_hist_similarity", lambda s, d: table(s, d, "embeddings").alias("a").
       "WITH p AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(corr(x, y) + 1e-8, 5) AS r FROM p GROUP BY vec_id")
 query("pix6_pose_diff", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").alias("b"), c("b.vec_id") == c("a.vec_id") + 1).select(c("a.vec_id").alias("vec_id"), near(px.mean_difference(c("a.embedding"), c("b.embedding")), 6).alias("diff")),
       "WITH p AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(avg(abs(x - y)) + 1e-8, 6) AS diff FROM p GROUP BY vec_id")
-images = lambda s, d: table(s, d, "embeddings").select((c("label") + 0).cast("long").alias("video_id"), c("vec_id").alias("seq"), F.lit(4).alias("height"), F.lit(5).alias("width"), F.expr("unhex(substr(concat_ws('', transform(embedding, v -> lpad(hex(cast(128 + 127 * v as int)), 2, '0'))), 1, 120))").alias("data"))
 color = lambda s, d: table(s, d, "color")
 STATS = """lm AS (SELECT *, 0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r AS gray FROM color), an AS (SELECT *, lag(gray) OVER r AS lf, lead(gray) OVER r AS rt, lag(gray) OVER k AS up, lead(gray) OVER k AS dn FROM lm WINDOW r AS (PARTITION BY video_id, seq, y ORDER BY x), k AS (PARTITION BY video_id, seq, x ORDER BY y)),
 cs AS (SELECT video_id, seq, quantile_cont(gray, 0.01) FILTER (x % 2 = 0 AND y % 2 = 0) AS p1, quantile_cont(gray, 0.99) FILTER (x % 2 = 0 AND y % 2 = 0) AS p99, stddev_pop(gray) FILTER (x % 2 = 0 AND y % 2 = 0) AS deviation,
@@ -61,6 +60,11 @@ def looks(s, d):
 
 
 query("sel10_by_pixels", lambda s, d: selection.by_distinctness(looks(s, d).where("place > 0"), looks(s, d).where("place = 0").drop("path", "place")))
+BYTE = "lpad(hex(CAST(greatest(0, least(255, floor(128 + 127 * CAST(embedding[(p + {k}) % size(embedding)] AS DOUBLE)))) AS INT)), 2, '0')"
+DATA = f"unhex(concat_ws('', transform(sequence(0, size(embedding) - 1), p -> concat({', '.join(BYTE.replace('{k}', str(k)) for k in (0, 1, 5))}))))"
+images = lambda s, d: table(s, d, "embeddings").select(c("label").cast("long").alias("video_id"), c("vec_id").alias("seq"), F.expr("CAST(size(embedding) / 8 AS INT)").alias("height"), F.lit(8).alias("width"), F.expr(DATA).alias("data"))
+query("pix4_color_histogram", lambda s, d: px.color_histograms(images(s, d)).select("video_id", "seq", F.posexplode("hist").alias("bin", "share")).where("share > 0").select("video_id", "seq", "bin", F.round(c("share").cast("double"), 5).alias("share")),
+      ctes("color") + ", hi AS (SELECT video_id, seq, b // 32 * 64 + g // 32 * 8 + r // 32 AS bin, count(*) AS n FROM color GROUP BY ALL) SELECT video_id, seq, CAST(bin AS INT) AS bin, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY video_id, seq)) AS FLOAT) AS DOUBLE), 5) AS share FROM hi")
 query("pix4_face_descriptor", lambda s, d: px.color_histograms(images(s, d)))
 
 # overlays: the segments of a video are its frames in sixes

@@ -38,3 +38,18 @@ query("str1_2_stream_activity_counts", lambda s, d: _streamed(s, d, lambda e: us
 query("str3_stream_user_sessions", lambda s, d: _streamed(s, d, lambda e: us.user_sessions(e, watermark="1 hour"), "user string, start timestamp, end timestamp, n long").select("user", F.unix_micros("start").alias("start_us"), "n"),
       """WITH q AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 2700000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM q)
       SELECT CAST(user_id AS VARCHAR) AS user, epoch_us(min(ts)) AS start_us, count(*) AS n FROM r GROUP BY user_id, s HAVING epoch_us(max(ts)) + 2700000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)""")
+
+
+def _appended(spark, d):
+    """The events in four files, appended by a stream that is stopped after the first two have come and started again for the others."""
+    where = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+    made = {"timestamp": "date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")", "channel": "concat('channel', user_id % 7)", "user": "cast(user_id as string)", "action": "event_type"}
+    rows = table(spark, d, "events").select("event_id", *[F.expr(v).alias(k) for k, v in made.items()])
+    for part in (0, 1):
+        rows.where(c("event_id") % 2 == part).drop("event_id").repartition(2).write.mode("append").json(f"{where}/in")
+        us.append_events(us.stream_events(spark, f"{where}/in", 1), f"{where}/out", f"{where}/state").awaitTermination()
+    return us.read_appended(spark, f"{where}/out")
+
+
+query("src13_append_events", lambda s, d: _appended(s, d).select(F.unix_micros("ts").alias("us"), "channel", "user", "action"),
+      "SELECT epoch_us(ts) AS us, 'channel' || (user_id % 7) AS channel, CAST(user_id AS VARCHAR) AS user, event_type AS action FROM events")

@@ -14,9 +14,9 @@ query("vec1_cosine_l2", lambda s, d: table(s, d, "embeddings").alias("a").join(t
       "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_cosine_similarity(x, y) + 1e-8, 5) AS cosine, round(list_distance(x, y) + 1e-8, 5) AS l2, round(x[1] / sqrt(list_inner_product(x, x)) + 1e-8, 5) AS first FROM p")
 query("vec4_cluster_count", lambda s, d: table(s, d, "documents").select("doc_id", sel.cluster_count(c("doc_id") % 300).alias("k")), "SELECT doc_id, CAST(greatest(2, least(8, CASE WHEN (doc_id % 300) // 25 = 0 THEN 2 ELSE (doc_id % 300) // 25 END, (doc_id % 300) // 2)) AS INT) AS k FROM documents")
 query("vec2_5_cluster_characters", lambda s, d: vec.cluster_characters(cand(s, d)))
-centres = lambda s, d: cand(s, d).where("face < 20 and descriptor is not null").select("video_id", c("face").alias("centre_id"), "descriptor")
+centres = lambda s, d: cand(s, d).where("face % 200 < 20 and descriptor is not null").select("video_id", c("face").alias("centre_id"), "descriptor")
 query("vec3_assign_nearest", lambda s, d: sel.assign_nearest(cand(s, d).where("descriptor is not null"), centres(s, d)),
-      ctes("candidates") + ", k AS (SELECT a.video_id, a.face, b.face AS centre_id, round(list_cosine_similarity(a.descriptor::DOUBLE[], b.descriptor::DOUBLE[]), 9) AS s FROM candidates a JOIN candidates b ON a.video_id = b.video_id AND b.face < 20 AND b.descriptor IS NOT NULL AND a.descriptor IS NOT NULL) SELECT video_id, face, centre_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, face ORDER BY s DESC, centre_id) AS r FROM k) WHERE r = 1")
+      ctes("candidates") + ", k AS (SELECT a.video_id, a.face, b.face AS centre_id, round(list_cosine_similarity(a.descriptor::DOUBLE[], b.descriptor::DOUBLE[]), 9) AS s FROM candidates a JOIN candidates b ON a.video_id = b.video_id AND b.face % 200 < 20 AND b.descriptor IS NOT NULL AND a.descriptor IS NOT NULL) SELECT video_id, face, centre_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, face ORDER BY s DESC, centre_id) AS r FROM k) WHERE r = 1")
 query("sel2_3_deduplicate", lambda s, d: sel.deduplicate(cand(s, d), ["video_id", "character_id"], 20, 4, "expression", 0.25).select(*VID))
 query("sel2_deduplicate_large", lambda s, d: vec.deduplicate_hashed(cand(s, d), "expression", 0.95).select(*VID))
 query("sel4_set1_build_pool", lambda s, d: sel.build_pool(cand(s, d), "expression", 0.25).select(*VID, "character_id"))
@@ -26,8 +26,15 @@ query("sel5_select_with_coverage", lambda s, d: sel.select_with_coverage(cand(s,
       SELECT video_id, face, place FROM p JOIN n USING (video_id) WHERE place <= target""")
 query("set1_pool_union", lambda s, d: (lambda a, b: a.unionByName(b.join(a, VID, "left_anti")))(cand(s, d).where("sharpness >= 60").select(*VID), cand(s, d).where("score > 0.5").select(*VID)), ctes("candidates") + " SELECT video_id, face FROM candidates WHERE sharpness >= 60 OR score > 0.5")
 grabs = lambda s, d: table(s, d, "grabs")
-signed = lambda s, d: grabs(s, d).join(table(s, d, "embeddings").select((c("vec_id")).alias("_k"), c("embedding").alias("signature")), c("event_id") % 500 == c("_k")).drop("_k")
-SIGNED = "sg AS (SELECT g.*, e.embedding::DOUBLE[] AS sig FROM grabs g JOIN embeddings e ON e.vec_id = g.event_id % 500)"
+
+
+def signed(s, d):
+    """Grabs with a signature each, over all vectors."""
+    vectors = table(s, d, "embeddings").select(c("vec_id").alias("_k"), c("embedding").alias("signature"))
+    return grabs(s, d).join(vectors, c("event_id") % vectors.count() == c("_k")).drop("_k")
+
+
+SIGNED = "sg AS (SELECT g.*, e.embedding::DOUBLE[] AS sig FROM grabs g JOIN embeddings e ON e.vec_id = g.event_id % (SELECT count(*) FROM embeddings))"
 CORR = "(SELECT corr(p, q) FROM (SELECT unnest({a}) AS p, unnest({b}) AS q))"
 query("win1_scene_changes", lambda s, d: sel.scene_changes(signed(s, d), 0.10).select("video_id", "seq", near(c("likeness"), 5).alias("likeness"), "scene"),
       ctes("grabs") + f", {SIGNED}, l AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY seq) AS b FROM sg), u AS (SELECT video_id, seq, unnest(sig) AS p, unnest(b) AS q FROM l WHERE b IS NOT NULL), k AS (SELECT video_id, seq, corr(p, q) AS r FROM u GROUP BY 1, 2) SELECT l.video_id, l.seq, round(r + 1e-8, 5) AS likeness, sum(CASE WHEN r < 0.10 THEN 1 ELSE 0 END) OVER (PARTITION BY l.video_id ORDER BY l.seq) AS scene FROM l LEFT JOIN k USING (video_id, seq)")

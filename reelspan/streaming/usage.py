@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Spelling of times in JSON lines, to the microsecond.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 SCHEMA = "timestamp string, client_ip string, channel string, user string, action string, details map<string,string>"
 
 
@@ -23,7 +25,19 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 def write_events(events: DataFrame, path: str) -> None:
     """Append JSON lines, one folder per channel."""
-    events.write.mode("append").partitionBy("channel").json(path)
+    events.write.mode("append").option("timestampFormat", STAMP).partitionBy("channel").json(path)
+
+
+def append_events(events: DataFrame, path: str, state: str):
+    """Write a stream of events as JSON lines, one folder per channel, until what has arrived is written; gives the running query. state: the folder in
+    which the stream keeps what it has done, so that after a stop or a crash, whenever it came, it goes on there and every event is in
+    path once. Read path with read_appended, which leaves files of unfinished batches out."""
+    sink = events.writeStream.format("json").partitionBy("channel").option("path", path).option("checkpointLocation", state).option("timestampFormat", STAMP)
+    return sink.outputMode("append").trigger(availableNow=True).start()
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ts timestamp, client_ip string, user string, action string, details map<string,string>, channel string").option("timestampFormat", STAMP).json(path)
 
 
 def activity_counts(events: DataFrame, window: str = "1 hour", watermark: str = "2 hours", slide: str | None = None) -> DataFrame:
