@@ -55,15 +55,21 @@ def resample_needed(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     return requests.join(known, "video_id", "left").withColumn("needed", F.col("known_s").isNull() | ~same)
 
 
+#: Hosts of shared links, and where their ids stand.
+YOUTUBE_HOST, DROPBOX_HOST = r"youtube\.com|youtu\.be", r"dropbox\.com"
+YOUTUBE_ID = r"(?:youtube\.com/watch\?(?:.*&)?v=|youtube\.com/shorts/|youtu\.be/)([A-Za-z0-9_-]+)"
+DRIVE_IDS = (r"/file/d/([a-zA-Z0-9_-]+)", r"id=([a-zA-Z0-9_-]+)", r"^([a-zA-Z0-9_-]{20,})$")
+DROPBOX_ID = r"/(?:s|scl/fi)/([a-zA-Z0-9]+)"
+
+
 def classify_link(url: Column) -> tuple[Column, Column]:
     """Kind of source and stem of its file; ids that aren't in a shared link come from a hash of the link."""
     first = lambda regex, group=1: F.nullif(F.regexp_extract(url, regex, group), F.lit(""))
-    youtube = first(r"(?:youtube\.com/watch\?(?:.*&)?v=|youtube\.com/shorts/|youtu\.be/)([A-Za-z0-9_-]+)")
-    kind = F.when(url.rlike(r"youtube\.com|youtu\.be"), "youtube").when(url.rlike(r"dropbox\.com"), "dropbox")
-    drive = F.coalesce(first(r"/file/d/([a-zA-Z0-9_-]+)"), first(r"id=([a-zA-Z0-9_-]+)"), first(r"^([a-zA-Z0-9_-]{20,})$"))
+    youtube, drive = first(YOUTUBE_ID), F.coalesce(*map(first, DRIVE_IDS))
+    kind = F.when(url.rlike(YOUTUBE_HOST), "youtube").when(url.rlike(DROPBOX_HOST), "dropbox")
     kind = kind.when(drive.isNotNull(), "drive").otherwise("unknown")
     path = F.regexp_extract(url, r"^(?:[^:/?#]+://[^/?#]*)?([^?#]*)", 1)
-    box = F.regexp_extract(path, r"/(?:s|scl/fi)/([a-zA-Z0-9]+)", 1)
+    box = F.regexp_extract(path, DROPBOX_ID, 1)
     stem = F.when(kind == "youtube", youtube).when(kind == "dropbox", F.concat(F.lit("dropbox_"), F.when(box != "", box).otherwise(F.substring(F.sha2(url, 256), 1, 16)))).otherwise(drive)
     return kind, stem
 
