@@ -289,8 +289,12 @@ def offending_words(line: Column) -> Column:
 
 
 def lint_documents(lines: DataFrame, exemptions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Findings (path, n, kind, what) of lines (path, n, line) outside exempt paths, and the exemptions that no finding needed."""
-    found = lines.withColumn("_c", offending_chars(F.col("line"))).withColumn("_w", offending_words(F.col("line"))).where("size(_c) > 0 or size(_w) > 0")
-    chars = found.select("path", "n", F.explode("_c").alias("c")).select("path", "n", F.col("c.kind").alias("kind"), F.col("c.ch").alias("what"))
-    every = chars.union(found.select("path", "n", F.lit("word").alias("kind"), F.explode("_w").alias("what")))
-    return every.join(exemptions, "path", "left_anti"), exemptions.join(every, "path", "left_anti")
+    """Findings (path, n, kind, what) of lines (path, n, line) outside exempt paths, and the exemptions that no finding needed. Lines are read once; only
+    those with a character beyond ASCII are searched for such."""
+    line = F.col("line")
+    chars = F.transform(offending_chars(line), lambda c: F.struct(c["kind"].alias("kind"), c["ch"].alias("what")))
+    words = F.transform(offending_words(line), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("what")))
+    none = F.array().cast("array<struct<kind:string,what:string>>")
+    found = F.concat(F.when(line.rlike(r"[^\x00-\x7F]"), chars).otherwise(none), words)
+    every = lines.select("path", "n", F.explode(found).alias("f")).select("path", "n", "f.kind", "f.what")
+    return every.join(exemptions, "path", "left_anti"), exemptions.join(every.select("path").distinct(), "path", "left_anti")

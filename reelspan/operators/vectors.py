@@ -110,30 +110,31 @@ def _codes(batches):
 
 def near_edges(pool: DataFrame, limit: float, tone: bool = False, column: str = "descriptor") -> DataFrame:
     """(video_id, a, b) of rows (video_id, face, path, score, column) of one video and different frames whose likeness is above limit, a ranked before b:
-    pairs that share a bucket of some table, by exact likeness. Equal vectors are one row for each frame, which stands for all of them (see
-    deduplicate_hashed), and only the best of those of several frames is paired with the others, so that copies make no squares."""
+    pairs that share a bucket of some table, by exact likeness. Equal vectors are one in the buckets. Among themselves only the best is paired with
+    the others of other frames, which is enough for the greedy answer: where it stays they go, and where a better row of another frame drops
+    it, that row drops them too, so that copies make no squares."""
     rows = pool.select("video_id", "face", "path", "score", F.col(column).cast("array<double>").alias("_x"))
     size = F.size("_x")
     centred = F.transform("_x", lambda v: v - F.aggregate("_x", F.lit(0.0), lambda s, w: s + w) / size) if tone else F.col("_x")
     rows = kept(rows.withColumn("_x", centred), "vectors")
-    order = [F.desc("score"), F.asc("face")]
-    same = W.partitionBy("video_id", "_x")
-    marked = rows.withColumn("_best", F.row_number().over(same.orderBy(*order))).withColumn("_top", F.first("face").over(same.orderBy(*order)))
-    marked = kept(marked.withColumn("_path", F.first("path").over(same.orderBy(*order))), "vectors")
-    copies = marked.where((F.col("_best") > 1) & (F.col("path") != F.col("_path"))).where(cosine(F.col("_x"), F.col("_x")) > limit).select("video_id", F.col("_top").alias("a"), F.col("face").alias("b"))
-    coded = marked.select("video_id", "face", "_x").mapInArrow(_codes, "video_id long, face long, codes array<int>")
-    held = kept(coded.join(marked.select("video_id", "face", "path", "score", "_top"), ["video_id", "face"]), "codes")
+    same = W.partitionBy("video_id", "_x").orderBy(F.desc("score"), F.asc("face"))
+    own = kept(rows.withColumns({"_top": F.first("face").over(same), "_path": F.first("path").over(same)}), "copies")
+    copies = own.where("face <> _top and path <> _path").where(cosine(F.col("_x"), F.col("_x")) > limit).select("video_id", F.col("_top").alias("a"), F.col("face").alias("b"))
+    tops = own.where("face = _top").select("video_id", "face", "_x")
+    held = kept(tops.mapInArrow(_codes, "video_id long, face long, codes array<int>"), "codes")
     dealt = held.select("*", F.posexplode("codes").alias("_t", "_b"))
     a, b = dealt.alias("a"), dealt.alias("b")
-    better = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.face") < F.col("b.face")))
-    meet = (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a._t") == F.col("b._t")) & (F.col("a._b") == F.col("b._b"))
+    meet = (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a._t") == F.col("b._t")) & (F.col("a._b") == F.col("b._b")) & (F.col("a.face") < F.col("b.face"))
     first = F.array_position(F.zip_with("a.codes", "b.codes", lambda p, q: p == q), True) == F.col("a._t") + 1  # a pair counts in the first table that has it
-    other = (F.col("a.path") != F.col("b.path")) & (F.col("a._top") != F.col("b._top"))
-    pairs = a.join(b, meet & better & other).where(first).select(F.col("a.video_id").alias("video_id"), F.col("a.face").alias("a"), F.col("b.face").alias("b"))
-    own = marked.select("video_id", "face", "_x")
-    with_a = pairs.join(own.select("video_id", F.col("face").alias("a"), F.col("_x").alias("_xa")), ["video_id", "a"])
-    both = with_a.join(own.select("video_id", F.col("face").alias("b"), F.col("_x").alias("_xb")), ["video_id", "b"])
-    return both.where(cosine(F.col("_xa"), F.col("_xb")) > limit).select("video_id", "a", "b").union(copies)
+    pairs = a.join(b, meet).where(first).select(F.col("a.video_id").alias("video_id"), F.col("a.face").alias("_p"), F.col("b.face").alias("_q"))
+    with_p = pairs.join(tops.select("video_id", F.col("face").alias("_p"), F.col("_x").alias("_xp")), ["video_id", "_p"])
+    both = with_p.join(tops.select("video_id", F.col("face").alias("_q"), F.col("_x").alias("_xq")), ["video_id", "_q"])
+    close = kept(both.where(cosine(F.col("_xp"), F.col("_xq")) > limit).select("video_id", "_p", "_q"), "close")
+    member = lambda k: own.select("video_id", F.col("_top").alias(f"_{k}"), F.struct((-F.col("score")).alias("s"), "face", "path").alias(k))
+    met = close.join(member("p"), ["video_id", "_p"]).join(member("q"), ["video_id", "_q"]).where("p.path <> q.path")
+    ranked = F.array_sort(F.array(F.struct(F.col("p.s").alias("s"), F.col("p.face").alias("face")), F.struct(F.col("q.s").alias("s"), F.col("q.face").alias("face"))))
+    edges = met.select("video_id", ranked.alias("r")).select("video_id", F.get("r", F.lit(0))["face"].alias("a"), F.get("r", F.lit(1))["face"].alias("b"))
+    return edges.union(copies)
 
 
 def deduplicate_hashed(pool: DataFrame, mode: str = "tone", threshold: float | None = None) -> DataFrame:
