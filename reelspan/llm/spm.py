@@ -1,14 +1,16 @@
-"""SentencePiece encoding and decoding as a weighted transducer: normaliser, pieces and byte fallback composed with each input,
-and the shortest path in the tropical semiring.
+"""SentencePiece encoding and decoding as a weighted transducer: normaliser, pieces and byte fallback are compiled to states and
+arcs, composed with each input, and the shortest path is taken in the tropical semiring.
 
 Unigram models weigh a piece by minus its score. In BPE models a path is what the merges give exactly if every two
-neighbouring pieces are (Berglund and van der Merwe, 2023), so that an arc weighs 0 where the merges leave the two pieces
-apart and infinity elsewhere; one finite path remains.
+neighbouring pieces are (Berglund and van der Merwe, 2023), so that a piece weighs 0 after a piece that the merges leave apart
+from it and infinity after any other. The merges inside every piece are compiled, step by step, with the fragments at its two ends;
+whether two pieces stay apart is read from these tables. As every prefix of a text has one path of finite weight, one piece a
+position is all that the relaxation has to remember, for both kinds of model alike.
 """
 
 import re
 import zlib
-from heapq import heapify, heappop, heappush
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +24,81 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose ids, and pairs of pieces whose weight, a worker remembers before it starts afresh.
 REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 500_000
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: A rank behind all others, and what stands before the first piece or for a character that no piece holds.
+NEVER, NOTHING = 1 << 30, -1
+#: Characters of a word up to which plain lists hold the lattice.
+SHORT = 10_000
+_WORD = re.compile(f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+")
 
 
 class Transducer:
-    """Normaliser (identity with a leading space, or none for other specs), pieces with their weights, and byte fallback."""
+    """Normaliser (a space reads as the space sign, one goes ahead of the text), pieces with their weights, and byte fallback.
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], bpe: bool = True):
+    `arcs` holds (state, code point) -> state, state 0 is the root, `final` the piece that ends at a state or -1. Symbols are the
+    pieces, then characters that pieces hold but that are none themselves.
+    """
+
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], bpe: bool = True, prefix: bool = True):
         """kinds: 1 piece, 2 unknown, 3 control, 6 byte, as in model files."""
-        self.pieces, self.scores, self.bpe = pieces, scores, bpe
+        self.pieces, self.bpe, self.prefix = pieces, bpe, " " if prefix else ""
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
-        self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, k in enumerate(kinds) if k == 2), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         self.out = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds)]
-        self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.least = min((s for s, k in zip(scores, kinds) if k == 1), default=0.0)
+        least = min((s for s, k in zip(scores, kinds) if k == 1), default=0.0)
+        extra = sorted(set("".join(self.ids)) - set(self.ids))
+        self.foreign = 0.0 if bpe else UNKNOWN_PENALTY - least
+        self.weight = array("d", [0.0 if bpe else -s for s in scores] + [self.foreign] * len(extra))
+        symbols = self.ids | {c: len(pieces) + k for k, c in enumerate(extra)}
+        self.length = array("H", [0] * (len(pieces) + len(extra)))
+        for p, i in symbols.items():
+            self.length[i] = len(p)
+        usable = self._compile_merges(symbols, scores) if bpe else set(symbols.values())
+        self._compile_arcs({p: i for p, i in symbols.items() if i in usable})
+        joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.joints = joints | {a + b for j in joints if SPACE in j for a in (j[0], " " if j[0] == SPACE else j[0]) for b in (j[1], " " if j[1] == SPACE else j[1])}
+        self.whole_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.forget()
+
+    def _compile_arcs(self, symbols: dict[str, int]) -> None:
+        self.arcs: dict[int, int] = {}
+        self.final = array("i", [-1])
+        for p, i in symbols.items():
+            state = 0
+            for c in p:
+                target = self.arcs.get(state << 21 | ord(c))
+                if target is None:
+                    target = self.arcs[state << 21 | ord(c)] = len(self.final)
+                    self.final.append(-1)
+                    if c == SPACE:  # the normaliser's arc: a space goes where the space sign goes
+                        self.arcs[state << 21 | ord(" ")] = target
+                state = target
+            self.final[state] = i
+
+    def _compile_merges(self, symbols: dict[str, int], scores: list[float]) -> set[int]:
+        """For every symbol the states that its own merges pass through: rank of the next merge, fragments at its left and right
+        end; `steps` says where they begin. Returns the symbols that their merges make whole."""
+        rank = {s: k for k, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
+        self.joins = {symbols[p[:k]] << 20 | symbols[p[k:]]: rank[scores[i]] for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols}
+        self.steps = array("i", [0] * len(self.length))
+        self.next, self.left, self.right = array("i"), array("i"), array("i")
+        joins, usable = self.joins, set()
+        for p, i in symbols.items():
+            at = [symbols[c] for c in p]
+            spelt = list(p)
+            self.steps[i] = len(self.next)
+            while True:
+                best, k = min(((joins.get(a << 20 | b, NEVER), k) for k, (a, b) in enumerate(zip(at, at[1:]))), default=(NEVER, 0))
+                self.next.append(best)
+                self.left.append(at[0])
+                self.right.append(at[-1])
+                if best == NEVER:
+                    break
+                spelt[k : k + 2] = [spelt[k] + spelt[k + 1]]
+                at[k : k + 2] = [symbols[spelt[k]]]
+            if len(at) == 1:
+                usable.add(i)
+        return usable
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -53,109 +108,85 @@ class Transducer:
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto())
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser with a leading space is compiled")
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
+            raise ValueError("only normalisers that keep all characters are compiled")
         if model.trainer_spec.model_type not in (1, 2) or any(p.type not in (1, 2, 3, 6) for p in model.pieces):
             raise ValueError("only unigram and BPE models of plain, byte and control pieces are compiled")
-        return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 2)
-
-    def merged(self, text: str) -> list[str]:
-        """What the merges make of a text: the best-scored neighbours join first, the leftmost of equals. A heap of neighbours keeps
-        long runs of spaces near linear."""
-        piece: list[str | None] = list(text)
-        left, right = list(range(-1, len(piece) - 1)), list(range(1, len(piece) + 1))
-        heap = [(-self.scores[i], k, piece[k] + piece[k + 1]) for k in range(len(piece) - 1) if (i := self.ids.get(piece[k] + piece[k + 1])) is not None]
-        heapify(heap)
-        while heap:
-            _, k, both = heappop(heap)
-            j = right[k]
-            if piece[k] is None or j >= len(piece) or piece[k] + piece[j] != both:
-                continue  # one of the two has joined another
-            piece[k], piece[j], right[k] = both, None, right[j]
-            if right[k] < len(piece):
-                left[right[k]] = k
-            for x, y in ((left[k], k), (k, right[k])):
-                if x >= 0 and y < len(piece) and (i := self.ids.get(piece[x] + piece[y])) is not None:
-                    heappush(heap, (-self.scores[i], x, piece[x] + piece[y]))
-        return [x for x in piece if x is not None]
+        return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 2, spec.add_dummy_prefix)
 
     def forget(self) -> None:
         """Let go of what was remembered of words and pairs, at the end of a task: other operators share the worker."""
-        self.words, self.parts, self.pairs = {}, {}, {}
-
-    def apart(self, left: str, right: str) -> bool:
-        """Whether the merges leave two neighbouring pieces as they are: the arc's weight is 0, else infinity."""
-        key = (left, right)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether the merges leave two neighbouring pieces as they are: the better merge goes first, the leftmost of equals, and none
+        may reach across."""
+        if left == NOTHING:
+            return True
+        key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
+            i, j = self.steps[left], self.steps[right]
+            while True:
+                a, b, across = self.next[i], self.next[j], self.joins.get(self.right[i] << 20 | self.left[j], NEVER)
+                if across < a and across <= b or a == b == NEVER:
+                    break
+                if a <= b:
+                    i += 1
+                else:
+                    j += 1
             if len(self.pairs) > REMEMBERED_PAIRS:
-                self.pairs = {}
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+                self.pairs.clear()
+            known = self.pairs[key] = across == NEVER
         return known
 
-    def finite_path(self, word: str) -> list[str]:
-        """Pieces (or single characters without a piece) on the one path of finite weight through a BPE lattice, longest arcs first."""
-        path, at, dead, n = [], 0, set(), len(word)
-        get, reach, apart = self.ids.get, self.reach.get, self.apart
-        last, length = "", 0
-        while at < n:
-            length = length or max(1, min(reach(word[at : at + 3], 2), n - at))
-            while length:
-                piece = word[at : at + length]
-                if (length == 1 or get(piece) is not None) and (at + length, piece) not in dead and apart(last, piece):
-                    break
-                length -= 1
-            if length:
-                path.append(piece)
-                at, last, length = at + length, piece, 0
-                continue
-            if not path:
-                raise AssertionError(f"no finite path over {word!r}")
-            dead.add((at, last))
-            piece = path.pop()
-            at, last, length = at - len(piece), path[-1] if path else "", len(piece) - 1
-            while not length:  # shorter arcs are used up here too
-                dead.add((at, last))
-                piece = path.pop()
-                at, last, length = at - len(piece), path[-1] if path else "", len(piece) - 1
-        return path
-
-    def lightest_path(self, word: str) -> list[str]:
-        """Pieces (or single characters without a piece) on the lightest path through a unigram lattice."""
-        n = len(word)
-        cost, back = [0.0] + [float("inf")] * n, [""] * (n + 1)
+    def shortest_path(self, word: str) -> list[int]:
+        """Symbols on the lightest path through the composition with a word; ~c for a character c that no piece holds."""
+        n, infinity = len(word), float("inf")
+        if n < SHORT:
+            codes, cost, last = list(map(ord, word)), [infinity] * (n + 1), [NOTHING] * (n + 1)
+        else:  # the same in less memory
+            codes, cost, last = array("I", word.encode("utf-32-le")), array("d", [infinity]) * (n + 1), array("i", [NOTHING]) * (n + 1)
+        cost[0] = 0.0
+        step, final, weight, free, pairs, apart = self.arcs.get, self.final, self.weight, not self.bpe, self.pairs, self.apart
         for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                piece = word[start:end]
-                i = self.ids.get(piece)
-                if i is None and end - start > 1:
-                    continue
-                weight = cost[start] + (UNKNOWN_PENALTY - self.least if i is None else -self.scores[i])
-                if weight < cost[end]:
-                    cost[end], back[end] = weight, piece
+            so_far, before = cost[start], last[start]
+            state = step(codes[start])
+            if state is None or final[state] < 0:  # fallback: one character on its own, which nothing joins
+                if so_far + self.foreign < cost[start + 1]:
+                    cost[start + 1], last[start + 1] = so_far + self.foreign, NOTHING
+            end = start + 1
+            while state is not None:
+                piece = final[state]
+                if piece >= 0:
+                    total = so_far + weight[piece]
+                    if total < cost[end]:
+                        known = free or before == NOTHING or pairs.get(before << 20 | piece)
+                        if known or known is None and apart(before, piece):
+                            cost[end], last[end] = total, piece
+                if end == n:
+                    break
+                state = step(state << 21 | codes[end])
+                end += 1
+        if cost[n] == infinity:
+            raise AssertionError(f"no path over {word[:100]!r}")
         path = []
         while n:
-            path.append(back[n])
-            n -= len(back[n])
+            piece = last[n]
+            path.append(piece if piece != NOTHING else ~codes[n - 1])
+            n -= self.length[piece] if piece != NOTHING else 1
         return path[::-1]
 
-    def part_ids(self, part: str) -> tuple[int, ...]:
-        ids = []
-        if not self.bpe:
-            pieces = self.lightest_path(part)
-        elif SPACE * 2 in part:  # runs of spaces have pieces of one score, for which only the order of the merges decides
-            pieces = self.merged(part)
-        else:
-            pieces = self.finite_path(part)
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        return tuple(ids)
+    def lightest_path(self, word: str) -> list[str]:
+        """Pieces (or single characters without a piece) on the lightest path."""
+        spelt, at = [], 0
+        for x in self.shortest_path(word):
+            size = self.length[x] if x >= 0 else 1
+            spelt.append(word[at : at + size])
+            at += size
+        return spelt
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         """Where no piece holds two neighbouring characters, no path crosses between them, so that the parts are independent."""
@@ -174,12 +205,29 @@ class Transducer:
                 a = b
         return tuple(ids)
 
+    def part_ids(self, word: str) -> tuple[int, ...]:
+        ids, at = [], 0
+        for x in self.shortest_path(word):
+            if 0 <= x < len(self.pieces):
+                ids.append(x)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in word[at].encode()]
+            else:
+                ids.append(self.unknown)
+            at += self.length[x] if x >= 0 else 1
+        return tuple(ids)
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. No piece has a space after another character, so that words are independent."""
+        """Ids of a text. Where no piece has a space after another character, words with the spaces ahead of them are independent."""
         if not text:
             return np.zeros(0, "u4")
-        text = SPACE + text.replace(" ", SPACE)
-        words = _WORD.findall(text) if SPACE * 2 in text or text[-1] == SPACE else [SPACE + w for w in text[1:].split(SPACE)]
+        text = self.prefix + text
+        if not self.whole_words:
+            words = [text]
+        elif "  " in text or text[0] != " " or text[-1] == " " or SPACE in text:
+            words = _WORD.findall(text)
+        else:
+            words = [" " + w for w in text[1:].split(" ")]
         known = self.words
         ids: list[int] = []
         for w in words:
@@ -195,7 +243,7 @@ class Transducer:
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 _loaded: dict[str, Transducer] = {}
