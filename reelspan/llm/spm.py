@@ -23,7 +23,7 @@ SPACE = "▁"
 #: Weight of an unknown character over the lightest piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose ids, and pairs of pieces whose weight, a worker remembers before it starts afresh.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 500_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 250_000, 250_000
 #: A rank behind all others, and what stands before the first piece or for a character that no piece holds.
 NEVER, NOTHING = 1 << 30, -1
 #: Characters of a word up to which plain lists hold the lattice.
@@ -48,9 +48,9 @@ class Transducer:
         least = min((s for s, k in zip(scores, kinds) if k == 1), default=0.0)
         extra = sorted(set("".join(self.ids)) - set(self.ids))
         self.foreign = 0.0 if bpe else UNKNOWN_PENALTY - least
-        self.weight = array("d", [0.0 if bpe else -s for s in scores] + [self.foreign] * len(extra))
+        self.weight = [0.0 if bpe else -s for s in scores] + [self.foreign] * len(extra)
         symbols = self.ids | {c: len(pieces) + k for k, c in enumerate(extra)}
-        self.length = array("H", [0] * (len(pieces) + len(extra)))
+        self.length = [0] * (len(pieces) + len(extra))
         for p, i in symbols.items():
             self.length[i] = len(p)
         usable = self._compile_merges(symbols, scores) if bpe else set(symbols.values())
@@ -58,11 +58,12 @@ class Transducer:
         joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.joints = joints | {a + b for j in joints if SPACE in j for a in (j[0], " " if j[0] == SPACE else j[0]) for b in (j[1], " " if j[1] == SPACE else j[1])}
         self.whole_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def _compile_arcs(self, symbols: dict[str, int]) -> None:
         self.arcs: dict[int, int] = {}
-        self.final = array("i", [-1])
+        self.final = [-1]
         for p, i in symbols.items():
             state = 0
             for c in p:
@@ -115,10 +116,9 @@ class Transducer:
         return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 2, spec.add_dummy_prefix)
 
     def forget(self) -> None:
-        """Let go of what was remembered of words and pairs, at the end of a task: other operators share the worker."""
+        """Let go of what was remembered of words, at the end of a task: other operators share the worker. Pairs are few and stay."""
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the merges leave two neighbouring pieces as they are: the better merge goes first, the leftmost of equals, and none
@@ -153,6 +153,7 @@ class Transducer:
         step, final, weight, free, pairs, apart = self.arcs.get, self.final, self.weight, not self.bpe, self.pairs, self.apart
         for start in range(n):
             so_far, before = cost[start], last[start]
+            opens, beside = free or before == NOTHING, before << 20
             state = step(codes[start])
             if state is None or final[state] < 0:  # fallback: one character on its own, which nothing joins
                 if so_far + self.foreign < cost[start + 1]:
@@ -163,7 +164,7 @@ class Transducer:
                 if piece >= 0:
                     total = so_far + weight[piece]
                     if total < cost[end]:
-                        known = free or before == NOTHING or pairs.get(before << 20 | piece)
+                        known = opens or pairs.get(beside | piece)
                         if known or known is None and apart(before, piece):
                             cost[end], last[end] = total, piece
                 if end == n:
