@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reelspan.functions import groups as gr
-from reelspan.operators import pixels as px
+from reelspan.operators import matching as mt, pixels as px, selection as sel
 
 BOXES = "video_id long, seq long, x int, y int, w int, h int"
 BLOBS = "video_id long, segment int, x double, y double, w double, h double, area double"
@@ -79,3 +80,13 @@ def test_many_small_frames_of_boxes(spark):
     out = px.merge_boxes(boxes)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no call for each of many small groups
     assert sorted(tuple(r) for r in out.where("video_id < 20").collect()) == sorted(want)
+
+
+def test_a_slot_stands_in_few_buckets_however_far_it_looks(spark):
+    columns = "video_id long, path string, ts_s double, focus double, signature array<double>, open boolean"
+    same, other = [1.0, 2.0, 4.0], [4.0, 2.0, 1.0]
+    frames = spark.createDataFrame([(1, "a", 9e11, 50.0, same, True), (1, "b", -8e11, 50.0, same, True), (1, "c", 5.0, 50.0, other, True), (1, "d", 3e12, 50.0, same, True)], columns)
+    slots = spark.createDataFrame([(1, 0, "s", 0.0, 50.0, same, False)], "video_id long, slot int, path string, ts_s double, focus double, signature array<double>, open boolean")
+    # with buckets of ten seconds these are 2e11 rows for one slot
+    assert [r["path"] for r in mt.nearest_same_scene(slots, frames, sel.pearson, 1e12).collect()] == ["b"]
+    assert mt.near_in_time(frames, slots.select("video_id", "slot", F.col("ts_s").alias("slot_s")), "slot_s", 1e12).count() == 3
