@@ -89,4 +89,5 @@ def test_a_slot_stands_in_few_buckets_however_far_it_looks(spark):
     slots = spark.createDataFrame([(1, 0, "s", 0.0, 50.0, same, False)], "video_id long, slot int, path string, ts_s double, focus double, signature array<double>, open boolean")
     # with buckets of ten seconds these are 2e11 rows for one slot
     assert [r["path"] for r in mt.nearest_same_scene(slots, frames, sel.pearson, 1e12).collect()] == ["b"]
+    assert [r["new_path"] for r in sel.open_eyes(slots, frames, frames, radius=1e12, window=1e12).collect()] == ["b"]
     assert mt.near_in_time(frames, slots.select("video_id", "slot", F.col("ts_s").alias("slot_s")), "slot_s", 1e12).count() == 3
