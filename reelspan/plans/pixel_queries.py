@@ -63,7 +63,7 @@ query("sel10_by_pixels", lambda s, d: selection.by_distinctness(looks(s, d).wher
 BYTE = "lpad(hex(CAST(greatest(0, least(255, floor(128 + 127 * CAST(embedding[(p + {k}) % size(embedding)] AS DOUBLE)))) AS INT)), 2, '0')"
 DATA = f"unhex(concat_ws('', transform(sequence(0, size(embedding) - 1), p -> concat({', '.join(BYTE.replace('{k}', str(k)) for k in (0, 1, 5))}))))"
 images = lambda s, d: table(s, d, "embeddings").select(c("label").cast("long").alias("video_id"), c("vec_id").alias("seq"), F.expr("CAST(size(embedding) / 8 AS INT)").alias("height"), F.lit(8).alias("width"), F.expr(DATA).alias("data"))
-query("pix4_color_histogram", lambda s, d: px.color_histograms(images(s, d)).select("video_id", "seq", F.posexplode("hist").alias("bin", "share")).where("share > 0").select("video_id", "seq", "bin", F.round(c("share").cast("double"), 5).alias("share")),
+query("pix4_color_histogram", lambda s, d: px.color_histograms(images(s, d), described=False).select("video_id", "seq", F.posexplode("hist").alias("bin", "share")).where("share > 0").select("video_id", "seq", "bin", F.round(c("share").cast("double"), 5).alias("share")),
       ctes("color") + ", hi AS (SELECT video_id, seq, b // 32 * 64 + g // 32 * 8 + r // 32 AS bin, count(*) AS n FROM color GROUP BY ALL) SELECT video_id, seq, CAST(bin AS INT) AS bin, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY video_id, seq)) AS FLOAT) AS DOUBLE), 5) AS share FROM hi")
 query("pix4_face_descriptor", lambda s, d: px.color_histograms(images(s, d)))
 
