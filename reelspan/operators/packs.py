@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reelspan.functions.documents import Number, Raw, parse, spell
+from reelspan.functions.groups import by_runs
 from reelspan.functions.shared import kept
 from reelspan.functions.text import version_key
 
@@ -59,7 +60,7 @@ def flatten(packs: DataFrame, key: str = "id") -> DataFrame:
             at, paths, values = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], [key, "path", "value"])
 
-    named = packs.select(key, "doc")
+    named = packs.select(key, "doc").repartition(key)  # a file of many small documents is one task of reading, but not of parsing
     schema = StructType([named.schema[key], StructField("path", StringType()), StructField("value", StringType())])
     return named.mapInArrow(run, schema)
 
@@ -72,13 +73,40 @@ def strip_meta(rows: DataFrame) -> DataFrame:
 def deep_merge(base: DataFrame, over: DataFrame, key: str = "id") -> DataFrame:
     """Rows (id, path, value) of both: over wins; rows of base below a path that over replaces, or above one that it opens, go. An empty
     object of over replaces a scalar or an array, but changes nothing of an object."""
-    o = over.select(F.col(key).alias("_k"), F.col("path").alias("_p"), (F.trim("value") == "{}").alias("_empty"))
-    mine = F.col(key) == F.col("_k")
-    below, above = F.startswith("path", F.concat("_p", F.lit("/"))), F.startswith("_p", F.concat("path", F.lit("/")))
-    kept = base.join(o, mine & ((below & ~F.coalesce("_empty", F.lit(False))) | above), "left_anti").withColumnRenamed("value", "_b")
-    held = base.select(F.col(key).alias("_k"), F.col("path").alias("_p"))
-    filled = over.join(held, mine & F.startswith("_p", F.concat("path", F.lit("/"))) & (F.trim("value") == "{}"), "left_anti")
-    return kept.join(filled.withColumnRenamed("value", "_o"), [key, "path"], "full").select(key, "path", F.coalesce("_o", "_b").alias("value"))
+    told = lambda df, mine: df.select(key, "path", "value", F.lit(mine).alias("_mine"))
+
+    def work(rows, starts):
+        paths, values, mine = (rows.column(k).to_pylist() for k in ("path", "value", "_mine"))
+        none, at, out = rows.column(key).is_null().to_pylist(), [], []
+        for a, b in zip(starts, starts[1:]):
+            sides = [[(paths[i], values[i]) for i in range(a, b) if mine[i] is m] for m in (True, False)]
+            found = sides[0] + sides[1] if none[a] else _over(*sides)
+            at += [a] * len(found)
+            out += found
+        merged = rows.select([key]).take(pa.array(at, pa.int64()))
+        for k, name in enumerate(("path", "value")):
+            merged = merged.append_column(name, pa.array([o[k] for o in out], pa.string()))
+        yield from merged.to_batches()
+
+    return by_runs(told(base, True).union(told(over, False)), (key,), (), work, base.select(key, "path", "value").schema)
+
+
+def _over(base: list[tuple], over: list[tuple]) -> list[tuple]:
+    """deep_merge of one document's rows (path, value)."""
+    above = lambda path: (path[:i] for i, ch in enumerate(path) if ch == "/")
+    empty = lambda v: v is not None and v.strip(" ") == "{}"
+    shut = {path for path, v in over if not empty(v)}
+    opened, holds = ({p for path, _ in side for p in above(path)} for side in (over, base))
+    held: dict[str, list] = {}
+    for path, v in base:
+        if path not in opened and shut.isdisjoint(above(path)):
+            held.setdefault(path, []).append(v)
+    out = []
+    for path, v in over:
+        if not (empty(v) and path in holds):
+            out += [(path, b if v is None else v) for b in held.get(path, [None])]
+    done = {path for path, v in over if not (empty(v) and path in holds)}
+    return out + [(path, v) for path, vs in held.items() if path not in done for v in vs]
 
 
 def follow(starts: DataFrame, steps: DataFrame) -> DataFrame:
@@ -193,7 +221,7 @@ def expand_documents(packs: DataFrame, presets: DataFrame) -> tuple[DataFrame, D
     the presets that the last one reached, so that rounds are the longest way. Keys of the loader (schema, use, _..) are left out.
     Null documents have no row; one id has one document.
     """
-    own = kept(packs.select("id", "doc").mapInArrow(_nodes("id"), StructType([packs.schema["id"], *_fields(_NODE)])), "nodes")
+    own = kept(packs.select("id", "doc").repartition("id").mapInArrow(_nodes("id"), StructType([packs.schema["id"], *_fields(_NODE)])), "nodes")
     held = kept(presets.select("preset", "doc").mapInArrow(_nodes("preset"), StructType([presets.schema["preset"], *_fields(_NODE)])), "nodes")
     roots = held.where("size(path) = 0").groupBy("preset").agg(F.min("kind").alias("_kind"))
     inner = held.where("use is not null").select(F.col("preset").alias("_p"), F.col("path").alias("_sub"), F.col("use").alias("_next"))
@@ -216,15 +244,16 @@ def expand_documents(packs: DataFrame, presets: DataFrame) -> tuple[DataFrame, D
         nodes = nodes.union(reached.join(held, "preset").select("id", F.concat("at", "path").alias("path"), "rank", "kind", "value"))
     schema = StructType([packs.schema["id"], StructField("doc", StringType())])
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = zip(map(tuple, group["path"].to_pylist()), map(tuple, group["rank"].to_pylist()), group["kind"].to_pylist(), group["value"].to_pylist())
-        return pa.table({"id": group["id"].slice(0, 1), "doc": pa.array([_merged(list(rows))], pa.string())})
+    def work(rows, starts):
+        every = list(zip(map(tuple, rows.column("path").to_pylist()), map(tuple, rows.column("rank").to_pylist()), rows.column("kind").to_pylist(), rows.column("value").to_pylist()))
+        docs = [_merged(every[a:b]) for a, b in zip(starts, starts[1:])]
+        yield from rows.select(["id"]).take(pa.array(starts[:-1])).append_column("doc", pa.array(docs, pa.string())).to_batches()
 
     none = packs.sparkSession.createDataFrame([], StructType([packs.schema["id"], *_fields("path string, preset string, problem string")]))
     problems = none
     for b in bad:
         problems = problems.union(b)
-    return nodes.groupBy("id").applyInArrow(run, schema), problems
+    return by_runs(nodes, ("id",), (), work, schema), problems
 
 
 def _fields(text: str) -> list[StructField]:

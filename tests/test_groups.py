@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspan.functions import groups as gr
-from reelspan.operators import matching as mt, pixels as px, selection as sel
+from reelspan.operators import matching as mt, packs as pk, pixels as px, selection as sel
 
 BOXES = "video_id long, seq long, x int, y int, w int, h int"
 BLOBS = "video_id long, segment int, x double, y double, w double, h double, area double"
@@ -115,3 +115,11 @@ def test_cells_of_a_frame_count_once_and_travel_as_counts(spark):
     # of three frames two cover cell (0, 0); all other cells one
     assert {r["video_id"]: round(r["territory"], 6) for r in out.collect()} == {1: round(1 / 9, 6), 2: 0.0}
     assert "count(distinct" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_a_pose_is_made_where_its_frame_is(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, k, y, x, *rng.integers(0, 256, 3).tolist()) for k in range(5) for y in range(8) for x in range(8) if (k, y, x) != (4, 7, 7)]
+    out = px.pose_signature(spark.createDataFrame(rows, "video_id long, seq long, y int, x int, b int, g int, r int"), (5, 3))
+    assert "Generate" not in out._jdf.queryExecution().toString()  # no row for each pixel and cell
+    assert [len(r["signature"]) for r in out.collect()] == [15] * 5
