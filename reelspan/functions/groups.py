@@ -57,11 +57,11 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.cast(table.column(name), pa.float64()), float("nan")))
 
 
-def lists(table: pa.Table, name: str):
-    """A column of arrays -> (values as doubles, where the array of each row begins, and the end, null rows)."""
+def arrays(table: pa.Table, name: str):
+    """A column of arrays -> function of a row: its array as doubles, None where it is null."""
     column = table.column(name).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     none = np.asarray(column.is_null())
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)))])
     values = np.asarray(pc.fill_null(pc.cast(pc.list_flatten(column), pa.float64()), float("nan")))
-    return values, np.concatenate([[0], np.cumsum(sizes)]), none
+    return lambda i: None if none[i] else values[ends[i] : ends[i + 1]]

@@ -123,3 +123,23 @@ def test_a_pose_is_made_where_its_frame_is(spark):
     out = px.pose_signature(spark.createDataFrame(rows, "video_id long, seq long, y int, x int, b int, g int, r int"), (5, 3))
     assert "Generate" not in out._jdf.queryExecution().toString()  # no row for each pixel and cell
     assert [len(r["signature"]) for r in out.collect()] == [15] * 5
+
+
+def test_many_videos_are_spread_without_a_call_for_each(spark):
+    rnd = random.Random(6)
+    rows = [(v, f"p{i:03d}", i * 1.0, rnd.random(), rnd.random() < 0.4, [rnd.gauss(0, 1) for _ in range(4)]) for v in range(300) for i in range(rnd.randrange(1, 40))]
+    out = sel.select_spread(spark.createDataFrame(rows, "video_id long, path string, ts_s double, score double, sharp boolean, signature array<double>"), 12, 2.0)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got: dict = {}
+    for r in out.collect():
+        got.setdefault(r["video_id"], []).append((r["slot"], r["ts_s"], r["path"]))
+    for v in range(300):
+        mine = [r for r in rows if r[0] == v]
+        shown = [t[1:] for t in sorted(got[v])]
+        assert shown == sorted(shown) and len(set(shown)) == len(shown) == min(12, len(mine))
+        width = max(r[2] for r in mine) / 12 or 1.0
+        best: dict = {}
+        for r in (r for r in mine if r[4]):
+            k = min(11, int(np.floor(r[2] / width)))
+            best[k] = r if k not in best or r[3] > best[k][3] else best[k]
+        assert {(r[2], r[1]) for r in best.values()} <= set(shown)
