@@ -143,3 +143,35 @@ def test_many_videos_are_spread_without_a_call_for_each(spark):
             k = min(11, int(np.floor(r[2] / width)))
             best[k] = r if k not in best or r[3] > best[k][3] else best[k]
         assert {(r[2], r[1]) for r in best.values()} <= set(shown)
+
+
+def test_alternates_where_frames_are_missing(spark):
+    look = lambda k: [1.0, 2.0, 4.0, k / 100]
+    frames = [(1, p, True, look(p), [0.0], look(p * 7 % 5), None) for p in range(0, 40, 2)] + [(2, p, True, look(p), [0.0], look(p), None) for p in range(5)]
+    seen = spark.createDataFrame(frames, "video_id long, position long, usable boolean, signature array<double>, identity array<double>, pose array<double>, outfit array<double>")
+    origins = spark.createDataFrame([(1, 30), (2, 7)], "video_id long, position long")
+    plain, out = sel.alternate_targets(seen, origins), sel.distinct_alternates(seen, origins)
+    found = {r["position"] for r in plain.collect()}
+    # steps of two and a reach of one on either side of frame 30, of forty positions of which every other has a frame; video 2 has no frame 7
+    assert found == {32, 28, 34, 26, 36, 24, 38, 22} and all(r["video_id"] == 1 for r in plain.collect())
+    assert {r["position"] for r in out.collect()} == found and sorted(r["place"] for r in out.collect()) == list(range(8))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_packs_are_merged_in_one_pass(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, path string, value string")
+    base = rows((1, "a/x", "1"), (1, "a/y/z", "2"), (1, "b", "3"), (1, "c", "[1]"), (2, "a", "1"), (None, "n", "1"))
+    over = rows((1, "a/y", "9"), (1, "b/k", "4"), (1, "c", " {} "), (1, "a", "{}"), (3, "q", None), (None, "n", "2"))
+    out = pk.deep_merge(base, over)
+    want = [(1, "a/x", "1"), (1, "a/y", "9"), (1, "b/k", "4"), (1, "c", " {} "), (2, "a", "1"), (3, "q", None), (None, "n", "1"), (None, "n", "2")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    packs = spark.createDataFrame([(k, '{"a":{"b":1}}') for k in range(50)], "id long, doc string")
+    plan = pk.deep_merge(pk.flatten(packs), pk.flatten(packs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 3  # each side is parsed once
+
+
+def test_documents_are_made_without_a_call_for_each(spark):
+    packs = spark.createDataFrame([(f"d{k}", '{"use":"p","k":%d}' % k) for k in range(200)] + [("n", None)], "id string, doc string")
+    done, _ = pk.expand_documents(packs, spark.createDataFrame([("p", '{"k":0,"l":[1]}')], "preset string, doc string"))
+    assert "FlatMapGroups" not in done._jdf.queryExecution().toString()
+    assert {r["id"]: sorted(r["doc"]) for r in done.collect()} == {f"d{k}": sorted('{"k":%d,"l":[1]}' % k) for k in range(200)}
