@@ -32,10 +32,17 @@ _QUANTITY = re.compile(r"[$€£]?(\d[\d.,/]*)-?([a-z]+)")
 _SALT = np.array([int(xxhash.xxh64_intdigest(f"place {j}")) | 1 for j in range(WINDOW)], "u8")
 
 
+#: Marks that the edges lose; between them letters alone need no pattern.
+_MARKS = "()[].,;:!?\"'"
+
+
 def slot(word: str, first: bool) -> tuple[str, str]:
     """Template word and the value of its slot (empty for literals); both empty for marks without a letter or digit.
     first: the word opens a sentence, where a capital doesn't make a name."""
-    core = _EDGE.sub("", word)
+    return _slot(_EDGE.sub("", word), first)
+
+
+def _slot(core: str, first: bool) -> tuple[str, str]:
     low = core.lower()
     if not any(c.isalnum() for c in core):
         return "", ""
@@ -61,10 +68,18 @@ class _Places(dict):
         return self.learn(word)
 
 
+def _code(template: str) -> int:
+    return xxhash.xxh64_intdigest(template) if template else 0
+
+
+_FIXED, _NAME = UNITS | NUMBERS, _code("<name>")
+
+
 class Templates:
-    """Template words by number; each spelling is looked at once."""
+    """Template words by number; each spelling is looked at once. by_word: codes of the bare words are wanted too."""
 
-    def __init__(self):
+    def __init__(self, by_word: bool = True):
+        self.by_word = by_word
         self.clear()
 
     def clear(self):
@@ -73,12 +88,21 @@ class Templates:
         self.known = [np.zeros(0, d) for d in ("u8", "u8", bool, bool, bool, "u8")]
 
     def _learn(self, word: str) -> int:
-        first, value = slot(word, True)
-        inner, inner_value = slot(word, False)
-        code = lambda t: xxhash.xxh64_intdigest(t) if t else 0
-        self.found.append((code(first), code(inner), value != "", inner_value != "", word[-1] in ".!?:", code("=" + _EDGE.sub("", word).lower()), value, inner_value))
-        self.place[word] = len(self.found) - 1
-        return self.place[word]
+        core = word.strip(_MARKS)
+        low, value, inner_value = core.lower(), "", ""
+        if core.isalpha() and low not in _FIXED:  # a literal, or a name inside a sentence: most spellings are
+            opens = inner = xxhash.xxh64_intdigest(low)
+            if core[0].isupper() and core[1:].islower():
+                inner, inner_value = _NAME, low
+        else:
+            core = _EDGE.sub("", word)
+            first, value = _slot(core, True)
+            within, inner_value = _slot(core, False)
+            low, opens, inner = core.lower(), _code(first), _code(within)
+        bare = _code("=" + low) if self.by_word else 0
+        self.found.append((opens, inner, value != "", inner_value != "", word[-1] in ".!?:", bare, value, inner_value))
+        self.place[word] = at = len(self.found) - 1
+        return at
 
     def read(self, texts: list[str | None]):
         """Of all texts: text number, code, whether it is a slot, whether it is one in both readings, number of the spelling, and
@@ -89,7 +113,7 @@ class Templates:
         sizes = np.array([len(s) for s in split], "i8")
         index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), "i8", int(sizes.sum()))
         if more := self.found[len(self.known[0]) :]:
-            self.known = [np.concatenate([x, np.array([f[k] for f in more], x.dtype)]) for k, x in enumerate(self.known)]
+            self.known = [np.concatenate([x, np.array(f, x.dtype)]) for x, f in zip(self.known, zip(*more))]
         opens, inner, opens_slot, inner_slot, ends, _ = self.known
         first = np.ones(len(index), bool)
         first[1:] = ends[index[:-1]]
@@ -147,7 +171,7 @@ def _scan(passes: np.ndarray | None, sorts: list[tuple[int, bool]] = ()):
     sorts (by bare words or not) that items have, and of them what the filter's bits let through."""
 
     def run(batches):
-        templates = Templates()
+        templates = Templates(passes is None or any(b for _, b in sorts))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

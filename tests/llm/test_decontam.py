@@ -1,5 +1,7 @@
 """Decontamination on planted stretches and re-parameterised items."""
 
+import random
+
 from reelspan.llm import decontam
 
 ITEMS = [
@@ -69,3 +71,26 @@ def test_a_changed_slot_does_not_hide_an_unchanged_stretch(spark):
     got = {r["doc_id"]: (r["same_values"], r["n_words"]) for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     words = len(item.split())
     assert got == {1: (True, words - 5), 2: (False, words), 3: (True, words)}
+
+
+def test_spellings_of_letters_alone_need_no_pattern(monkeypatch):
+    """Most spellings stand once; each is read as slot reads it, but only those with more than letters between marks go through the patterns."""
+    rng = random.Random(4)
+    odd = ["Été", "ÉTÉ", "İx", "ǅon", "ß", "漢字", "Km", "km", "M", "m", "Twelve", "12", "5km", "-7%", "$", "€5", "_a_", "a_", "it's", "O'Neil", "x-y", "+", "%a", "-A", "...", "''", "a²", "²", "٣", "a\u0301"]
+    marks = "()[].,;:!?\"'-+%$€«»_ "
+    words = [w for x in odd for w in (x, x + ".", f"({x})", f'"{x}",')] + ["".join(rng.choice("aBé1" + marks) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    words = [w for x in words for w in x.split()]
+    seen, edge = [], decontam._EDGE
+    want = [(w, [decontam._code(decontam.slot(w, f)[0]) for f in (True, False)], [decontam.slot(w, f)[1] for f in (True, False)], decontam._code("=" + edge.sub("", w).lower())) for w in words]
+
+    class Counted:
+        def sub(self, to, word):
+            seen.append(word)
+            return edge.sub(to, word)
+
+    monkeypatch.setattr(decontam, "_EDGE", Counted())
+    templates = decontam.Templates()
+    for w, codes, values, bare in want:
+        got = templates.found[templates.place[w]]
+        assert [list(got[:2]), list(got[6:]), got[2:4], got[5]] == [codes, values, tuple(v != "" for v in values), bare], w
+    assert seen and not any(w.strip(".,()[]!?").isalpha() and w.strip(".,()[]!?").lower() not in decontam.UNITS | decontam.NUMBERS for w in seen)
