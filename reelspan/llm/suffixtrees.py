@@ -26,6 +26,8 @@ DEPTH, PREFIXES = 20, (2, 5)
 GROUP, FREQUENT, RUN = 50_000, 1_000_000, 200
 #: Bytes of text that a task indexes before it sends; windows of a partition and cells into which it is dealt.
 CHUNK, PARTITION, CELLS = 4_000_000, 3_000_000, 8
+#: Positions whose hashes are computed, and words that are copied, at once.
+BLOCK = 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -76,7 +78,16 @@ def symbols(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def _spans(symbol: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of the `size` symbols from every position, for each of the sizes; positions near the end have none and keep 0."""
+    """Hashes of the `size` symbols from every position, for each of the sizes; positions near the end have none and keep 0. A block of positions
+    at a time, so that steps between need no room."""
+    out = [np.empty(len(symbol), "u8") for _ in sizes]
+    for a in range(0, len(symbol), BLOCK):
+        for whole, part in zip(out, _block(symbol[a : a + BLOCK + max(sizes) - 1], sizes)):
+            whole[a : a + BLOCK] = part[:BLOCK]
+    return out
+
+
+def _block(symbol: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     powers, have = {1: symbol}, 1
     join = lambda a, b, k: _mixed(a[: len(a) - k] * np.uint64(0xA0761D6478BD642F) + b[k:][: len(a) - k] * _ODD) if len(a) > k else a[:0]
     while 2 * have <= max(sizes):
@@ -184,6 +195,16 @@ def _settled(key: np.ndarray, begin: np.ndarray, size: np.ndarray, parts: int) -
     return [(1, int(part[by[a]]), 0, _pack(key[by[a:b]], begin[by[a:b]].astype("<i4"), size[by[a:b]].astype("<i4"))) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _spaced(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These words with one space after each, and where each begins (one more: the end)."""
+    begin = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(int(begin[-1]), 32, "u1")
+    for a in range(0, len(start), BLOCK):
+        n = length[a : a + BLOCK]
+        out[flat(begin[a : a + len(n)], n)] = raw[flat(start[a : a + len(n)], n)]
+    return out, begin
+
+
 class _Chunk:
     """Words, windows and their hashes of some documents."""
 
@@ -201,10 +222,7 @@ class _Chunk:
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words with one space after each, and where each begins (one more: the end)."""
-        begin = np.concatenate([[0], np.cumsum(self.length + 1)])
-        out = np.full(int(begin[-1]), 32, "u1")
-        out[flat(begin[:-1], self.length)] = self.raw[flat(self.start, self.length)]
-        return out, begin
+        return _spaced(self.raw, self.start, self.length)
 
 
 def _chunks(batches):
@@ -268,14 +286,19 @@ def _compare(parts: int):
 
     def cell(packed):
         raw, n, doc, key, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "u1", "<i8", "<i8", "<i4") for p in packed)))
+        packed.clear()
         n, end = n.astype("i8"), np.flatnonzero(raw == 32)
         start = np.concatenate([[0], end[:-1] + 1])
         symbol = symbols(raw, start, end - start)
+        del raw, start, end
         begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
-        windows, of = flat(begin, n), np.repeat(np.arange(len(n)), n)
-        place = at[of] + windows - begin[of]
-        found = later(grow(symbol, windows, _spans(symbol, (DEPTH,))[0][windows]), doc[of], key[of], place, len(of))
-        first, size = _runs(found, windows, 0, of)
+        windows = flat(begin, n)
+        tree = grow(symbol, windows, _spans(symbol, (DEPTH,))[0][windows])
+        leaf = np.sort(tree.leaves)  # documents and places of these alone are looked at
+        of = np.searchsorted(np.cumsum(n), leaf, "right")
+        place = at[of] + windows[leaf] - begin[of]
+        found = later(Subtree(np.searchsorted(leaf, tree.leaves), tree.depth), doc[of], key[of], place, len(leaf))
+        first, size = _runs(found, windows[leaf], 0, of)
         return _settled(key[of[first]], place[first], size, parts)
 
     def run(batches):
@@ -299,24 +322,29 @@ def _compare(parts: int):
 def _ship(parts: int):
     """(key, doc_id, text) of all documents -> rows of kind 2: the words of each partition's documents, packed together."""
 
+    def rows(raw, ends, key, doc, named):
+        start, length = split_words(raw, ends)
+        before = np.searchsorted(start, ends)
+        text, begin = _spaced(raw, start, length)
+        low, size = begin[before[:-1]], np.diff(begin[before])
+        part = (key.view("u8") % np.uint64(parts)).astype("i8")
+        by = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = by[a:b]
+            yield _batch([(2, int(part[i[0]]), 0, _pack(text[flat(low[i], size[i])], size[i].astype("<i8"), doc[i], key[i], named[i].astype("u1")))])
+
     def run(batches):
         for batch in batches:
             raw, ends = offsets_of(batch.column(2))
             key = batch.column(0).to_numpy(zero_copy_only=False).astype("i8")
             named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
-            start, length = split_words(raw, ends)
-            before = np.searchsorted(start, ends)
-            begin = np.concatenate([[0], np.cumsum(length + 1)])
-            text = np.full(int(begin[-1]), 32, "u1")
-            text[flat(begin[:-1], length)] = raw[flat(start, length)]
-            low, size = begin[before[:-1]], np.diff(begin[before])
-            part = (key.view("u8") % np.uint64(parts)).astype("i8")
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                i = by[a:b]
-                yield _batch([(2, int(part[i[0]]), 0, _pack(text[flat(low[i], size[i])], size[i].astype("<i8"), doc[i], key[i], named[i].astype("u1")))])
+            a = 0
+            while a < len(key):  # CHUNK bytes at a time, or one longer text
+                b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1), len(key))
+                yield from rows(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], key[a:b], doc[a:b], named[a:b])
+                a = b
 
     return run
 

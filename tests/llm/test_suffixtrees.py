@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelspan.llm import suffixtrees as st
@@ -102,3 +103,32 @@ def test_places_agree_in_equal_windows():
 
 def test_empty_table(spark):
     assert st.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_documents_are_sent_in_pieces_of_bounded_size(monkeypatch):
+    """What a task holds doesn't grow with the batch: no more than CHUNK bytes, or one longer text, are split at once."""
+    rng = random.Random(8)
+    own = [t for t in texts(rng, 60) if t is None or len(t) < 5000] + ["x" * 3000, None, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array([None if k % 7 == 0 else k for k in range(len(own))], pa.int64()), pa.array(own, pa.string())], ["key", "doc_id", "text"])
+    seen, split = [], st.split_words
+    monkeypatch.setattr(st, "CHUNK", 2000)
+    monkeypatch.setattr(st, "split_words", lambda raw, bounds: seen.append((len(raw), len(bounds) - 1)) or split(raw, bounds))
+    sent = {}
+    for out in st._ship(3)([batch]):
+        for packed in out.column(3):
+            raw, size, doc, key, named = st._unpack(packed.as_py(), "u1", "<i8", "<i8", "<i8", "u1")
+            ends = np.cumsum(size)
+            for k, a, b, known in zip(key.tolist(), ends - size, ends, named.tolist()):
+                assert k not in sent and bool(known) == (k % 7 != 0)
+                sent[k] = raw[a:b].tobytes().decode()
+    assert all(n <= 2000 or docs == 1 for n, docs in seen) and sum(docs for _, docs in seen) == len(own)
+    assert sent == {k: "".join(w + " " for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(own)}
+
+
+def test_hashes_don_t_depend_on_blocks(monkeypatch):
+    symbol = np.random.default_rng(3).integers(0, 1 << 60, 1000).astype("u8")
+    whole = st._spans(symbol, (2, 5, 20))
+    for block in (7, 19, 20, 999):
+        monkeypatch.setattr(st, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, st._spans(symbol, (2, 5, 20))))
+    assert all((w[-n + 1 :] == 0).all() for w, n in zip(whole, (2, 5, 20)))
