@@ -175,3 +175,27 @@ def test_documents_are_made_without_a_call_for_each(spark):
     done, _ = pk.expand_documents(packs, spark.createDataFrame([("p", '{"k":0,"l":[1]}')], "preset string, doc string"))
     assert "FlatMapGroups" not in done._jdf.queryExecution().toString()
     assert {r["id"]: sorted(r["doc"]) for r in done.collect()} == {f"d{k}": sorted('{"k":%d,"l":[1]}' % k) for k in range(200)}
+
+
+def test_vectors_of_alternates_are_not_sent(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+    from reelspan.plans import vector_queries as vq
+
+    # a null event, a user without a vector for each event, and a vector that is there twice
+    source = e.SMOKE
+    at = str(tmp_path)
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.withColumn("event_id", F.expr("case when event_id % 50 = 3 then null else event_id end")).write.parquet(f"{at}/events.parquet")
+    vectors = spark.read.parquet(f"{source}/embeddings.parquet")
+    vectors.where("vec_id % 13 <> 5").union(vectors.where("vec_id = 1")).write.parquet(f"{at}/embeddings.parquet")
+    query = e.queries()["join7_alternate_targets"]
+    plan = query(spark, source)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2 and "SortMergeJoin" not in plan
+    for d in (source, at):
+        c, signed = F.col, vq.signed(spark, d)
+        frames = signed.select("video_id", c("seq").cast("long").alias("position"), (c("event_id") % 3 > 0).alias("usable"), "signature", F.slice("signature", 1, 8).alias("identity"), c("signature").alias("pose"), F.slice("signature", 9, 8).alias("outfit"))
+        want = sel.distinct_alternates(frames, frames.groupBy("video_id").agg(F.floor(F.max("position") / 2).alias("position")), same=0.10)
+        got = sorted(map(tuple, query(spark, d).collect()))
+        assert got == sorted(map(tuple, want.collect())) and got
+    monkeypatch.setattr(vq, "SENT", 0)  # more vectors than may be sent
+    assert sorted(map(tuple, query(spark, at).collect())) == got
