@@ -1,10 +1,14 @@
 """Suffix-array dedup: a radix sort of suffixes that stops at the threshold; equal groups are exactly the repeated windows.
 
 Windows of DEPTH bytes are dealt out by the smallest hash of their GRAM-byte strings, as runs of windows that stand next to each
-other, so that a byte is sent about three times instead of fifty. A task drops windows whose fingerprint stands alone and sorts
-the rest by most significant digits of eight bytes, keeping only groups of more than one window after each pass. Before
+other, so that a byte is sent about three times instead of fifty. Strings that would place more than GROUP windows, counted over
+all texts, give way: their windows are dealt by the smallest hash of FINE bytes as well. A task drops windows whose fingerprint stands
+alone and sorts the rest by most significant digits of eight bytes, keeping only groups of more than one window after each pass. Before
 anything is sent, each task sorts what it has read itself: a window that a smaller document of the same task holds is settled
 there, so that a passage that many documents share leaves each task once.
+
+Partitions are as many as the texts need at PARTITION bytes each, a partition is compared a cell at a time, and equal windows of a cell
+are settled before more are taken in, so that a task holds as much of a large table as of a small one.
 """
 
 import hashlib
@@ -15,16 +19,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, offsets_of, width
+from .common import flat, lean, offsets_of, width
 
-#: Bytes of a repeated string; bytes of the strings whose smallest hash places a window; windows in a run at most.
-DEPTH, GRAM, RUN = 50, 8, 200
+#: Bytes of a repeated string; bytes of the strings whose smallest hash places a window, and where those are frequent; windows in a run at most.
+DEPTH, GRAM, FINE, RUN = 50, 8, 16, 200
+#: Windows that a string of GRAM bytes may place, and that are compared at once unless more of them differ.
+GROUP, LIMIT = 1_000_000, 2_000_000
 #: Bytes of text that a task sorts before it sends.
 CHUNK = 5_000_000
 #: Positions whose hashes are computed at once.
 BLOCK = 1 << 14
-#: Cells into which a partition's windows are dealt, so that one cell at a time is held.
-CELLS = 8
+#: Bytes of text for each partition; cells into which a partition's windows are dealt, so that one cell at a time is compared.
+PARTITION, CELLS = 16_000_000, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = [(0x9E3779B97F4A7C15 * k * k + 0x632BE59BD9B4E019 * k | 1) % (1 << 64) for k in range(1, 8)]
 
@@ -46,23 +52,29 @@ def _eights(raw: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(eights: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Fingerprint of the DEPTH bytes from each start, built from those of the 8, 16 and 32 bytes from every position."""
-    out = np.zeros(len(eights), "u8")
+    """Fingerprint of the DEPTH bytes from each start (ascending), built from those of the 8, 16 and 32 bytes from every position."""
+    out, done = np.zeros(len(start), "u8"), 0
     for a, b in _blocks(max(len(eights) - DEPTH + 8, 0)):
+        upto = int(np.searchsorted(start, b))
+        if upto == done:
+            continue
         total = eights[a : b + DEPTH - 8]
         for k, step in enumerate((8, 16, DEPTH - 32)):
             total = total[: len(total) - step] * np.uint64(_PLACES[k]) + total[step:] * np.uint64(_PLACES[k + 3])
             total ^= total >> np.uint64(29)
-        out[a:b] = total * _ODD
-    return out[start]
+        out[done:upto] = total[start[done:upto] - a] * _ODD
+        done = upto
+    return out
 
 
 def _not_alone(prints: np.ndarray) -> np.ndarray:
     """Indices of fingerprints of which there may be more than one."""
     bits = max(int(len(prints) - 1).bit_length(), 1)
     low = np.uint64((1 << bits) - 1)
-    both = np.sort(prints & ~low | np.arange(len(prints), dtype="u8"))
-    same = (both[1:] & ~low) == (both[:-1] & ~low)
+    both = prints & ~low
+    both |= np.arange(len(prints), dtype="u8")
+    both.sort()
+    same = (both[1:] ^ both[:-1]) <= low
     twice = np.zeros(len(prints), bool)
     twice[(both[1:][same] & low).astype("i8")] = True
     twice[(both[:-1][same] & low).astype("i8")] = True
@@ -92,14 +104,14 @@ def equal_groups(eights: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     return kept, group
 
 
-def repeated(eights: np.ndarray, start: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether a smaller document holds each window; order: the document's place for each window."""
+def repeated(eights: np.ndarray, start: np.ndarray, of: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document holds each window; of: the place among `doc` of each window's document."""
     kept, group = equal_groups(eights, start)
     found = np.zeros(len(start), bool)
     if len(kept):
-        least = np.full(int(group.max()) + 1, np.iinfo("i8").max)
-        np.minimum.at(least, group, order[kept])
-        found[kept] = order[kept] > least[group]
+        least, order = np.full(int(group.max()) + 1, np.iinfo("i8").max), doc[of[kept]]
+        np.minimum.at(least, group, order)
+        found[kept] = order > least[group]
     return found
 
 
@@ -121,21 +133,53 @@ def _runs(flag: np.ndarray, start: np.ndarray, limit: int, *same: np.ndarray) ->
     return at[first], size
 
 
-def _places(eights: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Smallest hash of the GRAM-byte strings of each window."""
-    out, n = np.zeros(len(eights), "u4"), DEPTH - GRAM + 1
-    for a, b in _blocks(max(len(eights) - DEPTH + GRAM, 0)):
-        x = ((eights[a : b + n - 1] * _ODD) >> np.uint64(32)).astype("u4")
-        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        have = 1
-        while have < n:
-            step = min(have, n - have)
-            x = np.minimum(x[: len(x) - step], x[step:])
-            have += step
-        out[a:b] = x
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of the n values from every position on."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def _hashes(eights: np.ndarray, size: int) -> np.ndarray:
+    """32 bits for the `size` bytes from every position; sizes are multiples of eight."""
+    x, n = eights * _ODD, len(eights) - size + 8
+    for k in range(8, size, 8):
+        x = (x[:n] ^ (x[:n] >> np.uint64(31)) ^ eights[k : k + n]) * _ODD
+    x = (x >> np.uint64(32)).astype("u4")
+    return (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+
+
+def _places(eights: np.ndarray, start: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Smallest hash of the strings of `size` bytes in each window."""
+    out, n = np.zeros(len(eights), "u4"), DEPTH - size + 1
+    for a, b in _blocks(max(len(eights) - DEPTH + 8, 0)):
+        x = _least(_hashes(eights[a : b + DEPTH - 8], size), n)
+        out[a : a + len(x)] = x
     return out[start]
 
 
+def _stretches(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and number of windows that agree in their place, next to each other."""
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, "i8")
+    return first, np.diff(first, append=len(place))
+
+
+def _refined(eights: np.ndarray, start: np.ndarray, place: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places, finer ones where the string of GRAM bytes is frequent (sorted hashes)."""
+    if not len(frequent) or not len(place):
+        return place
+    first, size = _stretches(place)
+    at = np.minimum(np.searchsorted(frequent, place[first]), len(frequent) - 1)
+    often = np.repeat(frequent[at] == place[first], size)
+    fine = (place[often] ^ _places(eights, start, FINE)[often]) * np.uint32(0x9E3779B1)
+    out = place.copy()
+    out[often] = fine ^ (fine >> np.uint32(16))
+    return out
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays byte plane by byte plane, so that equal high bytes stand together."""
     planes = [np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"" for a in arrays]
@@ -174,50 +218,77 @@ def _settled(doc: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.nda
     return [(1, int(part[by[a]]), 0, _pack(key[by[a:b]], begin[by[a:b]], size[by[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])] if len(by) else []
 
 
-def _send(parts: int):
-    """(check, doc_id, text) -> settled stretches (kind 1) and runs of windows that are left to compare (kind 0)."""
+def _chunks(batches):
+    """(check, doc_id, text) -> raw bytes, bounds, checks and doc_ids of about CHUNK bytes; a longer text is a chunk of its own."""
+    held, total = [], 0
+    for batch in batches:
+        raw, ends = offsets_of(batch.column(2))
+        check, doc = (batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
+        a = 0
+        while a < len(doc):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK - total, "right")) - 1)
+            b = min(b, len(doc))
+            held.append((raw[ends[a] : ends[b]], np.diff(ends[a : b + 1]), check[a:b], doc[a:b]))
+            total += int(ends[b] - ends[a])
+            a = b
+            if total >= CHUNK:
+                yield _joined(held)
+                held, total = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _windows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The eight bytes from each position, and start and document of each window."""
+    windows = np.maximum(np.diff(bounds) - DEPTH + 1, 0)
+    return _eights(raw), flat(bounds[:-1], windows), np.repeat(np.arange(len(windows), dtype="i4"), windows)
+
+
+def _count(total: int, group: int):
+    """(check, doc_id, text) -> windows that a string of GRAM bytes places in a chunk. Counts are left out that stay below the share of the chunk
+    in half of GROUP, so that half of GROUP is missed at most."""
+
+    def run(batches):
+        for raw, bounds, _, _ in _chunks(batches):
+            eights, start, _ = _windows(raw, bounds)
+            place = _places(eights, start)
+            first, size = _stretches(place)
+            value, at = np.unique(place[first], return_inverse=True)
+            n = np.bincount(at, weights=size, minlength=len(value)).astype("i8")
+            told = n * 2 * total >= group * len(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(value[told].astype("i8")), pa.array(n[told])], ["place", "n"])
+
+    return run
+
 
-    def chunk(raw, bounds, check, doc):
-        eights, size = _eights(raw), np.diff(bounds)
-        windows = np.maximum(size - DEPTH + 1, 0)
-        start = flat(bounds[:-1], windows)
-        of = np.repeat(np.arange(len(size)), windows)
+def _send(parts: int, told):
+    """(check, doc_id, text) -> settled stretches (kind 1) and runs of windows that are left to compare (kind 0), a row for a partition's cells."""
+
+    def rows(raw, bounds, check, doc):
+        eights, start, of = _windows(raw, bounds)
         if not len(start):
             return []
-        known = repeated(eights, start, doc[of])
+        known = repeated(eights, start, of, doc)
         first, n = _runs(known, start, 0, of)
         rows = _settled(doc[of[first]], check[of[first]], (start[first] - bounds[of[first]]).astype("<i8"), n.astype("<i8"), parts)
-        place = _places(eights, start)
+        place = _refined(eights, start, _places(eights, start), told.value)
         first, n = _runs(~known, start, RUN, of, place)
         cell = (place[first].astype("u8") * _ODD >> np.uint64(20)) % np.uint64(parts * CELLS)
         by = np.lexsort((of[first], place[first], cell))
         first, n, cell = first[by], n[by], cell[by].astype("i8")
-        cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        cuts = np.flatnonzero(np.diff(cell // CELLS, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             f, m = first[a:b], n[a:b]
             text = raw[flat(start[f], m + DEPTH - 1)]
             at = start[f] - bounds[of[f]]
-            rows.append((0, int(cell[a]) // CELLS, int(cell[a]) % CELLS, _pack(text, m.astype("u1"), doc[of[f]], check[of[f]].astype("<u4"), at.astype("<i4"))))
+            cells = np.bincount(cell[a:b] % CELLS, minlength=CELLS).astype("<i4")
+            rows.append((0, int(cell[a]) // CELLS, 0, _pack(cells, text, m.astype("u1"), doc[of[f]], check[of[f]].astype("<u4"), at.astype("<i4"))))
         return rows
 
     def run(batches):
-        held, total = [], 0
-        for batch in batches:
-            raw, ends = offsets_of(batch.column(2))
-            check, doc = (batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
-            a = 0
-            while a < len(doc):
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK - total, "right")) - 1)
-                b = min(b, len(doc))
-                held.append((raw[ends[a] : ends[b]], np.diff(ends[a : b + 1]), check[a:b], doc[a:b]))
-                total += int(ends[b] - ends[a])
-                a = b
-                if total >= CHUNK:
-                    if rows := chunk(*_joined(held)):
-                        yield _batch(rows)
-                    held, total = [], 0
-        if held and (rows := chunk(*_joined(held))):
-            yield _batch(rows)
+        for piece in _chunks(batches):
+            if found := rows(*piece):
+                yield _batch(found)
 
     return run
 
@@ -227,39 +298,80 @@ def _joined(held):
     return raw, np.concatenate([[0], np.cumsum(size)]), check, doc
 
 
-def _compare(parts: int):
-    """Rows sorted by kind and cell: those of kind 0 -> stretches that a smaller document holds (kind 1); the others go on."""
-
-    def cell(packed):
-        text, n, doc, check, at = (np.concatenate(x) for x in zip(*(_unpack(p, "u1", "u1", "<i8", "<u4", "<i4") for p in packed)))
-        n, at = n.astype("i8"), at.astype("i8")
+def _divided(packed: bytes) -> list[tuple[np.ndarray, ...]]:
+    """text, n, doc, check and at of each cell's runs."""
+    cells, text, n, *rest = _unpack(packed, "<i4", "u1", "u1", "<i8", "<u4", "<i4")
+    runs, ends = np.concatenate([[0], np.cumsum(cells)]), np.concatenate([[0], np.cumsum(n.astype("i8") + DEPTH - 1)])
+    return [(text[ends[a] : ends[b]], n[a:b], *(x[a:b] for x in rest)) for a, b in zip(runs[:-1], runs[1:])]
+
+
+def _fold(pieces):
+    """Runs of a cell, a list of which is used up -> stretches (doc, check, begin, size) that a smaller document holds. LIMIT windows are compared at
+    once; those that aren't settled go on beside the next, twice as many at least."""
+    held, count, limit = [], 0, LIMIT
+    while pieces:
+        held.append(pieces.pop())
+        count += int(held[-1][1].sum(dtype="i8"))
+        if pieces and count < limit:
+            continue
+        text, n, doc, check, at = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        n = n.astype("i8")
         begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
-        start = flat(begin, n)
-        of = np.repeat(np.arange(len(n)), n)
-        found = repeated(_eights(text), start, doc[of])
+        start, of = flat(begin, n), np.repeat(np.arange(len(n), dtype="i4"), n)
+        found = repeated(_eights(text), start, of, doc)
         first, size = _runs(found, start, 0, of)
-        return _settled(doc[of[first]], check[of[first]], (at[of[first]] + start[first] - begin[of[first]]).astype("<i8"), size.astype("<i8"), parts)
+        run = of[first]
+        yield doc[run], check[run], at[run] + start[first] - begin[run], size
+        if pieces:
+            first, size = _runs(~found, start, 0, of)
+            run = of[first]
+            held.append((text[flat(start[first], size + DEPTH - 1)], size.astype("u1"), doc[run], check[run], (at[run] + start[first] - begin[run]).astype("<i4")))
+            count = int(size.sum())
+            limit = max(LIMIT, 2 * count)
+
+
+def _compare(parts: int):
+    """Rows sorted by partition and kind: those of kind 0 -> stretches that a smaller document holds (kind 1); the others go on."""
+
+    def part(cells):
+        done = []
+        while cells:
+            done.extend(_fold(cells.pop()))
+        doc, check, begin, size = (np.concatenate(x) for x in zip(*done))
+        return _settled(doc, check, begin.astype("<i8"), size.astype("<i8"), parts)
 
     def run(batches):
-        at, held = None, []
+        at, held = None, [[] for _ in range(CELLS)]
         for batch in batches:
-            for kind, part, c, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            for kind, p, packed in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(3)):
                 if kind:
-                    yield _batch([(kind, part, c, packed.as_py())])
+                    yield _batch([(kind, p, 0, packed.as_py())])
                     continue
-                if c != at:
-                    if held and (rows := cell(held)):
+                if p != at:
+                    if any(held) and (rows := part([x for x in held if x])):
                         yield _batch(rows)
-                    at, held = c, []
-                held.append(packed.as_py())
-        if held and (rows := cell(held)):
+                    at, held = p, [[] for _ in range(CELLS)]
+                for x, piece in zip(held, _divided(packed.as_py())):
+                    if len(piece[1]):
+                        x.append(piece)
+        if any(held) and (rows := part([x for x in held if x])):
             yield _batch(rows)
 
     return run
 
 
 def _ship(parts: int):
-    """(check, doc_id, text) of all documents -> rows of kind 2: the documents of each partition, packed together."""
+    """(check, doc_id, text) of all documents -> rows of kind 2: the documents of each partition, packed together, CHUNK bytes at a time."""
+
+    def rows(raw, ends, check, doc, named):
+        size = np.diff(ends)
+        part = np.where(named, np.mod(doc ^ (doc >> 7), parts), check % parts)
+        by = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = by[a:b]
+            yield _batch([(2, int(part[i[0]]), 0, _pack(raw[flat(ends[i], size[i])], size[i].astype("<i8"), doc[i], check[i], named[i].astype("u1")))])
 
     def run(batches):
         for batch in batches:
@@ -267,31 +379,32 @@ def _ship(parts: int):
             check = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<u4")
             named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-            size = np.diff(ends)
-            part = np.where(named, np.mod(doc ^ (doc >> 7), parts), check % parts)
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                i = by[a:b]
-                yield _batch([(2, int(part[i[0]]), 0, _pack(raw[flat(ends[i], size[i])], size[i].astype("<i8"), doc[i], check[i], named[i].astype("u1")))])
+            a = 0
+            while a < len(doc):
+                b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1), len(doc))
+                yield from rows(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], check[a:b], doc[a:b], named[a:b])
+                a = b
 
     return run
 
 
 def _cut(rest: bool):
-    """Settled stretches of a partition's documents first, then the documents: what is left of each."""
+    """A partition's settled stretches first, then its documents: what is left of each."""
 
     def run(batches):
-        held, by = [], None
+        at, held, by = None, [], None
         for batch in batches:
-            for kind, packed in zip(batch.column(0).to_pylist(), batch.column(3)):
+            for kind, part, packed in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(3)):
+                if part != at:
+                    at, held, by = part, [], None
                 if kind == 1:
                     held.append(_unpack(packed.as_py(), "<i8", "<i8", "<i8"))
                     continue
                 if by is None:
                     key, begin, size = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, "i8"),) * 3
+                    held = []
                     order = np.lexsort((begin, key))
-                    by, held = (key[order], begin[order], size[order]), []
+                    by = (key[order], begin[order], size[order])
                 docs = _unpack(packed.as_py(), "u1", "<i8", "<i8", "<u4", "u1")
                 for k in range(0, len(docs[1]), 500):
                     yield _documents(docs, k, k + 500, *by, rest)
@@ -329,15 +442,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     aren't smaller than each other, so repeated rows lose the same bytes. Rows without doc_id lose nothing and prove nothing.
     kept (with rest): the bytes that are left. Other columns are not read; an empty table gives an empty one.
     """
-    parts = width(docs.sparkSession)
+    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     sound = own.where("doc_id is not null and octet_length(text) >= 50").select("check", "doc_id", "text")
-    dealt = sound.mapInArrow(_send(parts), PACKED).repartition(parts, "part").sortWithinPartitions("part", "kind", "cell")
-    settled = dealt.mapInArrow(_compare(parts), PACKED)
-    rows = own.select("check", "doc_id", "text").mapInArrow(_ship(parts), PACKED)
-    both = settled.union(rows).repartition(parts, "part").sortWithinPartitions("kind")
+    total = sound.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(width(spark), total // PARTITION)
+    told = spark.sparkContext.broadcast(_frequent(sound, total))
+    dealt = sound.mapInArrow(lean(_send(parts, told)), PACKED).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+    settled = dealt.mapInArrow(lean(_compare(parts)), PACKED)
+    rows = own.select("check", "doc_id", "text").mapInArrow(lean(_ship(parts)), PACKED)
+    both = settled.union(rows).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * rest
-    return both.mapInArrow(_cut(rest), schema)
+    return both.mapInArrow(lean(_cut(rest)), schema)
+
+
+def _frequent(sound: DataFrame, total: int) -> np.ndarray:
+    """Hashes of strings that place GROUP windows or more of the `total` bytes, some of half as many too, ascending; at most 2 * total / GROUP."""
+    if total < GROUP:
+        return np.zeros(0, "u4")
+    counts = sound.mapInArrow(lean(_count(total, GROUP)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= GROUP // 2).select("place").toPandas()["place"].to_numpy().astype("u4"))
 
 
 SQL = """
